@@ -116,4 +116,7 @@ def sql(body: str, **extra: str) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{v} AS ({views[v].strip()})" for v in order)
-    return f"WITH RECURSIVE {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body.startswith("WITH "):
+        return f"WITH RECURSIVE {ctes},\n{body[len('WITH ') :]}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
