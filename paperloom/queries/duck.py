@@ -107,7 +107,7 @@ def sql(body: str, **extra: str) -> str:
 
     def visit(text: str, name: str | None) -> None:
         for v in views:
-            if v != name and v not in order and re.search(rf"\b{v}\b", text):
+            if v != name and v not in order and re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", text):
                 visit(views[v], v)
                 if v not in order:
                     order.append(v)
