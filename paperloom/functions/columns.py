@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# White space as Python and Java's Unicode mode see it, as trim characters and as a pattern.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it many times in ``body``.
 
@@ -20,12 +28,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def collapse(col: Column) -> Column:
     """White space runs become one blank; ends are trimmed."""
-    return strip(F.regexp_replace(col, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(col, BLANK + "+", " "))
 
 
 def has_text(col: Column) -> Column:
@@ -40,7 +48,7 @@ def words(col: Column) -> Column:
     """White-space separated words; empty text gives an empty array."""
     return let(
         strip(col),
-        lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+")),
+        lambda s: F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, BLANK + "+")),
     )
 
 

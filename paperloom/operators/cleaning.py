@@ -17,6 +17,9 @@ PAGE_NUMBER = r"(?iU)^\s*(?:page\s+)?[-–—\[(]?\s*\d{1,4}\s*(?:/\s*\d{1,4})?[
 URL_ONLY = r"(?iU)^\s*(?:https?://|www\.)\S+\s*$"
 
 
+TRAILING_BLANKS = r"[ \t\r\f\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+(?=\n|$)"
+
+
 def strip_control(text: Column) -> Column:
     """B1: drop C0 controls (tab, line feed and carriage return stay), DEL and C1."""
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
@@ -50,7 +53,7 @@ def unify_newlines(text: Column) -> Column:
 
 def tidy_space(text: Column) -> Column:
     """Right-trimmed lines, single blanks, at most one empty line, trimmed ends."""
-    lines = F.regexp_replace(unify_newlines(text), r"(?U)[^\S\n]+(?=\n|$)", "")
+    lines = F.regexp_replace(unify_newlines(text), TRAILING_BLANKS, "")
     blanks = F.regexp_replace(lines, "[ \t\u00a0]{2,}", " ")
     return strip(F.regexp_replace(blanks, r"\n{3,}", "\n\n"))
 

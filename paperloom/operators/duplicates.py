@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import alnum_key
 from ..functions.defaults import DUPLICATE_COSINE, DUPLICATE_TITLE
 from ..functions.trigrams import jaccard, trigrams
+from ..session import materialise
 from .vector_search import nearest
 
 
@@ -29,10 +30,14 @@ def exact_duplicates(papers: DataFrame) -> DataFrame:
     )
 
 
+def _set_id() -> Column:
+    return F.sha2(F.array_join("grams", "\u0001"), 256)
+
+
 def _title_sets(rows: DataFrame, id_col: str) -> DataFrame:
     """Distinct trigram sets per user with their two smallest ids."""
     grams = rows.select("user_id", F.col(id_col).alias("id"), trigrams(F.col("title")).alias("grams"))
-    keyed = grams.filter(F.size("grams") > 0).withColumn("set_id", F.sha2(F.array_join("grams", "\u0001"), 256))
+    keyed = grams.filter(F.size("grams") > 0).withColumn("set_id", _set_id())
     order = Window.partitionBy("user_id", "set_id").orderBy("id")
     two = keyed.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
     return two.groupBy("user_id", "set_id").agg(
@@ -65,8 +70,10 @@ def similar_titles(
     trigrams, so only those are joined, and each candidate is verified on the
     full sets. Long posting lists are spread over ``posting_rows`` sized parts.
     """
-    lib = _title_sets(library, "paper_id")
-    ask = _title_sets(probes, "probe_id")
+    lib = materialise(_title_sets(library, "paper_id"), "title-sets")
+    keyed = probes.select("probe_id", "user_id", trigrams(F.col("title")).alias("grams")).filter(F.size("grams") > 0)
+    keyed = materialise(keyed.withColumn("set_id", _set_id()), "title-probes")
+    ask = keyed.groupBy("user_id", "set_id").agg(F.first("grams").alias("grams"))
     counts = lib.select("user_id", F.explode("grams").alias("gram")).groupBy("user_id", "gram").agg(
         F.count(F.lit(1)).alias("held")
     )
@@ -93,11 +100,9 @@ def similar_titles(
     )
     best = checked.groupBy("user_id", "set_id").agg(F.min(F.struct(-F.col("similarity"), F.col("other"))).alias("best"))
     same = lib.select("user_id", "set_id", "id_1", "id_2")
-    keyed = probes.select("probe_id", "user_id", trigrams(F.col("title")).alias("grams")).filter(F.size("grams") > 0)
-    keyed = keyed.select("probe_id", "user_id", F.sha2(F.array_join("grams", "\u0001"), 256).alias("set_id"))
     twin = F.when(F.col("id_1") != F.col("probe_id"), F.col("id_1")).otherwise(F.col("id_2"))
     return (
-        keyed.join(same, ["user_id", "set_id"], "left")
+        keyed.drop("grams").join(same, ["user_id", "set_id"], "left")
         .join(best, ["user_id", "set_id"], "left")
         .select(
             "probe_id",

@@ -29,6 +29,11 @@ INJECTION_PATTERNS = (
     r"\bfabricate\b",
     r"\breveal your (system )?(prompt|instructions)\b",
 )
+# A word each of the patterns cannot do without.
+PATTERN_WORDS = (
+    "ignore", "disregard", "instructions", "override", "you are now", "developer", "pretend", "act as", "mention",
+    "state these", "you must", "you should", "fabricate", "reveal",
+)
 # A quoted span of at most 400 characters.
 QUOTED = r"""["'‘’“”]([^"'‘’“”]{0,400})["'‘’“”]"""
 
@@ -135,8 +140,16 @@ def pack(hits: DataFrame, budget: int = CONTEXT_CHARS, keys: tuple[str, ...] = (
 
 def is_suspicious(text: Column) -> Column:
     """the passage instructs its reader outside quotation marks."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), QUOTED, " ")
-    return bare.rlike("(?iU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS))
+
+    def check(t: Column) -> Column:
+        # Every pattern holds one of these words, whatever the case; few passages do.
+        low = F.lower(F.translate(t, "ſKıİ", "skii"))
+        maybe = F.lit(False)
+        for word in PATTERN_WORDS:
+            maybe = maybe | low.contains(word)
+        return F.when(maybe, F.regexp_replace(t, QUOTED, " ").rlike("(?iU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)))
+
+    return F.coalesce(let(text, check), F.lit(False))
 
 
 def screen(hits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import words
+from ..functions.columns import let, words
 
 # English words that carry no search meaning.
 STOP_WORDS = (
@@ -58,31 +58,34 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Da
     pairs = postings.join(plan, ["user_id", "term"]).select("query_id", "user_id", "chunk_id", "wanted")
     matched = pairs.join(chunks.drop("user_id"), "chunk_id")
     tokens = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    counted = matched.withColumn("_tokens", tokens).filter(
-        F.size(F.array_except(F.col("wanted.term"), F.col("_tokens"))) == 0
-    )
-    rank = F.aggregate(
-        "wanted",
-        F.lit(0.0),
-        lambda acc, w: acc
-        + (1 + F.log(F.size(F.filter("_tokens", lambda t: t == w["term"])).cast("double"))) * w["idf"],
-    )
+
+    def rank(held_terms: Column) -> Column:
+        total = F.aggregate(
+            "wanted",
+            F.lit(0.0),
+            lambda acc, w: acc
+            + (1 + F.log(F.size(F.filter(held_terms, lambda t: t == w["term"])).cast("double"))) * w["idf"],
+        )
+        missing = F.array_except(F.col("wanted.term"), held_terms)
+        return F.when(F.size(missing) == 0, F.round(total, 6))
+
     order = Window.partitionBy("query_id").orderBy(F.desc("text_rank"), "chunk_id")
     return (
-        counted.withColumn("text_rank", F.round(rank, 6))
+        matched.withColumn("text_rank", let(tokens, rank))
+        .filter("text_rank IS NOT NULL")
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .withColumn("terms", F.col("wanted.term"))
-        .drop("wanted", "_tokens")
+        .drop("wanted")
     )
 
 
 def snippet(content: Column, wanted: Column, width: int = 40, lead: int = 5) -> Column:
     """Up to ``width`` words around the first word that is one of ``wanted``."""
-    split = words(content)
-    first = F.array_position(
-        F.transform(split, lambda w: F.array_contains(wanted, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))),
-        F.lit(True),
-    )
-    start = F.greatest(F.lit(1), F.least(first - lead, F.size(split) - width + 1))
-    return F.array_join(F.slice(split, start.cast("int"), F.lit(width)), " ")
+
+    def cut(split: Column, asked: Column) -> Column:
+        bare = F.transform(split, lambda w: F.array_contains(asked, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")))
+        start = F.greatest(F.lit(1), F.least(F.array_position(bare, F.lit(True)) - lead, F.size(split) - width + 1))
+        return F.array_join(F.slice(split, start.cast("int"), F.lit(width)), " ")
+
+    return let(words(content), lambda split: let(wanted, lambda asked: cut(split, asked)))

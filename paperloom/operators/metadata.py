@@ -165,12 +165,12 @@ def _first_byline(lines: Column) -> Column:
 def authors_from_lines(lines: Column, title: Column) -> Column:
     """C11: first byline among the eight lines after the title."""
 
-    def after_title(head: Column) -> Column:
-        inside = F.transform(head, lambda l, i: F.when(F.coalesce(title, F.lit("")).contains(l), i + 1).otherwise(0))
-        return F.coalesce(F.array_max(inside), F.lit(0))
+    def look(ls: Column, known: Column) -> Column:
+        inside = F.transform(F.slice(ls, 1, 14), lambda l, i: F.when(known.contains(l), i + 1).otherwise(0))
+        start = F.coalesce(F.array_max(inside), F.lit(0))
+        return _first_byline(F.slice(ls, start + 1, F.lit(8)))
 
-    start = let(F.slice(lines, 1, 14), after_title)
-    return let(start, lambda s: _first_byline(F.slice(lines, s + 1, F.lit(8))))
+    return let(lines, lambda ls: let(F.coalesce(title, F.lit("")), lambda known: look(ls, known)))
 
 
 def authors_from_blocks(blocks: DataFrame, titles: DataFrame, id_col: str = "paper_id") -> DataFrame:

@@ -252,19 +252,22 @@ def parse_replies(replies: DataFrame, task: str, text_col: str = "text") -> Data
     """
     fields = SCHEMAS[task]
     found = replies.withColumn("json", extract_json(F.col(text_col)))
-    v = F.try_parse_json(F.col("json"))
-    broken = F.filter(
-        F.array(*[F.when(~field.ok(*_part(v, name)), F.lit(name)) for name, field in fields.items()]), lambda n: n.isNotNull()
-    )
-    checked = found.withColumn("_broken", F.when(F.col("json").isNotNull(), broken))
-    valid = F.col("json").isNotNull() & (F.size("_broken") == 0)
+
+    def check(v: Column) -> Column:
+        broken = F.array_compact(F.array(*[F.when(~field.ok(*_part(v, name)), F.lit(name)) for name, field in fields.items()]))
+        return let(
+            F.when(v.isNull(), "NO_JSON_OBJECT").otherwise(
+                let(broken, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("INVALID:"), F.array_join(b, ","))))
+            ),
+            lambda reason: F.struct(reason.alias("reject_reason"), F.when(reason.isNull(), _read(v, fields)).alias("result")),
+        )
+
+    checked = found.withColumn("_checked", let(F.try_parse_json(F.col("json")), check))
     return checked.select(
         *replies.columns,
-        valid.alias("valid"),
-        F.when(F.col("json").isNull(), "NO_JSON_OBJECT")
-        .when(F.size("_broken") > 0, F.concat(F.lit("INVALID:"), F.array_join("_broken", ",")))
-        .alias("reject_reason"),
-        F.when(valid, _read(v, fields)).alias("result"),
+        F.col("_checked.reject_reason").isNull().alias("valid"),
+        F.col("_checked.reject_reason"),
+        F.col("_checked.result"),
     )
 
 

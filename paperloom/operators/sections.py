@@ -122,7 +122,7 @@ def merge_adjacent(sections: Column) -> Column:
 
         return let(starts, lambda ms: F.transform(ms, lambda at, n: island(at, n, ms)))
 
-    return F.when(sections.isNotNull(), let(sections, merged))
+    return let(sections, lambda ss: F.when(ss.isNotNull(), merged(ss)))
 
 
 def whole_document(text: Column, abstract_hint: Column | None = None) -> Column:

@@ -17,7 +17,7 @@ HEADINGS = (
 
 
 def _docs(spark, folder):
-    return T.scan(spark, folder, "documents", ["doc_id", "text", "source"])
+    return T.read_documents(spark, folder, ["doc_id", "text", "source"])
 
 
 def headed(spark, folder):

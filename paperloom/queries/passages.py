@@ -17,7 +17,7 @@ AS_OF = 2026
 
 
 def _docs(spark, folder):
-    return T.scan(spark, folder, "documents", ["doc_id", "text", "source", "lang"])
+    return T.read_documents(spark, folder, ["doc_id", "text", "source", "lang"])
 
 
 def first_pages(spark, folder):

@@ -23,6 +23,20 @@ def scan(spark: SparkSession, folder: str, table: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a few files over all cores; a table of many files stays where it lies.
+
+    One small file is one task however many cores there are, which costs more
+    than this shuffle when rows are expensive to work on.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
+def read_documents(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    return spread(scan(spark, folder, "documents", columns), "doc_id")
+
+
 def pick(values, index: Column) -> Column:
     """Element ``index`` (from 0) of a fixed list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -63,7 +77,7 @@ def read_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_text_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Non-blank document lines as passages."""
-    lines = scan(spark, folder, "documents", ["doc_id", "text"]).select(
+    lines = read_documents(spark, folder, ["doc_id", "text"]).select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content")
     )
     return lines.filter(F.trim("content") != "").select(
