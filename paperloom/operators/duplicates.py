@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import alnum_key
+from ..functions.columns import alnum_key, let
 from ..functions.defaults import DUPLICATE_COSINE, DUPLICATE_TITLE
 from ..functions.trigrams import jaccard, trigrams
 from ..session import materialise
@@ -79,26 +79,33 @@ def similar_titles(
     )
     parts = F.ceil(F.col("held") / posting_rows).cast("int")
     right = _prefixes(lib, counts, threshold).select(
-        "user_id", "gram", F.col("set_id").alias("lib_set"), F.col("n").alias("lib_n"),
+        "user_id", "gram", F.col("set_id").alias("lib_set"), F.col("n").alias("lib_n"), F.col("rn").alias("lib_at"),
         F.pmod(F.xxhash64("set_id"), parts).cast("int").alias("part"),
     )
     left = _prefixes(ask, counts, threshold).filter("held > 0").select(
-        "user_id", "gram", "set_id", "n", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
+        "user_id", "gram", "set_id", "n", F.col("rn").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     )
+    # At the first trigram two sets share, all that follows in both is the most they can still share.
+    reach = 1 + F.least(F.col("n") - F.col("at"), F.col("lib_n") - F.col("lib_at"))
+    needed = F.ceil((F.col("n") + F.col("lib_n")) * (threshold / (1 + threshold)) - 1e-9)
     pairs = (
         left.join(right, ["user_id", "gram", "part"])
         .filter((F.col("set_id") != F.col("lib_set")))
         .filter((F.col("lib_n") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("lib_n") * threshold - 1e-9))
+        .filter(reach >= needed)
         .select("user_id", "set_id", "lib_set")
         .distinct()
     )
     checked = (
         pairs.join(ask.select("user_id", "set_id", F.col("grams").alias("a")), ["user_id", "set_id"])
         .join(lib.select("user_id", F.col("set_id").alias("lib_set"), F.col("grams").alias("b"), "id_1"), ["user_id", "lib_set"])
-        .select("user_id", "set_id", F.col("id_1").alias("other"), jaccard(F.col("a"), F.col("b")).alias("similarity"))
-        .filter(F.col("similarity") >= threshold)
     )
-    best = checked.groupBy("user_id", "set_id").agg(F.min(F.struct(-F.col("similarity"), F.col("other"))).alias("best"))
+    # One evaluation per candidate: the verdict and the ranking come from the same value.
+    match = let(
+        jaccard(F.col("a"), F.col("b")),
+        lambda s: F.when(s >= threshold, F.struct((-s).alias("col1"), F.col("id_1").alias("other"))),
+    )
+    best = checked.groupBy("user_id", "set_id").agg(F.min(match).alias("best"))
     same = lib.select("user_id", "set_id", "id_1", "id_2")
     twin = F.when(F.col("id_1") != F.col("probe_id"), F.col("id_1")).otherwise(F.col("id_2"))
     return (

@@ -50,7 +50,7 @@ def read_papers(spark: SparkSession, folder: str) -> DataFrame:
         .when(doc % 10 == 2, "metadata_only")
         .otherwise("completed")
     )
-    return scan(spark, folder, "documents").select(
+    return read_documents(spark, folder, ["doc_id", "text", "lang", "source", "n_chars"]).select(
         doc.alias("paper_id"),
         (doc % 8).alias("user_id"),
         F.col("source").alias("project_id"),
