@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.columns import has_text, let, strip
 from ..functions.defaults import MAX_CHARS, MAX_PAGES, MIN_DOC_CHARS
@@ -25,7 +26,7 @@ def strip_control(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """B2: Unicode compatibility form; it also spells out ligatures."""
     for texts in batches:

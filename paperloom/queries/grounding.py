@@ -12,7 +12,12 @@ from ..sources import tables as T
 from .duck import sql
 from .evidence import INJECTED, screened
 
-D = F.col("paper_id")
+def _d():
+    return F.col("paper_id")
+
+
+def _r():
+    return F.col("request_id")
 
 
 def _first(spark, folder):
@@ -29,20 +34,20 @@ def _cat(*parts):
 
 def qa_replies(spark, folder):
     claims = F.array_compact(F.array(
-        F.when(D % 5 != 4, _cat('{"statement":" real ', D.cast("string"), '","chunk_id":"', F.col("c0"), '","section":"results"}')),
-        F.when(D % 3 != 0, _cat('{"statement":"foreign","chunk_id":"', (D + 1).cast("string"), ':0"}')),
-        F.when(D % 2 == 0, F.lit('{"statement":"invented","chunk_id":"x-9"}')),
-        F.when(D % 4 == 0, F.lit('{"statement":"uncited","chunk_id":null}')),
-        F.when(D % 7 == 5, F.lit('{"statement":5}'))))
-    confidence = F.when(D % 7 == 3, "sure").otherwise("high")
-    j = _cat('{"answer":"a of ', D.cast("string"), '","claims":[', F.array_join(claims, ","), '],"confidence":"', confidence, '","limitations":"  l  ","ride":1}')
-    k = D % 6
+        F.when(_d() % 5 != 4, _cat('{"statement":" real ', _d().cast("string"), '","chunk_id":"', F.col("c0"), '","section":"results"}')),
+        F.when(_d() % 3 != 0, _cat('{"statement":"foreign","chunk_id":"', (_d() + 1).cast("string"), ':0"}')),
+        F.when(_d() % 2 == 0, F.lit('{"statement":"invented","chunk_id":"x-9"}')),
+        F.when(_d() % 4 == 0, F.lit('{"statement":"uncited","chunk_id":null}')),
+        F.when(_d() % 7 == 5, F.lit('{"statement":5}'))))
+    confidence = F.when(_d() % 7 == 3, "sure").otherwise("high")
+    j = _cat('{"answer":"a of ', _d().cast("string"), '","claims":[', F.array_join(claims, ","), '],"confidence":"', confidence, '","limitations":"  l  ","ride":1}')
+    k = _d() % 6
     text = (
         F.when(k == 0, j).when(k == 1, _cat("```json\n", j, "\n```")).when(k == 2, _cat("Here it is: ", j, " Hope {it} helps"))
         .when(k == 3, F.substring(j, F.lit(1), F.length(j) - 5)).when(k == 4, _cat("```\n", j, "\n``` bye")).otherwise(_cat("[", j, "]")))
     # A third of the wrapped replies keeps its brace in the prose, which spoils it.
-    text = F.when((k == 2) & (D % 4 != 0), _cat("Here it is: ", j, " Hope it helps")).otherwise(text)
-    return _first(spark, folder).select(D.alias("request_id"), text.alias("text"))
+    text = F.when((k == 2) & (_d() % 4 != 0), _cat("Here it is: ", j, " Hope it helps")).otherwise(text)
+    return _first(spark, folder).select(_d().alias("request_id"), text.alias("text"))
 
 
 REPLIES = {
@@ -98,17 +103,17 @@ def _g5(spark, folder):
 
 
 def gap_replies(spark, folder):
-    d = D.cast("string")
+    d = _d().cast("string")
     ev = lambda chunk, quote: F.struct(chunk.alias("chunk_id"), F.lit("wrong").alias("paper_id"), F.lit("x").alias("section"), quote.alias("quote"))
     q = F.concat(F.substring("q0", 1, 40), F.lit("!"))
     absent = F.lit("this long quotation does not appear anywhere at all")
     gap = lambda s, conf, *evs: F.struct(F.concat(F.lit(s), d).alias("statement"), F.array(*evs).alias("evidence"), conf.alias("confidence"))
     gaps = F.array(
         gap("g0 ", F.lit("medium"), ev(F.col("c0"), absent), ev(F.lit("x-9"), q)),
-        gap("g1 ", F.when(D % 2 == 0, "high").otherwise("medium"), ev(F.col("c0"), q), ev(F.concat((D + 1).cast("string"), F.lit(":0")), q)),
+        gap("g1 ", F.when(_d() % 2 == 0, "high").otherwise("medium"), ev(F.col("c0"), q), ev(F.concat((_d() + 1).cast("string"), F.lit(":0")), q)),
         gap("g2 ", F.lit("low"), ev(F.col("c0"), F.lit("tiny")), ev(F.col("c0"), q)))
-    body = F.to_json(F.struct(gaps.alias("gaps"), F.when(D % 3 == 0, "own words").otherwise("").alias("limitations")))
-    return _first(spark, folder).select(D.alias("request_id"), (D % 20).alias("corpus_size"), body.alias("text"))
+    body = F.to_json(F.struct(gaps.alias("gaps"), F.when(_d() % 3 == 0, "own words").otherwise("").alias("limitations")))
+    return _first(spark, folder).select(_d().alias("request_id"), (_d() % 20).alias("corpus_size"), body.alias("text"))
 
 
 def _gaps(spark, folder):
@@ -122,21 +127,18 @@ def _g6(spark, folder):
 
 
 def _g7(spark, folder):
-    d = D.cast("string")
+    d = _d().cast("string")
     ev = lambda chunk, quote: F.struct(chunk.alias("chunk_id"), F.lit("wrong").alias("paper_id"), quote.alias("quote"))
     q = F.substring("q0", 1, 60)
     body = F.to_json(F.struct(
         F.array(ev(F.col("c0"), q), ev(F.col("c0"), F.lit("this long quotation does not appear anywhere at all")), ev(F.lit("no"), q)).alias("evidence"),
-        F.lit("high").alias("confidence"), F.when(D % 2 == 0, F.concat(F.lit(" seen "), d, F.lit(" "))).otherwise("").alias("limitations")))
-    rep = _first(spark, folder).select(D.alias("request_id"), (D % 30).alias("corpus_size"), (D % 3).alias("n_external"), body.alias("text"))
-    strength = rep.select("request_id", F.when(D_REQ % 4 != 0, (D_REQ % 10) / 10.0).alias("best_similarity"))
+        F.lit("high").alias("confidence"), F.when(_d() % 2 == 0, F.concat(F.lit(" seen "), d, F.lit(" "))).otherwise("").alias("limitations")))
+    rep = _first(spark, folder).select(_d().alias("request_id"), (_d() % 30).alias("corpus_size"), (_d() % 3).alias("n_external"), body.alias("text"))
+    strength = rep.select("request_id", F.when(_r() % 4 != 0, (_r() % 10) / 10.0).alias("best_similarity"))
     out = G.ground_novelty(R.parse_replies(rep, "novelty"), E.citable(screened(spark, folder)), strength)
     return out.select("request_id", long(F.coalesce(F.size("evidence"), F.lit(0))).alias("n_evidence"), F.get("evidence", F.lit(0))["paper_id"].alias("paper_id"), "confidence", "limitations")
 
 
-D_REQ = F.col("request_id")
-
-
 def _g8(spark, folder):
     p = T.scan(spark, folder, "part", ["p_partkey", "p_size"])
     k = F.col("p_partkey")
@@ -153,7 +155,7 @@ def _g9(spark, folder):
 
 
 def _g10(spark, folder):
-    ev = screened(spark, folder).withColumn("request_id", F.floor(D / 4)).select("request_id", "paper_id", "paper_title")
+    ev = screened(spark, folder).withColumn("request_id", F.floor(_d() / 4)).select("request_id", "paper_id", "paper_title")
     req = ev.select("request_id").distinct()
     refs = req.filter("request_id % 3 <> 2").select("request_id", F.explode(F.array(F.col("request_id") * 4, F.col("request_id") * 4 + 9)).alias("p")).select(
         "request_id", F.col("p").cast("string").alias("paper_id"), F.concat(F.lit("ref "), "p").alias("title"), F.lit(2020).alias("year"))
