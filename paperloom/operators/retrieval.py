@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import collapse, words
 from ..functions.defaults import RELEVANCE_FLOOR, SECTION_BOOST, TASK_SECTIONS, TASK_TOP_K
-from .vector_search import nearest
+from .vector_search import nearest_counted
+
+# Hits of about 100 bytes; their text is bounded by the encoder window.
+BROADCAST_HITS = 20_000
 
 
 def task_profiles(spark: SparkSession) -> DataFrame:
@@ -51,14 +54,24 @@ def search(chunks: DataFrame, papers: DataFrame, queries: DataFrame, **options)
     """Ranked passages per query within the query's own library.
 
     ``queries``: query_id, user_id, embedding, top_k, task, sections and optional
-    want_* filters. The owner condition is part of the ranking step.
+    want_* filters. The owner condition is part of the ranking step. Passages
+    that carry their owner are ranked as they are scanned; only a filter on paper
+    attributes needs the papers before ranking. Text and titles are fetched for
+    the ranked rows alone, which are broadcast when their number is known to be
+    small.
     """
-    own = papers.select("paper_id", F.col("user_id"), "project_id", "publication_year", "tags", F.col("title").alias("paper_title"))
-    scoped = chunks.drop("user_id").join(own, "paper_id")
-    ranked = nearest(scoped, queries.withColumnRenamed("query_id", "probe_id"), **options)
+    own = papers.select("paper_id", "user_id", "publication_year", F.col("title").alias("paper_title"))
+    by_paper = {"want_project", "want_year", "want_tag"} & set(queries.columns)
+    if "user_id" in chunks.columns and not by_paper:
+        pool = chunks
+    else:
+        pool = chunks.drop("user_id").join(papers.select("paper_id", "user_id", "project_id", "publication_year", "tags"), "paper_id")
+    ranked, most = nearest_counted(pool, queries.withColumnRenamed("query_id", "probe_id"), **options)
     ranked = ranked.withColumnRenamed("probe_id", "query_id")
-    detail = scoped.drop("embedding", "tags", "project_id")
-    return ranked.join(detail, "chunk_id")
+    small = most is not None and most <= BROADCAST_HITS
+    detail = chunks.drop("embedding", "user_id")
+    found = (F.broadcast(ranked) if small else ranked).join(detail, "chunk_id")
+    return (F.broadcast(found) if small else found).join(own, "paper_id")
 
 
 def drop_near_identical(hits: DataFrame) -> DataFrame:

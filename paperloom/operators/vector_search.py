@@ -119,16 +119,23 @@ class _Running:
             yield _packed(parts, self.by_owner[owner], names)
 
 
-def nearest(
+def nearest(candidates: DataFrame, probes: DataFrame, **options) -> DataFrame:
+    """The rows of ``nearest_counted``."""
+    return nearest_counted(candidates, probes, **options)[0]
+
+
+def nearest_counted(
     candidates: DataFrame,
     probes: DataFrame,
     *,
     factor: float = SECTION_BOOST,
     broadcast_probes: int = BROADCAST_PROBES,
     block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
+) -> tuple[DataFrame, int | None]:
     """Best ``top_k`` candidates per probe: (probe_id, chunk_id, similarity, score, rank).
 
+    Also gives the most rows this can be, when the probes were counted.
+
     ``candidates``: chunk_id, user_id, embedding and, when a probe uses them,
     section_type, paper_id, project_id, publication_year, tags, arrival.
     ``probes``: probe_id, user_id, embedding, top_k and optionally sections
@@ -155,7 +162,9 @@ def nearest(
 
     # One row more than the limit is fetched, so the size is known in one pass.
     frame = probes.limit(broadcast_probes + 1).toPandas()
+    most = None
     if len(frame) <= broadcast_probes:
+        most = int(frame["top_k"].sum())
         shared = spark.sparkContext.broadcast(
             {owner: part.reset_index(drop=True) for owner, part in frame.groupby("user_id", sort=False)}
         )
@@ -175,7 +184,7 @@ def nearest(
     order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "chunk_id")
     keep = probes.select("probe_id", "top_k")
     ranked = partial.withColumn("rank", F.row_number().over(order)).join(keep, "probe_id")
-    return ranked.filter(F.col("rank") <= F.col("top_k")).drop("top_k")
+    return ranked.filter(F.col("rank") <= F.col("top_k")).drop("top_k"), most
 
 
 def _blockwise(cand: DataFrame, probes: DataFrame, schema: StructType, factor: float, block_rows: int) -> DataFrame:
