@@ -165,6 +165,9 @@ def nearest_counted(
     most = None
     if len(frame) <= broadcast_probes:
         most = int(frame["top_k"].sum())
+        # The counted probes stand in for their plan, which need not run again.
+        keep_schema = StructType([probes.schema["probe_id"], probes.schema["top_k"]])
+        keep = spark.createDataFrame(frame[["probe_id", "top_k"]].values.tolist(), keep_schema)
         shared = spark.sparkContext.broadcast(
             {owner: part.reset_index(drop=True) for owner, part in frame.groupby("user_id", sort=False)}
         )
@@ -180,9 +183,9 @@ def nearest_counted(
         partial = cand.mapInArrow(scan, schema)
     else:
         partial = _blockwise(cand, probes, schema, factor, block_rows)
+        keep = probes.select("probe_id", "top_k")
 
     order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "chunk_id")
-    keep = probes.select("probe_id", "top_k")
     ranked = partial.withColumn("rank", F.row_number().over(order)).join(keep, "probe_id")
     return ranked.filter(F.col("rank") <= F.col("top_k")).drop("top_k"), most
 

@@ -92,7 +92,7 @@ def read_text_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_vector_chunks(spark: SparkSession, folder: str) -> DataFrame:
     vec = F.col("vec_id")
-    paper = F.floor(vec / 5).cast("bigint")
+    paper = F.expr("vec_id div 5")
     return scan(spark, folder, "embeddings").select(
         vec.alias("chunk_id"),
         paper.alias("paper_id"),
