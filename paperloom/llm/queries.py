@@ -10,6 +10,7 @@ import public_tokenizers
 from .bpe import decode, encode
 from .contamination import find_contamination
 from .exact import exact_groups
+from .jaccard import jaccard_groups
 from .urls import judge_urls
 
 #: The host rules of the URL filter.
@@ -38,6 +39,11 @@ def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    groups = jaccard_groups(table(spark, folder, "documents"), k=4, num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), size=10)
     return found.select(
@@ -70,6 +76,22 @@ SQL = {
                coalesce(action, CASE WHEN regexp_matches(parsed.host,
                    '(^|[^a-z0-9])(adult|spam|casino|malware)($|[^a-z0-9])') THEN 'block' ELSE 'allow' END) AS verdict
         FROM parsed LEFT JOIN fitting ON parsed.host = fitting.host AND parsed.path = fitting.path""",
+    "op4_ngram_jaccard": rf"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+            JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+            GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
+        FROM w LEFT JOIN sizes s ON w.doc_id = s.doc_id
+        LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = w.doc_id""",
     "op5_decontamination": rf"""
         WITH doc_words AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}),
@@ -103,6 +125,7 @@ SQL = {
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontamination": op5_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
 }
