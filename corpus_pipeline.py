@@ -13,14 +13,26 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from paperloom.llm.bpe import encode  # noqa: E402
 from paperloom.llm.contamination import drop_contaminated  # noqa: E402
 from paperloom.llm.exact import drop_exact_copies  # noqa: E402
+from paperloom.llm.jaccard import drop_near_copies  # noqa: E402
+from paperloom.llm.quality import drop_low_quality  # noqa: E402
 from paperloom.session import materialise  # noqa: E402
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model trained on trusted text accepts."""
+    return drop_low_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents equal but for the case of A-Z, the one with the largest id."""
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group linked by five-word shingles at 0.8."""
+    return drop_near_copies(docs, k=5, num=4, den=5)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no ten consecutive words of a benchmark item occur."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -32,7 +44,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality classifier", quality),
     ("exact dedup", exact_dedup),
+    ("n-gram Jaccard join", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("byte-level BPE encoding", tokenise),
 ]

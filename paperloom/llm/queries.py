@@ -11,6 +11,7 @@ from .bpe import decode, encode
 from .contamination import find_contamination
 from .exact import exact_groups
 from .jaccard import jaccard_groups
+from .quality import classify_quality
 from .urls import judge_urls
 
 #: The host rules of the URL filter.
@@ -55,6 +56,11 @@ def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
 
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = classify_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_chars", "perplexity", "score", "threshold", "keep")
+
+
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
@@ -128,4 +134,5 @@ QUERIES = {
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontamination": op5_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
 }
