@@ -10,7 +10,10 @@ import public_tokenizers
 from .bpe import decode, encode
 from .contamination import find_contamination
 from .exact import exact_groups
+from .html import extract_text
 from .jaccard import jaccard_groups
+from .licenses import find_licenses
+from .pii import replace_personal_data
 from .quality import classify_quality
 from .urls import judge_urls
 
@@ -23,6 +26,9 @@ HOST_RULES = (
     ("net/fr/", "block"),
 )
 
+#: Key of the registered query; a deployment passes its own secret.
+PSEUDONYM_KEY = b"registered query, not a secret"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -33,6 +39,11 @@ def op1_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(pages, HOST_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_licenses(table(spark, folder, "documents"))
+    return found.select("doc_id", F.concat_ws(",", "licenses").alias("licenses"), F.size("notices").alias("n_notices"))
+
+
 def op3_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     coded = decode(encode(table(spark, folder, "documents"), path), path)
@@ -52,6 +63,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(table(spark, folder, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_groups(table(spark, folder, "documents"))
 
@@ -61,6 +76,12 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_chars", "perplexity", "score", "threshold", "keep")
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    replaced = replace_personal_data(table(spark, folder, "documents"), PSEUDONYM_KEY)
+    kinds = F.concat_ws(",", F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["kind"]))))
+    return replaced.select("doc_id", "n_replaced", kinds.alias("kinds"), "text")
+
+
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
@@ -130,9 +151,12 @@ SQL = {
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_license_scans": op2_license_scans,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontamination": op5_decontamination,
+    "op7_html_extraction": op7_html_extraction,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
