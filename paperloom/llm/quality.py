@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrays import from_planes, mix, planes, random_words, spread, utf8, width_of
+from .arrays import from_planes, mix, planes, random_words, spread, width_of
+from .packing import pack_texts, unpack_texts
 
 #: Order of the model; characters of one vectorised step; characters per bucket of documents.
 ORDER, STEP_CHARS, BUCKET_CHARS = 5, 1 << 19, 16 << 20
@@ -29,52 +29,19 @@ def _bucket(doc_id: str, text: str, buckets: int):
 
 
 def pack(docs: DataFrame, buckets: int, doc_id: str, text: str, lang: str) -> DataFrame:
-    """Documents as compressed runs of texts, by bucket of their id.
-
-    Texts are what a shuffle moves here, so they are compressed together.
-    """
-    picked = docs.select(
+    """Documents as compressed runs of texts, by bucket of their id."""
+    return pack_texts(docs.select(
         _bucket(doc_id, text, buckets).alias("bucket"), F.col(doc_id).alias("doc_id"),
-        F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    kind = dict(picked.dtypes)["doc_id"]
-    names = ["bucket", "ids", "langs", "keys", "sizes", "texts"]
-
-    def work(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            number = batch.column(0).to_numpy()
-            order = np.argsort(number, kind="stable")
-            rows = batch.take(pa.array(order))
-            number = number[order]
-            cut = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
-            for a, b in zip(cut[:-1], cut[1:]):
-                part = rows.slice(a, b - a)
-                raw, at = utf8(part.column(4))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([int(number[a])], pa.int32()),
-                    pa.array([part.column(1).to_pylist()], pa.list_(part.column(1).type)),
-                    pa.array([part.column(2).to_pylist()], pa.list_(pa.string())),
-                    pa.array([part.column(3).to_pylist()], pa.list_(pa.int64())),
-                    pa.array([np.diff(at).astype("<u4").tobytes()], pa.binary()),
-                    pa.array([squeeze.compress(raw.tobytes())], pa.binary()),
-                ], names)
-
-    return picked.mapInArrow(work, (
-        f"bucket int, ids array<{kind}>, langs array<string>, keys array<long>, sizes binary, texts binary"))
+        F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")))
 
 
 def unpack(table: pa.Table):
     """(ids, langs, keys, texts as code points, lengths) of packed rows."""
-    expand = zstandard.ZstdDecompressor()
-    for row in table.to_pylist():
-        sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
-        raw = expand.decompress(row["texts"]) if len(row["texts"]) else b""
+    for row, raw, sizes in unpack_texts(table):
         ends = np.cumsum(sizes)
-        lead = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
-        chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
-        yield row["ids"], row["langs"], row["keys"], chars, lead[ends] - lead[ends - sizes]
+        lead = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+        chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+        yield row["doc_id"], row["lang"], row["text_key"], chars, lead[ends] - lead[ends - sizes]
 
 
 def char_steps(chars: np.ndarray, lengths: np.ndarray):
@@ -280,7 +247,7 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
             out["text_key"] += marks
             out["n_chars"] += lengths.tolist()
             out["nats"] += nats.tolist()
-        types = (texts.schema.field("ids").type.value_type, pa.string(), pa.int64(), pa.int64(), pa.float64())
+        types = (texts.schema.field("doc_id").type.value_type, pa.string(), pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
 
     asked = packed.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, head long, width int, keys binary")

@@ -15,6 +15,7 @@ from .jaccard import jaccard_groups
 from .licenses import find_licenses
 from .pii import replace_personal_data
 from .quality import classify_quality
+from .repeats import find_repeats
 from .urls import judge_urls
 
 #: The host rules of the URL filter.
@@ -63,6 +64,12 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_repeats(table(spark, folder, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract_text(table(spark, folder, "pages"))
 
@@ -155,6 +162,7 @@ QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_extraction": op7_html_extraction,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
