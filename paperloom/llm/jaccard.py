@@ -283,51 +283,73 @@ def indexed_sets(shared: DataFrame, num: int, den: int) -> DataFrame:
         work, "set_id long, n long, tokens binary, signatures array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of set ids whose sets link, by their whole intersection."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, both) for pairs of set ids: the size of their whole intersection."""
 
     def work(batches):
         for batch in batches:
-            keep = []
-            for n, m, left, right in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
-                both = len(np.intersect1d(from_planes(left, TOKEN_BYTES), from_planes(right, TOKEN_BYTES), True))
-                keep.append(den * both >= num * (n + m - both))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            both = [len(np.intersect1d(from_planes(left, TOKEN_BYTES), from_planes(right, TOKEN_BYTES), True))
+                    for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both, pa.int64())], ["a", "b", "both"])
 
-    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "x", "y").mapInArrow(work, "a long, b long")
+    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(
+        work, "a long, b long, both long")
 
 
 def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     """(node, root) of the sets that link to another, by components.
 
-    Sets with a common signature are candidates. First each set is verified with
-    one hub of every signature; sets that come to lie in one component need no
-    comparison of their own. What is left, candidates of different components,
-    is verified pair by pair.
+    Sets with a common signature are candidates, unless their sizes and the
+    number of members they share with anyone (``s``) rule a link out. The set of
+    each signature with the fewest members of its own is its hub: of variants of
+    one text that is the text itself. First each set is compared with its hubs;
+    sets that come to lie in one component need no comparison of their own. What
+    is left, sets of one hub but of different components, is compared pair by
+    pair unless their distances from the hub rule a link out.
     """
-    marks = sets.select("set_id", "n", F.explode("signatures").alias("sig"))
-    hubs = marks.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    near = (F.col("n") * num <= F.col("m") * den) & (F.col("m") * num <= F.col("n") * den)
-    first = marks.join(hubs, "sig").select(
-        F.col("set_id").alias("a"), F.col("hub.set_id").alias("b"), "n", F.col("hub.n").alias("m")
-    ).filter((F.col("a") != F.col("b")) & near).select("a", "b").distinct()
-    links = materialise(verified(first, sets, num, den), "links")
+    size, common = F.col("n"), (F.length("tokens") / TOKEN_BYTES).cast("long").alias("s")
+    marks = materialise(sets.select("set_id", "n", common, F.explode("signatures").alias("sig")), "marks")
+    # Linked sets have at least num / (num + den) of their summed sizes in common.
+    possible = (F.col("n") + F.col("m")) * num <= F.least("s", "o") * (num + den)
+    hubs = marks.groupBy("sig").agg(
+        F.min(F.struct((size - F.col("s")).alias("own"), "set_id", "n", "s")).alias("hub"), F.count("*").alias("c")
+    ).filter("c > 1").select("sig", F.col("hub.set_id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.s").alias("o"))
+    members = materialise(marks.join(hubs, "sig").select(
+        F.col("set_id").alias("a"), "b", "n", "s", "m", "o").distinct(), "members")
+    compared = materialise(overlaps(members.filter((F.col("a") != F.col("b")) & possible).select("a", "b"), sets), "pairs")
+    joined = members.join(compared, ["a", "b"], "left")
+    linked = joined.filter(F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num)
+    links = materialise(linked.select("a", "b"), "links")
     roots = components(links)
 
-    placed = marks.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "root", F.coalesce("root", "set_id"))
-    open_sigs = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    left = placed.join(open_sigs.select("sig"), "sig", "left_semi")
-    left = materialise(left, "open")
-    if is_empty(left):
+    # Symmetric difference from the hub, exact where it was compared.
+    apart = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n") + F.col("m") - 2 * F.coalesce("both", F.least("s", "o")))
+    at_most = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n") + F.col("m") - 2 * F.coalesce("both", F.lit(0)))
+    smallest = members.groupBy("b").agg(F.min("n").alias("least"))
+    # The largest set that one with s shareable members can link to.
+    reach = F.floor(F.col("s") * (num + den) / num) - size
+    placed = joined.select("a", "b", "n", "s", apart.alias("lo"), at_most.alias("hi")).join(smallest, "b").filter(
+        reach >= F.col("least")).join(roots.withColumnRenamed("node", "a"), "a", "left")
+    placed = materialise(placed.select(F.col("b").alias("hub"), "a", "n", "s", "lo", "hi",
+                                       F.coalesce("root", "a").alias("root")), "placed")
+    mixed = placed.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
+    left = placed.join(mixed.select("hub"), "hub", "left_semi")
+    right = left.select("hub", F.col("a").alias("b"), F.col("n").alias("m"), F.col("s").alias("o"),
+                        F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("root").alias("root2"))
+    # Linked sets differ by at most (den - num) / (num + den) of their summed sizes.
+    near = F.greatest(F.col("lo") - F.col("hi2"), F.col("lo2") - F.col("hi")) * (num + den) <= (
+        F.col("n") + F.col("m")) * (den - num)
+    rest = left.join(right, "hub").filter(
+        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & possible & near).select(
+        "a", "b", "n", "m").distinct()
+    rest = materialise(rest, "rest")
+    more = overlaps(rest.select("a", "b"), sets).join(rest, ["a", "b"]).filter(
+        F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num).select("a", "b")
+    more = materialise(more, "links")
+    if is_empty(more):
         return roots
-    one = left.select("sig", F.col("set_id").alias("a"), "n", F.col("root").alias("ra"))
-    two = left.select("sig", F.col("set_id").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    rest = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select(
-        "a", "b").distinct()
-    more = verified(rest, sets, num, den)
     return components(links.union(more))
 
 
