@@ -24,7 +24,7 @@ CANDIDATES = re.compile(
     r"|(?P<dmy>(?<![0-9])[0-9]{2}[./][0-9]{2}[./][0-9]{4}(?![0-9]))"
     r"|(?P<ip>(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
-    r"|(?P<card>(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))")
+    r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))")
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes, fits: Callable[[int], bool] = lambda _: True) -> int:
