@@ -385,11 +385,14 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_
     sets = materialise(indexed_sets(shared, num, den), "indexed")
     roots = link_sets(sets, num, den)
 
-    full = own.filter("n_shingles > 0").join(
-        roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left"
-    ).withColumn("root", F.coalesce("root", "set_id"))
-    smallest = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return full.join(smallest, "root").select("doc_id", "n_shingles", "component_id", "text_key").union(
+    # One row a set, then one a component, written so that the joins below have plain sides that can be split.
+    per_set = own.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first"))
+    rooted = materialise(per_set.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
+        "root", F.coalesce("root", "set_id")), "rooted")
+    smallest = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
+    named = materialise(rooted.join(smallest, "root").select("set_id", "component_id"), "named")
+    full = own.filter("n_shingles > 0").join(named, "set_id")
+    return full.select("doc_id", "n_shingles", "component_id", "text_key").union(
         own.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key"))
 
 
