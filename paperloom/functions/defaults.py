@@ -50,6 +50,7 @@ TASK_TIER = {
     "literature_review": "strong",
 }
 
+# Factors, thresholds, limits.
 SECTION_BOOST = 1.25
 RELEVANCE_FLOOR = 0.35
 DUPLICATE_COSINE = 0.92

@@ -37,7 +37,7 @@ def expand_ligatures(text: Column) -> Column:
     """B2 without Python: enough where only Latin ligatures matter."""
     out = text
     # Latin ligatures and their letters.
-    for glyph, letters in (("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬅ", "st"), ("ﬆ", "st")):
+    for glyph, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")):
         out = F.replace(out, F.lit(glyph), F.lit(letters))
     return out
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,35 +146,6 @@ def opening_duplicates(
     )
 
 
-def opening_duplicates_lsh(
-    chunks: DataFrame, papers: DataFrame, threshold: float = DUPLICATE_COSINE, *, tables: int = 6, bucket: float = 1.0,
-    seed: int = 7,
-) -> DataFrame:
-    """D3, opt-in speed path for very large libraries: hashed buckets, exact recheck.
-
-    On unit vectors cosine >= t is distance <= sqrt(2 - 2t). A pair that shares
-    no bucket is missed, so the exact form stays the default.
-    """
-    own = papers.select("paper_id", "user_id")
-    rows = chunks.drop("user_id").filter((F.col("chunk_index") < 3) & F.col("embedding").isNotNull()).join(own, "paper_id")
-    rows = rows.select("paper_id", "user_id", "chunk_index", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed
-    ).fit(rows)
-    radius = (2 - 2 * threshold) ** 0.5
-    near = model.approxSimilarityJoin(rows.filter("chunk_index = 0"), rows, radius + 1e-6, "distance")
-    near = near.filter(
-        (F.col("datasetA.user_id") == F.col("datasetB.user_id")) & (F.col("datasetA.paper_id") != F.col("datasetB.paper_id"))
-    )
-    cosine = 1 - F.col("distance") * F.col("distance") / 2
-    best = near.groupBy(F.col("datasetA.paper_id").alias("paper_id")).agg(
-        F.min(F.struct(-cosine, F.col("datasetB.paper_id").alias("other"))).alias("b")
-    )
-    return best.select("paper_id", F.col("b.other").alias("duplicate_of"), (-F.col("b.col1")).alias("similarity")).filter(
-        F.col("similarity") >= threshold
-    )
-
-
 def attach_duplicates(papers: DataFrame, found: DataFrame) -> DataFrame:
     """D4, write side: put the duplicate flag on its paper."""
     return papers.drop("duplicate_of", "duplicate_similarity").join(

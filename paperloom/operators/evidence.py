@@ -29,11 +29,6 @@ INJECTION_PATTERNS = (
     r"\bfabricate\b",
     r"\breveal your (system )?(prompt|instructions)\b",
 )
-# A word each of the patterns cannot do without.
-PATTERN_WORDS = (
-    "ignore", "disregard", "instructions", "override", "you are now", "developer", "pretend", "act as", "mention",
-    "state these", "you must", "you should", "fabricate", "reveal",
-)
 # A quoted span of at most 400 characters.
 QUOTED = r"""["'‘’“”]([^"'‘’“”]{0,400})["'‘’“”]"""
 
@@ -74,9 +69,13 @@ def section_rank(section: Column) -> Column:
     return F.when(at > 0, at - 1).otherwise(F.lit(len(SECTION_LABELS) - 1)).cast("int")
 
 
-def equal_shares(hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
-    """each compared paper gets the same part of the budget."""
-    n = hits.groupBy("query_id").agg(F.count_distinct("paper_id").alias("_n"))
+def equal_shares(hits: DataFrame, budget: int = CONTEXT_CHARS, asked: DataFrame | None = None) -> DataFrame:
+    """each compared paper gets the same part of the budget.
+
+    ``asked``: query_id, paper_id of the papers to compare, with or without hits;
+    left out, the papers that have hits count.
+    """
+    n = (hits if asked is None else asked).groupBy("query_id").agg(F.count_distinct("paper_id").alias("_n"))
     return hits.join(n, "query_id").withColumn("budget", F.floor(F.lit(budget) / F.col("_n")).cast("int")).drop("_n")
 
 
@@ -141,15 +140,8 @@ def pack(hits: DataFrame, budget: int = CONTEXT_CHARS, keys: tuple[str, ...] = (
 def is_suspicious(text: Column) -> Column:
     """the passage instructs its reader outside quotation marks."""
 
-    def check(t: Column) -> Column:
-        # Every pattern holds one of these words, whatever the case; few passages do.
-        low = F.lower(F.translate(t, "ſKıİ", "skii"))
-        maybe = F.lit(False)
-        for word in PATTERN_WORDS:
-            maybe = maybe | low.contains(word)
-        return F.when(maybe, F.regexp_replace(t, QUOTED, " ").rlike("(?iU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)))
-
-    return F.coalesce(let(text, check), F.lit(False))
+    outside = F.regexp_replace(text, QUOTED, " ")
+    return F.coalesce(outside.rlike("(?iU)" + "|".join(f"(?:{p})" for p in INJECTION_PATTERNS)), F.lit(False))
 
 
 def screen(hits: DataFrame) -> DataFrame:

@@ -33,6 +33,7 @@ SUBJECT_WORDS = (
     "methods", "system", "systems", "generation", "retrieval", "embedding",
     "embeddings", "large", "machine", "quantum", "climate", "cancer",
 )
+# Marks that follow an author's name.
 AUTHOR_MARKS = r"(?U)[\d\*†‡§¶#⋆★☆✦✳∗♦]"
 
 

@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import collapse, words
 from ..functions.defaults import RELEVANCE_FLOOR, SECTION_BOOST, TASK_SECTIONS, TASK_TOP_K
-from .vector_search import nearest_counted
-
-# Hits of about 100 bytes; their text is bounded by the encoder window.
-BROADCAST_HITS = 20_000
+from .vector_search import nearest
 
 
 def task_profiles(spark: SparkSession) -> DataFrame:
@@ -54,24 +51,23 @@ def search(chunks: DataFrame, papers: DataFrame, queries: DataFrame, **options)
     """Ranked passages per query within the query's own library.
 
     ``queries``: query_id, user_id, embedding, top_k, task, sections and optional
-    want_* filters. The owner condition is part of the ranking step. Passages
-    that carry their owner are ranked as they are scanned; only a filter on paper
-    attributes needs the papers before ranking. Text and titles are fetched for
-    the ranked rows alone, which are broadcast when their number is known to be
-    small.
+    want_* filters. Only passages of a paper that exists and belongs to the asking
+    user are ranked: the papers decide before the best k are cut, so neither a
+    passage marked with a wrong owner nor one without a paper comes back or takes
+    a place. Text and titles are fetched for the ranked rows alone.
     """
     own = papers.select("paper_id", "user_id", "publication_year", F.col("title").alias("paper_title"))
     by_paper = {"want_project", "want_year", "want_tag"} & set(queries.columns)
-    if "user_id" in chunks.columns and not by_paper:
-        pool = chunks
+    if by_paper:
+        owned = papers.select("paper_id", "user_id", "project_id", "publication_year", "tags")
+        pool = chunks.join(owned, ["paper_id", "user_id"] if "user_id" in chunks.columns else "paper_id")
+    elif "user_id" in chunks.columns:
+        pool = chunks.join(papers.select("paper_id", "user_id"), ["paper_id", "user_id"], "left_semi")
     else:
-        pool = chunks.drop("user_id").join(papers.select("paper_id", "user_id", "project_id", "publication_year", "tags"), "paper_id")
-    ranked, most = nearest_counted(pool, queries.withColumnRenamed("query_id", "probe_id"), **options)
-    ranked = ranked.withColumnRenamed("probe_id", "query_id")
-    small = most is not None and most <= BROADCAST_HITS
-    detail = chunks.drop("embedding", "user_id")
-    found = (F.broadcast(ranked) if small else ranked).join(detail, "chunk_id")
-    return (F.broadcast(found) if small else found).join(own, "paper_id")
+        pool = chunks.join(papers.select("paper_id", "user_id"), "paper_id")
+    ranked = nearest(pool, queries.withColumnRenamed("query_id", "probe_id"), **options).withColumnRenamed(
+        "probe_id", "query_id")
+    return ranked.join(chunks.drop("embedding", "user_id"), "chunk_id").join(own, "paper_id")
 
 
 def drop_near_identical(hits: DataFrame) -> DataFrame:
@@ -143,6 +139,18 @@ def evidence_gate(strength: DataFrame) -> DataFrame:
     )
 
 
+def compared_papers_gate(asked: DataFrame, hits: DataFrame) -> DataFrame:
+    """E12 for comparisons: (query_id, missing_papers, gate).
+
+    ``asked``: query_id, paper_id of every paper to compare. A comparison is
+    refused when any of them has no passage among the hits.
+    """
+    found = hits.select("query_id", "paper_id").distinct().withColumn("found", F.lit(True))
+    per_query = asked.select("query_id", "paper_id").distinct().join(found, ["query_id", "paper_id"], "left").groupBy(
+        "query_id").agg(F.count_if(F.col("found").isNull()).alias("missing_papers"))
+    return per_query.withColumn("gate", F.when(F.col("missing_papers") > 0, "EMPTY").otherwise("OK"))
+
+
 def reload_chunks(requests: DataFrame, chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """Passages by id, owner-checked, in title then passage order.
 

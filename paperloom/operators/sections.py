@@ -23,6 +23,7 @@ HEADING_PATTERNS = (
     ("conclusion", r"^(conclusions?|concluding\s+remarks|summary)\b"),
     ("references", r"^(references?|bibliography|works\s+cited)\b"),
 )
+# Section numbers before a heading, and the limits of a heading.
 NUMBER_PREFIX = r"^\s*(?:\d{1,2}(?:\.\d{1,2}){0,3}|[IVXLC]{1,6}|[A-H])[.)]?\s+"
 MAX_HEADING_WORDS = 8
 MAX_HEADING_CHARS = 90

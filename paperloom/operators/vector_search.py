@@ -4,7 +4,7 @@ The similarity of every (probe, candidate) of one owner is computed as a matrix
 product inside the task and reduced there to the best ``top_k`` per probe, so
 pairs never become rows. Two physical forms, same result:
 
-* few probes (size measured): the probes are broadcast, candidates are scanned
+* few probes (bytes measured): the probes are broadcast, candidates are scanned
   where they lie, and only ``top_k`` rows per task and probe are shuffled;
 * many probes: both sides are cut into blocks of bounded size by hash, so an
   owner with a large share of all rows is spread over many tasks.
@@ -28,8 +28,16 @@ from ..functions.vectors import best_rows, unit_rows
 
 # Optional probe columns and the candidate column each restricts.
 EQUAL_FILTERS = {"want_project": "project_id", "want_paper": "paper_id", "want_year": "publication_year"}
-BROADCAST_PROBES = 20_000  # 384 doubles each: about 60 MB
+BROADCAST_BYTES = 64 << 20  # of probe vectors as doubles
 BLOCK_ROWS = 20_000
+# Rows of a score matrix that exist at a time: with 20,000 probes 330 MB at most.
+SLICE_ROWS = 2_000
+
+
+def vectors(column) -> np.ndarray:
+    """Vectors of a pandas column as one matrix of doubles."""
+    width = len(column.iloc[0])
+    return np.concatenate(column.to_numpy()).astype(np.float64, copy=False).reshape(len(column), width)
 
 
 class ProbeSet:
@@ -37,7 +45,7 @@ class ProbeSet:
 
     def __init__(self, frame: pd.DataFrame):
         self.ids = frame["probe_id"].to_numpy()
-        self.matrix = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in frame["embedding"]]))
+        self.matrix = unit_rows(vectors(frame["embedding"]))
         self.keep = frame["top_k"].to_numpy()
         self.boost = [frozenset(s) if s is not None else frozenset() for s in frame.get("sections", [None] * len(frame))]
         self.wants = {
@@ -50,8 +58,13 @@ class ProbeSet:
 
 
 def score_block(probes: ProbeSet, cand: pd.DataFrame, factor: float) -> Iterator[tuple]:
-    """Yield (probe position, ids, similarities, scores) of the best rows of one block."""
-    matrix = unit_rows(np.stack([np.asarray(v, dtype=np.float64) for v in cand["embedding"]]))
+    """Yield (probe position, ids, similarities, scores) of the best rows of each slice of one block."""
+    for at in range(0, len(cand), SLICE_ROWS):
+        yield from _score_slice(probes, cand.iloc[at : at + SLICE_ROWS], factor)
+
+
+def _score_slice(probes: ProbeSet, cand: pd.DataFrame, factor: float) -> Iterator[tuple]:
+    matrix = unit_rows(vectors(cand["embedding"]))
     sims = matrix @ probes.matrix.T
     ids = cand["chunk_id"].to_numpy()
     sections = cand["section_type"].to_numpy() if "section_type" in cand else None
@@ -119,27 +132,21 @@ class _Running:
             yield _packed(parts, self.by_owner[owner], names)
 
 
-def nearest(candidates: DataFrame, probes: DataFrame, **options) -> DataFrame:
-    """The rows of ``nearest_counted``."""
-    return nearest_counted(candidates, probes, **options)[0]
-
-
-def nearest_counted(
+def nearest(
     candidates: DataFrame,
     probes: DataFrame,
     *,
     factor: float = SECTION_BOOST,
-    broadcast_probes: int = BROADCAST_PROBES,
+    broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
-) -> tuple[DataFrame, int | None]:
+) -> DataFrame:
     """Best ``top_k`` candidates per probe: (probe_id, chunk_id, similarity, score, rank).
 
-    Also gives the most rows this can be, when the probes were counted.
-
     ``candidates``: chunk_id, user_id, embedding and, when a probe uses them,
     section_type, paper_id, project_id, publication_year, tags, arrival.
     ``probes``: probe_id, user_id, embedding, top_k and optionally sections
     (boosted), want_project/want_paper/want_year/want_tag, skip_paper, before, floor.
+    Candidates and probes without a vector have no neighbours.
     """
     require_columns(candidates, "chunk_id", "user_id", "embedding")
     require_columns(probes, "probe_id", "user_id", "embedding", "top_k")
@@ -149,6 +156,7 @@ def nearest_counted(
     used |= {c for w, c in EQUAL_FILTERS.items() if w in probes.columns}
     used |= {c for w, c in (("want_tag", "tags"), ("skip_paper", "paper_id"), ("before", "arrival")) if w in probes.columns}
     require_columns(candidates, *used)
+    probes = probes.filter(F.col("embedding").isNotNull())
     cand = candidates.filter(F.col("embedding").isNotNull()).select(*sorted(used))
     schema = StructType(
         [
@@ -160,11 +168,9 @@ def nearest_counted(
     )
     names = schema.fieldNames()
 
-    # One row more than the limit is fetched, so the size is known in one pass.
-    frame = probes.limit(broadcast_probes + 1).toPandas()
-    most = None
-    if len(frame) <= broadcast_probes:
-        most = int(frame["top_k"].sum())
+    count, width = probes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    if 8 * count * width <= broadcast_bytes:
+        frame = probes.toPandas()
         # The counted probes stand in for their plan, which need not run again.
         keep_schema = StructType([probes.schema["probe_id"], probes.schema["top_k"]])
         keep = spark.createDataFrame(frame[["probe_id", "top_k"]].values.tolist(), keep_schema)
@@ -187,7 +193,7 @@ def nearest_counted(
 
     order = Window.partitionBy("probe_id").orderBy(F.desc("score"), "chunk_id")
     ranked = partial.withColumn("rank", F.row_number().over(order)).join(keep, "probe_id")
-    return ranked.filter(F.col("rank") <= F.col("top_k")).drop("top_k"), most
+    return ranked.filter(F.col("rank") <= F.col("top_k")).drop("top_k")
 
 
 def _blockwise(cand: DataFrame, probes: DataFrame, schema: StructType, factor: float, block_rows: int) -> DataFrame:
@@ -212,8 +218,9 @@ def _blockwise(cand: DataFrame, probes: DataFrame, schema: StructType, factor: f
     def one(block: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         if block.empty or wanted.empty:
             return pd.DataFrame({n: [] for n in names})
-        probe_set = ProbeSet(wanted)
-        return _packed(list(score_block(probe_set, block, factor)), probe_set, names)
+        running = _Running({0: ProbeSet(wanted)}, factor)
+        running.add(block.assign(user_id=0))
+        return pd.concat([*running.frames(names), pd.DataFrame({n: [] for n in names})][:1])
 
     keys = ["user_id", "cb", "pb"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, schema)

@@ -11,7 +11,7 @@ _SECTIONS = "[" + ", ".join(f"'{s}'" for s in SECTION_LABELS) + "]"
 VIEWS = {
     "papers": """
         SELECT doc_id AS paper_id, doc_id % 8 AS user_id, source AS project_id,
-               left(split_part(text, chr(10), 1), 1000) AS title,
+               split_part(text, chr(10), 1) AS title,
                [['Ada','Bo','Cy','Di','Eve'][doc_id % 5 + 1] || ' ' || upper(left(source,1)) || substr(source,2),
                 upper(left(lang,1)) || substr(lang,2) || ' Writer'] AS authors,
                [lang, source] AS tags,
@@ -84,12 +84,17 @@ VIEWS = {
               FROM (SELECT user_id, label, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM vec_chunks)
               GROUP BY ALL) JOIN profiles ON task_no = label % 7
         GROUP BY ALL""",
+    "marked": """
+        SELECT * REPLACE (CASE WHEN chunk_id % 11 = 3 THEN (user_id + 1) % 8 ELSE user_id END AS user_id,
+                          CASE WHEN chunk_id % 13 = 5 THEN paper_id + 1000000000 ELSE paper_id END AS paper_id)
+        FROM vec_chunks""",
     "scored": """
-        SELECT query_id, q.user_id, task, chunk_id, paper_id, chunk_index, section_type,
+        SELECT query_id, q.user_id, task, chunk_id, c.paper_id, chunk_index, section_type,
                list_cosine_similarity(c.embedding, q.embedding) AS similarity,
                list_cosine_similarity(c.embedding, q.embedding)
                  * CASE WHEN list_contains(q.sections, section_type) THEN 1.25 ELSE 1.0 END AS score
-        FROM vec_chunks c JOIN questions q ON c.user_id = q.user_id""",
+        FROM marked c JOIN questions q ON c.user_id = q.user_id
+        JOIN papers o ON o.paper_id = c.paper_id AND o.user_id = c.user_id""",
     "hits": """
         SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank,
                p.title AS paper_title, p.publication_year,

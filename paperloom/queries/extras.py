@@ -11,7 +11,7 @@ from ..plans.answering import prepare_requests
 from ..sources import tables as T
 from ..streaming import jobs as J
 from .duck import sql
-from .search import KEYWORD, hits, questions, raw_hits
+from .search import KEYWORD, hits, marked_chunks, questions, raw_hits
 from .streams import _stream
 
 
@@ -57,7 +57,7 @@ def _m5(spark, folder):
 
 def _requests(spark, folder):
     content = T.read_vector_content(spark, folder)
-    chunks = T.read_vector_chunks(spark, folder).join(content, "chunk_id", "left").withColumn(
+    chunks = marked_chunks(spark, folder).join(content, "chunk_id", "left").withColumn(
         "content", F.coalesce("content", F.concat(F.lit("passage "), "chunk_id")))
     qs = questions(spark, folder).withColumns({
         "text": F.concat(F.lit("Question "), "query_id"), "single_paper": F.lit(False), "refresh": F.col("query_id") % 7 == 0})
@@ -88,7 +88,10 @@ QUERIES = {
     "m2_recall_at_k": (_m2, sql("""
         SELECT c.user_id * 100 + c.label AS query_id, count(*) AS relevant, count(h.chunk_id) AS found, round(count(h.chunk_id) / count(*), 4) AS recall
         FROM vec_chunks c LEFT JOIN hits h ON h.query_id = c.user_id * 100 + c.label AND h.chunk_id = c.chunk_id GROUP BY 1""")),
-    "m3_saved_search_alerts": (_m3, sql("SELECT query_id, chunk_id, round(similarity, 4) AS similarity FROM scored WHERE similarity >= 0.45")),
+    "m3_saved_search_alerts": (_m3, sql("""
+        SELECT query_id, chunk_id, round(list_cosine_similarity(c.embedding, q.embedding), 4) AS similarity
+        FROM vec_chunks c JOIN questions q ON c.user_id = q.user_id
+        WHERE list_cosine_similarity(c.embedding, q.embedding) >= 0.45""")),
     "m4_library_growth": (_m4, sql("""
         SELECT user_id, period, added, (sum(added) OVER (PARTITION BY user_id ORDER BY period))::BIGINT AS total
         FROM (SELECT user_id, strftime(created_at, '%Y-%m') AS period, count(*) AS added FROM library GROUP BY ALL)""")),

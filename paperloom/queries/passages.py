@@ -121,12 +121,17 @@ def _c11(spark, folder):
 
 def _c12(spark, folder):
     papers = T.read_papers(spark, folder)
-    tables = {"papers": papers, "jobs": T.read_jobs(spark, folder), "concepts": T.read_concepts(spark, folder)}
+    tables = {"papers": papers, "jobs": T.read_jobs(spark, folder), "concepts": T.read_concepts(spark, folder),
+              "chunks": T.read_text_chunks(spark, folder), "analyses": T.read_analyses(spark, folder)}
     return Q.audit(
         tables,
         {"papers_user_hash_unique": ("papers", ["user_id", "content_hash"]),
-         "concepts_unique": ("concepts", ["paper_id", "concept", "concept_type"])},
-        {"jobs_paper_exists": ("jobs", "papers", "paper_id")},
+         "concepts_unique": ("concepts", ["paper_id", "concept", "concept_type"]),
+         "chunks_index_unique": ("chunks", ["paper_id", "chunk_index"]),
+         "analyses_cache_unique": ("analyses", ["user_id", "cache_key"])},
+        {"jobs_paper_exists": ("jobs", "papers", "paper_id"), "chunks_paper_exists": ("chunks", "papers", "paper_id"),
+         "concepts_paper_exists": ("concepts", "papers", "paper_id"),
+         "analyses_paper_exists": ("analyses", "papers", "paper_id")},
     )
 
 
@@ -223,7 +228,12 @@ QUERIES = {
         UNION ALL SELECT 'concepts_type', count(*) FILTER (WHERE concept_type NOT IN ('keyword','method','dataset','metric','domain')) FROM concepts
         UNION ALL SELECT 'papers_user_hash_unique', (count(*) - count(DISTINCT (user_id, content_hash)))::BIGINT FROM papers
         UNION ALL SELECT 'concepts_unique', (count(*) - count(DISTINCT (paper_id, concept, concept_type)))::BIGINT FROM concepts
-        UNION ALL SELECT 'jobs_paper_exists', count(*) FROM jobs WHERE paper_id NOT IN (SELECT paper_id FROM papers)""")),
+        UNION ALL SELECT 'chunks_index_unique', (count(*) - count(DISTINCT (paper_id, chunk_index)))::BIGINT FROM text_chunks
+        UNION ALL SELECT 'analyses_cache_unique', (count(*) - count(DISTINCT (user_id, cache_key)))::BIGINT FROM analyses
+        UNION ALL SELECT 'jobs_paper_exists', count(*) FROM jobs WHERE paper_id NOT IN (SELECT paper_id FROM papers)
+        UNION ALL SELECT 'chunks_paper_exists', count(*) FROM text_chunks WHERE paper_id NOT IN (SELECT paper_id FROM papers)
+        UNION ALL SELECT 'concepts_paper_exists', count(*) FROM concepts WHERE paper_id NOT IN (SELECT paper_id FROM papers)
+        UNION ALL SELECT 'analyses_paper_exists', count(*) FROM analyses WHERE paper_id NOT IN (SELECT paper_id FROM papers)""")),
     "c13_metadata_merge": (_c13, sql(f"""
         SELECT paper_id, CASE WHEN paper_id % 5 = 3 THEN 'A better title for ' || project_id ELSE title END AS title,
                CASE WHEN paper_id % 2 = 0 THEN 'Grace Hopper' ELSE array_to_string(authors, '|') END AS authors,

@@ -30,9 +30,17 @@ def questions(spark, folder):
     )
 
 
+def marked_chunks(spark, folder):
+    """Passages of which some carry a wrong owner and some belong to no paper."""
+    chunk = F.col("chunk_id")
+    return T.read_vector_chunks(spark, folder).withColumns({
+        "user_id": F.when(chunk % 11 == 3, (F.col("user_id") + 1) % 8).otherwise(F.col("user_id")),
+        "paper_id": F.when(chunk % 13 == 5, F.col("paper_id") + 1_000_000_000).otherwise(F.col("paper_id"))})
+
+
 def raw_hits(spark, folder, qs=None):
     return R.search(
-        T.read_vector_chunks(spark, folder), T.read_papers(spark, folder).drop("text"),
+        marked_chunks(spark, folder), T.read_papers(spark, folder).drop("text"),
         questions(spark, folder) if qs is None else qs,
     )
 
@@ -304,7 +312,9 @@ QUERIES = {
         (SELECT analysis_id, user_id, analysis_type, input_query FROM analyses
          WHERE user_id = 78 AND analysis_type = 'qa' AND project_id = 'p1' ORDER BY created_at DESC, analysis_id LIMIT 20)""")),
     "e16_distinct_tags": (_e16, sql("SELECT DISTINCT user_id, unnest(tags) AS tag FROM papers")),
-    "e17_encode": (_e17, None),
+    "e17_encode": (_e17, sql("""
+        SELECT chunk_id, 384::BIGINT AS dim, CASE WHEN regexp_matches(content, '\\S') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm2
+        FROM text_chunks""")),
     "e18_novelty_candidates": (_e18, sql("""
         SELECT 'idea-' || query_id AS query_id, 'library' AS origin, chunk_id::VARCHAR AS evidence_id,
                paper_title AS title, round(similarity, 4) AS similarity FROM hits

@@ -21,9 +21,14 @@ def _stream(spark, folder, table):
 
 
 def _l1(spark, folder):
-    docs = _stream(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), "text")
+    # Every third paper comes twice in one batch, the old version with another text.
+    versions = F.explode(F.filter(F.array(
+        F.struct(F.lit(2).alias("arrived"), F.col("text")),
+        F.struct(F.lit(1).alias("arrived"), F.concat(F.lit("zzz old version "), "text").alias("text")),
+    ), lambda v: (v["arrived"] == 2) | (F.col("doc_id") % 3 == 0))).alias("v")
+    docs = _stream(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), versions).select("paper_id", "v.*")
     base = f"{shared_folder(spark)}/index-{J.uuid.uuid4().hex}"
-    J.index_stream(docs, f"{base}/chunks", f"{base}/state", size=1_000_000, overlap=0).awaitTermination()
+    J.index_stream(docs, f"{base}/chunks", f"{base}/state", arrival="arrived", size=1_000_000, overlap=0).awaitTermination()
     return spark.read.parquet(f"{base}/chunks").select(
         "paper_id", long("chunk_index").alias("chunk_index"), "section_type", "content", long("token_count").alias("token_count"), long(F.size("embedding")).alias("dim"))
 
@@ -50,7 +55,7 @@ def _l4(spark, folder):
     jobs = _stream(spark, folder, "events").select(
         (F.col("user_id") * 5 + F.get_json_object("props", "$.k").cast("bigint") % 5).alias("paper_id"),
         F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
-    return spark.read.parquet(J.run_available(J.job_states(jobs), "jobs", mode="complete")).select("paper_id", "job_id", "status")
+    return spark.read.parquet(J.run_available(J.job_states(jobs), "jobs", mode="update", key="paper_id")).select("paper_id", "job_id", "status")
 
 
 def _l5(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +13,8 @@ from ..functions.columns import long
 from ..operators import library as L
 from ..operators import maintenance as M
 from ..sources import sinks, uploads
+from ..session import shared_folder
+from ..sources import sinks
 from ..sources import tables as T
 from .duck import sql
 
@@ -80,6 +84,19 @@ def _a7(spark, folder):
     return M.replace_rows(c, new).select("paper_id", long("chunk_index").alias("chunk_index"), "content")
 
 
+def _a7_table(spark, folder):
+    """The same replacement in a stored table, twice, with a text of the second run that stays."""
+    c = T.read_text_chunks(spark, folder).select("paper_id", "chunk_index", "content")
+    outdated = T.read_papers(spark, folder).filter("index_version = 0").select("paper_id")
+    new = c.join(outdated, "paper_id", "left_semi").groupBy("paper_id").agg(
+        F.min("chunk_index").alias("chunk_index"), F.concat(F.lit("rebuilt: "), F.min_by("content", "chunk_index")).alias("content"))
+    path = f"{shared_folder(spark)}/replaced-{uuid.uuid4().hex}"
+    sinks.write_bucketed(c, path, buckets=8)
+    sinks.replace_in_table(spark, new.withColumn("content", F.lit("first run")), path)
+    sinks.replace_in_table(spark, new, path)
+    return sinks.read_bucketed(spark, path).select("paper_id", long("chunk_index").alias("chunk_index"), "content")
+
+
 def _a8(spark, folder):
     c = T.read_concepts(spark, folder).withColumn("confidence", F.round("confidence", 2))
     keys = ["paper_id", "concept", "concept_type"]
@@ -164,6 +181,9 @@ QUERIES = {
     "a7_replace_on_reindex": (_a7, sql("""
         SELECT paper_id, chunk_index, CASE WHEN paper_id % 2 = 0 THEN 'rebuilt: ' || content ELSE content END AS content FROM text_chunks
         WHERE paper_id % 2 = 1 OR chunk_index = (SELECT min(t.chunk_index) FROM text_chunks t WHERE t.paper_id = text_chunks.paper_id)""")),
+    "a7_replace_in_table": (_a7_table, sql("""
+        SELECT paper_id, chunk_index, CASE WHEN paper_id % 2 = 0 THEN 'rebuilt: ' || content ELSE content END AS content FROM text_chunks
+        WHERE paper_id % 2 = 1 OR chunk_index = (SELECT min(t.chunk_index) FROM text_chunks t WHERE t.paper_id = text_chunks.paper_id)""")),
     "a8_insert_ignore": (_a8, sql(f"""
         WITH c AS (SELECT * REPLACE (round(confidence, 2) AS confidence) FROM concepts),
              s AS (SELECT * FROM (SELECT *, {_FIRST} FROM c WHERE line_no <= 2) WHERE rn = 1),

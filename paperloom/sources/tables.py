@@ -23,18 +23,8 @@ def scan(spark: SparkSession, folder: str, table: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a few files over all cores; a table of many files stays where it lies.
-
-    One small file is one task however many cores there are, which costs more
-    than this shuffle when rows are expensive to work on.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 def read_documents(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    return spread(scan(spark, folder, "documents", columns), "doc_id")
+    return scan(spark, folder, "documents", columns)
 
 
 def pick(values, index: Column) -> Column:
@@ -54,7 +44,7 @@ def read_papers(spark: SparkSession, folder: str) -> DataFrame:
         doc.alias("paper_id"),
         (doc % 8).alias("user_id"),
         F.col("source").alias("project_id"),
-        F.left(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(1000)).alias("title"),
+        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.array(
             F.concat(pick(("Ada", "Bo", "Cy", "Di", "Eve"), doc % 5), F.lit(" "), F.initcap("source")),
             F.concat(F.initcap("lang"), F.lit(" Writer")),

@@ -93,10 +93,10 @@ def test_replace_in_table(spark, tmp_path):
     sinks.write_bucketed(rows(range(20), "old"), path, buckets=4)
     new = rows([3, 40], "new").filter("chunk_index = 0")
     for _ in range(2):  # a repeated run changes nothing more
-        sinks.replace_in_table(spark, new, path, buckets=4)
+        sinks.replace_in_table(spark, new, path)  # by the table's own number of buckets
     got = {(r.paper_id, r.chunk_index): r.content for r in spark.read.parquet(path).collect()}
     assert got[(3, 0)] == "new3" and (3, 1) not in got and got[(40, 0)] == "new40" and got[(7, 1)] == "old7" and len(got) == 40
-    sinks.replace_in_table(spark, new.limit(0), path, buckets=4, replaced=spark.createDataFrame([(n,) for n in range(41)], "paper_id int"))
+    sinks.replace_in_table(spark, new.limit(0), path, replaced=spark.createDataFrame([(n,) for n in range(41)], "paper_id int"))
     assert spark.read.parquet(path).count() == 0
 
 
@@ -113,6 +113,25 @@ def test_index_stream_replaces(spark, tmp_path):
     assert got == {(1, "abstract"): "second words", (2, "other"): "Plain text only"}
 
 
+def test_newest_version_wins_in_one_batch(spark, tmp_path):
+    schema = "paper_id bigint, text string, at int"
+    rows = [(1, "Abstract\nzz old", 1), (1, "Abstract\nnew words", 2), (2, "Only", 5), (1, "Abstract\nyy older", 0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    index_stream(stream_files(spark, str(tmp_path / "in"), "*.parquet", schema), str(tmp_path / "out"), str(tmp_path / "ck"),
+                 buckets=2, arrival="at").awaitTermination()
+    got = {(r.paper_id, r.content) for r in sinks.read_bucketed(spark, str(tmp_path / "out")).collect()}
+    assert got == {(1, "new words"), (2, "Only")}
+
+
+def test_foreign_and_orphan_passages_take_no_place(spark):
+    chunks = spark.createDataFrame([(1, 10, 1, [1.0, 0.0]), (2, 99, 1, [1.0, 0.1]), (3, 20, 1, [1.0, 0.2]), (4, 10, 1, [0.0, 1.0])],
+                                   "chunk_id int, paper_id int, user_id int, embedding array<float>")
+    papers = spark.createDataFrame([(10, 1, "A", 2000), (20, 2, "B", 2001)], "paper_id int, user_id int, title string, publication_year int")
+    ask = spark.createDataFrame([(7, 1, [1.0, 0.3], 2), (8, 1, None, 2)], "query_id int, user_id int, embedding array<float>, top_k int")
+    got = R.search(chunks, papers, ask).orderBy("rank").collect()
+    assert [(r.query_id, r.chunk_id) for r in got] == [(7, 1), (7, 4)]
+
+
 def test_owner_isolation(spark):
     """Taking away another user's rows never changes a result; an intruder gets nothing."""
     chunks = spark.createDataFrame([(n, n % 6, n % 2, "results", f"text {n}", [float(n % 5), 1.0]) for n in range(24)],
