@@ -18,16 +18,41 @@ STOP_WORDS = (
 ).split()
 
 
+# Endings of inflected English words and what takes their place, one after the other.
+ENDINGS = (
+    ("^(.{2,})ies$", "$1y"),
+    ("^(.+(?:ss|x|ch|sh))es$", "$1"),
+    ("^(.{2,}[^su])s$", "$1"),
+    ("^(.*[aeiouy].+)(?:ing|ed|ly)$", "$1"),
+)
+DOUBLED = "(?:bb|dd|gg|mm|nn|pp|rr|tt)$"
+
+
+def stem(word: Column) -> Column:
+    """A word without its inflection, so that ``networks`` meets ``network`` and ``running`` meets ``run``."""
+    out = word
+    for ending, instead in ENDINGS:
+        out = F.regexp_replace(out, ending, instead)
+    out = let(out, lambda w: F.when(w.rlike(DOUBLED), F.left(w, F.length(w) - 1)).otherwise(w))
+    return F.regexp_replace(out, "^(.{3,})e$", "$1")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def terms(text: Column) -> Column:
-    """Lower-cased words of letters and digits without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    """Stems of the lower-cased words of letters and digits, without stop words, each once."""
+    kept = F.array_except(F.array_distinct(_words(text)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    return F.array_distinct(F.transform(kept, stem))
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     """Passages of the owner's library that hold every term of a query, best first.
 
-    ``queries``: query_id, user_id, text. Rank is ``sum((1 + ln tf) * ln(1 + N / df))``
+    ``queries``: query_id, user_id, text and optionally want_project, which
+    restricts a query to passages of that ``project_id``. Words are compared by
+    their stems on both sides. Rank is ``sum((1 + ln tf) * ln(1 + N / df))``
     over the query's terms, with document counts inside the user's library.
 
     Candidates come from the rarest term of each query only, since a match has
@@ -43,8 +68,11 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Da
         .agg(F.count(F.lit(1)).alias("df"))
     )
     weighted = asked.join(held, ["user_id", "term"], "left").join(totals, "user_id")
+    if "want_project" in queries.columns:
+        weighted = weighted.join(queries.select("query_id", "want_project"), "query_id")
+    project = ["want_project"] if "want_project" in queries.columns else []
     plan = (
-        weighted.groupBy("query_id", "user_id")
+        weighted.groupBy("query_id", "user_id", *project)
         .agg(
             F.sort_array(
                 F.collect_list(F.struct("term", F.log(1 + F.col("n_chunks") / F.col("df")).alias("idf")))
@@ -55,9 +83,12 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Da
         .filter("absent = 0")
         .drop("absent")
     )
-    pairs = postings.join(plan, ["user_id", "term"]).select("query_id", "user_id", "chunk_id", "wanted")
+    pairs = postings.join(plan, ["user_id", "term"]).select("query_id", "user_id", "chunk_id", "wanted", *project)
     matched = pairs.join(chunks.drop("user_id"), "chunk_id")
-    tokens = F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    if project:
+        matched = matched.filter(F.col("want_project").isNull() | (F.col("want_project") == F.col("project_id"))).drop(
+            "want_project")
+    tokens = F.transform(F.filter(_words(F.col("content")), lambda w: ~w.isin(*STOP_WORDS)), stem)
 
     def rank(held_terms: Column) -> Column:
         total = F.aggregate(
@@ -84,7 +115,8 @@ def snippet(content: Column, wanted: Column, width: int = 40, lead: int = 5) ->
     """Up to ``width`` words around the first word that is one of ``wanted``."""
 
     def cut(split: Column, asked: Column) -> Column:
-        bare = F.transform(split, lambda w: F.array_contains(asked, F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")))
+        bare = F.transform(
+            split, lambda w: F.array_contains(asked, stem(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", ""))))
         start = F.greatest(F.lit(1), F.least(F.array_position(bare, F.lit(True)) - lead, F.size(split) - width + 1))
         return F.array_join(F.slice(split, start.cast("int"), F.lit(width)), " ")
 

@@ -11,7 +11,7 @@ from ..plans.answering import prepare_requests
 from ..sources import tables as T
 from ..streaming import jobs as J
 from .duck import sql
-from .search import KEYWORD, hits, marked_chunks, questions, raw_hits
+from .search import KEYWORD, _stems, hits, marked_chunks, questions, raw_hits
 from .streams import _stream
 
 
@@ -69,12 +69,11 @@ def _requests(spark, folder):
 
 _M1 = {
     **KEYWORD,
-    "toks": """SELECT vec_id AS doc_id, (vec_id // 5) % 8 AS user_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS all_terms
+    "toks": f"""SELECT vec_id AS doc_id, (vec_id // 5) % 8 AS user_id, source, text, {_stems('text')} AS all_terms
                FROM embeddings JOIN documents ON doc_id = vec_id""",
-    "asks": KEYWORD["asks"][: KEYWORD["asks"].index("SELECT")] + """
-        SELECT query_id, user_id, terms FROM (SELECT q.query_id, q.user_id,
-            list_filter([lower(regexp_extract_all(b.text, '\\p{L}+')[q.query_id % 100 + 1])], lambda t: t IS NOT NULL AND NOT list_contains("""
-    + "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]" + """, t)) AS terms
+    "asks": f"""
+        SELECT query_id, user_id, terms, NULL AS want_project FROM (SELECT q.query_id, q.user_id,
+            list_distinct({_stems("coalesce(regexp_extract_all(b.text, '\\p{L}+')[q.query_id % 100 + 1], '')")}) AS terms
         FROM questions q JOIN benchmark b ON b.item_id = q.user_id) WHERE len(terms) > 0""",
 }
 

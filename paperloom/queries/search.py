@@ -150,11 +150,16 @@ def _e12(spark, folder):
 def keyword_hits(spark, folder):
     """Every benchmark passage asked of every user's library of whole documents."""
     docs = T.read_papers(spark, folder).select(
-        F.col("paper_id").alias("chunk_id"), "paper_id", "user_id", F.col("text").alias("content"), "title")
+        F.col("paper_id").alias("chunk_id"), "paper_id", "user_id", F.col("text").alias("content"), "title", "project_id")
     asks = T.scan(spark, folder, "benchmark").select("item_id", "text")
     users = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("user_id")
     qs = asks.select("item_id", "text", users).select(
-        (F.col("item_id") * 10 + F.col("user_id")).alias("query_id"), F.col("user_id").cast("bigint").alias("user_id"), "text")
+        (F.col("item_id") * 10 + F.col("user_id")).alias("query_id"), F.col("user_id").cast("bigint").alias("user_id"),
+        # Of the words asked for, every other one is inflected once more.
+        F.array_join(F.transform(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), lambda w, i: F.when(
+            (i % 2 == 0) & w.rlike("^.{2,}[ntrdhgl]$") & ~F.lower(w).isin(*K.STOP_WORDS), F.concat(w, F.lit("s"))
+        ).otherwise(w)), " ").alias("text"),
+        F.when(F.col("item_id") % 4 == 0, "src3").alias("want_project"))
     return K.keyword_search(docs, qs)
 
 
@@ -209,12 +214,31 @@ def _e18(spark, folder):
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in K.STOP_WORDS) + "]"
-_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+def _stem(word):
+    """The stem of a word in DuckDB, written out."""
+    out = word
+    for ending, instead in (("^(.{2,})ies$", "\\1y"), ("^(.+(?:ss|x|ch|sh))es$", "\\1"), ("^(.{2,}[^su])s$", "\\1"),
+                            ("^(.*[aeiouy].+)(?:ing|ed|ly)$", "\\1"), ("^(.*)(?:(b)b|(d)d|(g)g|(m)m|(n)n|(p)p|(r)r|(t)t)$",
+                             "\\1\\2\\3\\4\\5\\6\\7\\8\\9"), ("^(.{3,})e$", "\\1")):
+        out = f"regexp_replace({out}, '{ending}', '{instead}')"
+    return out
+
+
+def _stems(text):
+    return (f"list_transform(list_filter(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+'), "
+            f"lambda t: NOT list_contains({_STOP}, t)), lambda t: {_stem('t')})")
+
+
 KEYWORD = {
-    "toks": f"SELECT doc_id, doc_id % 8 AS user_id, text, {_WORDS} AS all_terms FROM documents",
-    "asks": f"""SELECT item_id * 10 + u AS query_id, u AS user_id,
-                list_sort(list_filter(list_distinct({_WORDS}), lambda t: NOT list_contains({_STOP}, t))) AS terms
-                FROM benchmark, range(8) r(u)""",
+    "toks": f"SELECT doc_id, doc_id % 8 AS user_id, source, text, {_stems('text')} AS all_terms FROM documents",
+    "asked": f"""SELECT item_id, array_to_string(list_transform(regexp_extract_all(text, '\\p{{L}}+'),
+                lambda w, i: CASE WHEN i % 2 = 1 AND regexp_matches(w, '^.{{2,}}[ntrdhgl]$')
+                                       AND NOT list_contains({_STOP}, lower(w)) THEN w || 's' ELSE w END), ' ') AS text FROM benchmark""",
+    "asks": f"""SELECT item_id * 10 + u AS query_id, u AS user_id, list_sort(list_distinct({_stems('text')})) AS terms,
+                CASE WHEN item_id % 4 = 0 THEN 'src3' END AS want_project
+                FROM asked, range(8) r(u)""",
     "dfs": """SELECT user_id, t AS term, count(*) AS df
               FROM (SELECT user_id, unnest(list_distinct(all_terms)) AS t FROM toks) GROUP BY ALL""",
     "kw": """
@@ -224,7 +248,8 @@ KEYWORD = {
                      round(sum((1 + ln(tf)) * ln(1 + n / df)), 6) AS text_rank
               FROM (SELECT a.query_id, d.doc_id, d.text, a.terms, a.user_id, unnest(a.terms) AS term,
                            unnest(list_transform(a.terms, lambda t: len(list_filter(d.all_terms, lambda x: x = t)))) AS tf
-                    FROM asks a JOIN toks d ON a.user_id = d.user_id AND list_has_all(d.all_terms, a.terms)) m
+                    FROM asks a JOIN toks d ON a.user_id = d.user_id AND list_has_all(d.all_terms, a.terms)
+                      AND (a.want_project IS NULL OR a.want_project = d.source)) m
               JOIN dfs ON dfs.user_id = m.user_id AND dfs.term = m.term
               JOIN (SELECT user_id, count(*) AS n FROM toks GROUP BY user_id) c ON c.user_id = m.user_id
               GROUP BY query_id, doc_id)
@@ -272,7 +297,7 @@ QUERIES = {
     "e9_snippet": (_e9, sql("""
         SELECT query_id, chunk_id, array_to_string(w[s : s + 39], ' ') AS snippet
         FROM (SELECT *, greatest(1, least(list_position(list_transform(w, lambda x:
-                     list_contains(terms, regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g'))), true) - 5, len(w) - 39)) AS s
+                     list_contains(terms, """ + _stem("regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')") + """)), true) - 5, len(w) - 39)) AS s
               FROM (SELECT *, regexp_split_to_array(trim(text, chr(10) || ' '), '\\s+') AS w FROM kw))""", **KEYWORD)),
     "e10_retrieval_text": (_e10, sql("""
         SELECT paper_id, CASE WHEN t = '' THEN 'summary of this paper' ELSE left(t, 1500) END AS query_text

@@ -210,3 +210,17 @@ def test_blocks(spark):
 ])
 def test_person_names(spark, query, person):
     assert one(spark, query, M.is_person_name) is person
+
+
+def test_keyword_search_by_stems_and_project(spark):
+    from paperloom.operators.keyword import keyword_search, stem
+
+    words = ["networks", "network", "running", "run", "studies", "study", "boxes", "learning", "learn", "bus", "Übungen"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(stem(F.col("w"))).collect()]
+    assert got == ["network", "network", "run", "run", "study", "study", "box", "learn", "learn", "bus", "Übungen"]
+    chunks = spark.createDataFrame([(1, 1, "neural networks learning", "p"), (2, 1, "a network learns", "q"), (3, 2, "network learn", "p")],
+                                   "chunk_id int, user_id int, content string, project_id string")
+    asks = spark.createDataFrame([(10, 1, "network learn", None), (11, 1, "networks learned", "q")],
+                                 "query_id int, user_id int, text string, want_project string")
+    found = sorted((r.query_id, r.chunk_id) for r in keyword_search(chunks, asks).collect())
+    assert found == [(10, 1), (10, 2), (11, 2)]
