@@ -185,6 +185,44 @@ def pad_values(values: Column, n_papers: Column) -> Column:
     return F.concat(filled, F.array_repeat(F.lit(NOT_REPORTED), F.greatest(n_papers - F.size(values), F.lit(0)).cast("int")))
 
 
+def ground_comparison(parsed: DataFrame, asked: DataFrame) -> DataFrame:
+    """Comparisons with the papers asked for and one value per paper.
+
+    ``parsed``: request_id, valid, result (comparison). ``asked``: request_id,
+    paper_id, title. A reply that names no papers gets the ones asked for; rows of
+    values are padded to their number.
+    """
+    wanted = asked.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("title", F.lit("Untitled paper")).alias("title")
+    ))).alias("wanted"))
+    rows = parsed.filter("valid").join(wanted, "request_id")
+    named = F.when(F.size("result.papers") > 0, F.col("result.papers")).otherwise(F.col("wanted"))
+    return rows.select(
+        "request_id", named.alias("papers"),
+        F.transform("result.dimensions", lambda d: F.struct(
+            d["name"].alias("name"), pad_values(d["values"], F.size("wanted")).alias("values"))).alias("dimensions"),
+        F.col("result.confidence").alias("confidence"), F.col("result.limitations").alias("limitations"),
+    )
+
+
+def ground_reviews(parsed: DataFrame, evidence: DataFrame) -> DataFrame:
+    """G10 and G8 for literature reviews: references of contributing papers, bounded confidence.
+
+    ``parsed``: request_id, corpus_size, valid, result (literature_review);
+    ``evidence``: request_id, paper_id, paper_title. At most 60 references a reply,
+    or one per contributing paper.
+    """
+    good = parsed.filter("valid")
+    refs = good.select("request_id", F.posexplode("result.references").alias("pos", "r")).select(
+        "request_id", "pos", "r.paper_id", "r.title", "r.year")
+    kept = review_references(refs, evidence.join(good.select("request_id"), "request_id", "left_semi"))
+    listed = kept.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("paper_id", "title", "year"))).alias("references"))
+    return good.join(listed, "request_id", "left").select(
+        "request_id", "references",
+        bounded_confidence(F.col("result.confidence"), F.col("corpus_size")).alias("confidence"),
+    )
+
+
 def second_opinion(first: DataFrame, second: DataFrame, *, enabled: bool = True) -> DataFrame:
     """Points two replies share and points only one makes.
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.defaults import CONTEXT_CHARS, RELEVANCE_FLOOR
 from ..operators.bookkeeping import cache_key, plan_cache
-from ..operators.evidence import citable, pack, screen
-from ..operators.grounding import ground_answers, ground_gaps, ground_novelty
+from ..operators.evidence import citable, equal_shares, pack, screen
+from ..operators.grounding import ground_answers, ground_comparison, ground_gaps, ground_novelty, ground_reviews
 from ..operators.replies import parse_replies
-from ..operators.retrieval import drop_near_identical, evidence_gate, evidence_strength, search
+from ..operators.retrieval import (
+    compared_papers_gate, drop_near_identical, evidence_gate, evidence_strength, search,
+)
 
 
 def prepare_requests(
@@ -41,11 +43,28 @@ def prepare_requests(
     return keyed.drop("text").join(plan, "query_id", "left").join(contexts, "query_id", "left")
 
 
-def check_replies(replies: DataFrame, evidence: DataFrame, task: str, strength: DataFrame | None = None) -> DataFrame:
+def prepare_comparisons(asked: DataFrame, hits: DataFrame, budget: int = CONTEXT_CHARS) -> DataFrame:
+    """One row per comparison and paper with its context, or the refusal.
+
+    ``asked``: query_id, paper_id of the papers to compare; ``hits``: their
+    passages. Each paper asked for gets an equal part of the budget; a comparison
+    with a paper that has no passage is refused (gate EMPTY, no contexts).
+    """
+    gate = compared_papers_gate(asked, hits)
+    open_ones = gate.filter("gate = 'OK'").select("query_id")
+    shared = equal_shares(hits.join(open_ones, "query_id", "left_semi"), budget, asked)
+    contexts = pack(shared, keys=("query_id", "paper_id")).select("query_id", "paper_id", "context")
+    return asked.select("query_id", "paper_id").distinct().join(gate, "query_id").join(
+        contexts, ["query_id", "paper_id"], "left")
+
+
+def check_replies(replies: DataFrame, evidence: DataFrame, task: str, strength: DataFrame | None = None,
+                  asked: DataFrame | None = None) -> DataFrame:
     """Grounded results of one task's replies.
 
     ``replies``: request_id, text and the counts the task needs. ``evidence``:
-    request_id, chunk_id, paper_id, paper_title, content.
+    request_id, chunk_id, paper_id, paper_title, content. ``asked``: request_id,
+    paper_id, title of the papers to compare.
     """
     parsed = parse_replies(replies, task)
     flagged = screen(evidence)
@@ -55,4 +74,8 @@ def check_replies(replies: DataFrame, evidence: DataFrame, task: str, strength:
         return ground_gaps(parsed, citable(flagged))
     if task == "novelty":
         return ground_novelty(parsed, citable(flagged), strength)
+    if task == "comparison":
+        return ground_comparison(parsed, asked)
+    if task == "literature_review":
+        return ground_reviews(parsed, flagged)
     return parsed.filter("valid")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import long
 from ..operators import fusion as U
 from ..operators import keyword as K
-from ..plans.answering import prepare_requests
+from ..plans.answering import check_replies, prepare_comparisons, prepare_requests
 from ..sources import tables as T
 from ..streaming import jobs as J
 from .duck import sql
@@ -67,6 +67,46 @@ def _requests(spark, folder):
                     F.col("context").isNotNull().alias("has_context"))
 
 
+def _compared(spark, folder):
+    """Every four papers are compared; some have no passage at all."""
+    papers = T.read_papers(spark, folder).select("paper_id", "title")
+    return papers.select(F.floor(F.col("paper_id") / 4).alias("request_id"), "paper_id", "title").filter(
+        "paper_id % 4 < 2 + request_id % 2")
+
+
+def _comparison(spark, folder):
+    asked = _compared(spark, folder)
+    own = F.col("paper_id")
+    hits = T.read_text_chunks(spark, folder).filter("chunk_index < 2 AND paper_id % 7 <> 3").select(
+        F.floor(own / 4).alias("query_id"), "chunk_id", "paper_id", F.lit("T").alias("paper_title"), "section_type",
+        "chunk_index", "content", (-F.col("chunk_index")).cast("double").alias("score"))
+    hits = hits.join(asked.select("paper_id"), "paper_id", "left_semi")
+    contexts = prepare_comparisons(asked.withColumnRenamed("request_id", "query_id"), hits, 900)
+    sizes = contexts.groupBy(F.col("query_id").alias("request_id"), "gate").agg(
+        long(F.count("context")).alias("n_contexts"))
+    replies = asked.select("request_id").distinct().withColumn("text", F.concat(
+        F.lit('{"papers":[],"dimensions":[{"name":"method","values":["v'), "request_id", F.lit('"," "]}]}')))
+    checked = check_replies(replies, hits.withColumnRenamed("query_id", "request_id"), "comparison", asked=asked)
+    cells = checked.select("request_id", F.array_join("papers.paper_id", ",").alias("papers"),
+                           F.array_join(F.col("dimensions")[0]["values"], "|").alias("cells"))
+    return sizes.join(cells, "request_id")
+
+
+def _review(spark, folder):
+    asked = _compared(spark, folder)
+    evidence = T.read_text_chunks(spark, folder).filter("chunk_index = 0").join(asked.drop("title"), "paper_id").select(
+        "request_id", "chunk_id", "paper_id", F.concat(F.lit("T"), "paper_id").alias("paper_title"), "content")
+    r = F.col("request_id")
+    refs = F.when(r % 3 == 0, F.concat(F.lit('{"paper_id":"'), r * 4, F.lit('","title":"own"},{"paper_id":"999999999","title":"foreign"}'))
+                  ).when(r % 3 == 1, F.lit('{"paper_id":"999999999","title":"foreign"}')).otherwise(F.lit(""))
+    replies = evidence.select("request_id").distinct().select(
+        "request_id", (r % 40).cast("int").alias("corpus_size"),
+        F.concat(F.lit('{"overview":"o","references":['), refs, F.lit('],"confidence":"high"}')).alias("text"))
+    out = check_replies(replies, evidence, "literature_review")
+    return out.select("request_id", "confidence", F.array_join(
+        F.transform("references", lambda x: F.concat_ws(":", x["paper_id"], x["title"])), ",").alias("refs"))
+
+
 _M1 = {
     **KEYWORD,
     "toks": f"""SELECT vec_id AS doc_id, (vec_id // 5) % 8 AS user_id, source, text, {_stems('text')} AS all_terms
@@ -96,6 +136,18 @@ QUERIES = {
         FROM (SELECT user_id, strftime(created_at, '%Y-%m') AS period, count(*) AS added FROM library GROUP BY ALL)""")),
     "m5_tier_mix": (_m5, sql("""
         SELECT CASE WHEN analysis_type = 'concepts' THEN 'fast' ELSE 'strong' END AS tier, provider, model_id, count(*) AS analyses FROM analyses GROUP BY ALL""")),
+    "plan_comparison": (_comparison, sql("""
+        WITH asked AS (SELECT paper_id // 4 AS request_id, paper_id FROM papers WHERE paper_id % 4 < 2 + (paper_id // 4) % 2),
+             have AS (SELECT DISTINCT paper_id FROM text_chunks WHERE chunk_index < 2 AND paper_id % 7 <> 3),
+             g AS (SELECT request_id, count(*) AS n, count(h.paper_id) AS found, array_to_string(list(a.paper_id::VARCHAR ORDER BY a.paper_id::VARCHAR), ',') AS papers
+                   FROM asked a LEFT JOIN have h ON h.paper_id = a.paper_id GROUP BY request_id)
+        SELECT request_id, CASE WHEN found < n THEN 'EMPTY' ELSE 'OK' END AS gate, CASE WHEN found < n THEN 0 ELSE n END AS n_contexts, papers,
+               'v' || request_id || '|Not reported' || CASE WHEN n > 2 THEN '|Not reported' ELSE '' END AS cells FROM g""")),
+    "plan_review": (_review, sql("""
+        WITH gave AS (SELECT DISTINCT paper_id // 4 AS request_id, paper_id FROM text_chunks WHERE chunk_index = 0 AND paper_id % 4 < 2 + (paper_id // 4) % 2),
+             own AS (SELECT request_id, bool_or(paper_id = request_id * 4) AS has_own, array_to_string(list(paper_id::VARCHAR || ':T' || paper_id ORDER BY paper_id::VARCHAR), ',') AS everyone FROM gave GROUP BY request_id)
+        SELECT request_id, CASE WHEN request_id % 40 < 5 THEN 'low' WHEN request_id % 40 < 15 THEN 'medium' ELSE 'high' END AS confidence,
+               CASE WHEN request_id % 3 = 0 AND has_own THEN (request_id * 4) || ':own' ELSE everyone END AS refs FROM own""")),
     "plan_model_requests": (_requests, sql("""
         WITH kept AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, left(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')), 120) ORDER BY rank) = 1),
              g AS (SELECT q.query_id, q.task, count(k.chunk_id) AS n, CASE WHEN count(k.chunk_id) = 0 THEN 'EMPTY' WHEN q.task IN ('comparison', 'novelty') OR max(similarity) >= 0.5 THEN 'OK' ELSE 'IRRELEVANT' END AS gate
