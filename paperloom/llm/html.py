@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .urls import host_of
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,71 +46,73 @@ class Node:
     def __init__(self, tag: str, words: frozenset[str]):
         self.tag, self.words, self.parts, self.path = tag, words, [], None
 
-    def signature(self) -> str:
-        return ".".join([self.tag, *sorted(self.words)])
 
+#: A comment, a tag with quoted or unquoted attributes, any other declaration, text, a stray bracket.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+    r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
+    r"|<[!?/][^>]*>|[^<]+|<", re.S)
+_MARKS = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "xmp")}
 
-class _Reader(HTMLParser):
-    """A tolerant tree of elements and text; unclosed elements end where the next block demands it."""
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.root = Node("", frozenset())
-        self.stack = [self.root]
-        self.deeper: list[str] = []
+def parse(html: str | None) -> Node:
+    """A tolerant tree of elements and text; unclosed elements end where the next block demands it."""
+    html = html or ""
+    root = Node("", frozenset())
+    stack, deeper = [root], []
+    at, size = 0, len(html)
+
+    def close(tag, stop):
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag == tag:
+                del stack[i:]
+                deeper.clear()
+                return
+            if stack[i].tag in stop:
+                return
 
-    def handle_starttag(self, tag, attrs):
+    while at < size:
+        token = _TOKEN.match(html, at)
+        at = token.end()
+        tag = token[2] or token[5]
+        if not tag:
+            text = token[0]
+            if text[0] != "<" or text == "<":
+                stack[-1].parts.append(unescape(text) if "&" in text else text)
+            continue
+        tag = tag.lower()
+        if token[1] or token[4]:
+            if deeper and tag in deeper:
+                while deeper.pop() != tag:
+                    pass
+            else:
+                close(tag, _SCOPE - {tag} if tag == "p" or tag not in BLOCKS else ())
+            continue
         if tag in _CLOSES_P:
-            self._close("p", _SCOPE)
+            close("p", _SCOPE)
         for other in _SAME_CLOSES.get(tag, ()):
-            self._close(other, _SCOPE - {other})
-        words = set()
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                words.update(value.lower().replace("-", " ").replace("_", " ").split())
-        node = Node(tag, frozenset(words))
-        if len(self.stack) > MAX_DEPTH:
+            close(other, _SCOPE - {other})
+        if tag in _RAW_END:
+            end = _RAW_END[tag].search(html, at)
+            at = end.start() if end else size
+        if len(stack) > MAX_DEPTH:
             if tag not in VOID:
-                self.deeper.append(tag)
-            self.stack[-1].parts.append(" ")
-            return
-        self.stack[-1].parts.append(node)
+                deeper.append(tag)
+            stack[-1].parts.append(" ")
+            continue
+        attributes = token[3] or token[6] or ""
+        words = frozenset()
+        if attributes:
+            words = frozenset(
+                w for m in _MARKS.finditer(attributes)
+                for w in (m[1] or m[2] or m[3] or "").lower().replace("-", " ").replace("_", " ").split())
+        node = Node(tag, words)
+        stack[-1].parts.append(node)
         if tag not in VOID:
-            self.stack.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag in ("script", "style", "svg", "path"):
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        if self.deeper and tag in self.deeper:
-            while self.deeper.pop() != tag:
-                pass
-            return
-        if tag == "p" or tag not in BLOCKS:
-            self._close(tag, _SCOPE - {tag})
-        else:
-            self._close(tag, frozenset())
-
-    def _close(self, tag, stop):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                self.deeper.clear()
-                return
-            if self.stack[i].tag in stop:
-                return
-
-    def handle_data(self, data):
-        self.stack[-1].parts.append(data)
-
-
-def parse(html: str | None) -> Node:
-    reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
-    return reader.root
+            stack.append(node)
+    return root
 
 
 def is_furniture(node: Node, in_content: bool) -> bool:
@@ -118,45 +122,38 @@ def is_furniture(node: Node, in_content: bool) -> bool:
 
 
 def summarise(root: Node) -> list:
-    """Summary tree [signature, text hash, children]: siblings of one signature are one node.
+    """Summary tree [signature, text hash, children, number]: siblings of one signature are one node.
 
     Repeated items of a list or paragraphs of a text so become one slot. Every
-    element keeps the number of its summary node, in order of first appearance.
+    element keeps the number of its summary node.
     """
-    hashes: list = []
-    tree = ["", 0, []]
-    count = [0]
-    children: dict[int, dict[str, list]] = {}
-
-    def number(summary):
-        summary.append(count[0])
-        hashes.append(xxhash.xxh64())
-        children[count[0]] = {}
-        count[0] += 1
-
-    number(tree)
+    texts: list[list[str]] = [[]]
+    children: list[dict[str, list]] = [{}]
+    tree = ["", 0, [], 0]
+    nodes = [tree]
     root.path = 0
-    pending = [(root, tree)]
+    pending = [root]
     while pending:
-        node, summary = pending.pop()
+        node = pending.pop()
+        mine, held = children[node.path], texts[node.path]
         for part in node.parts:
             if isinstance(part, str):
-                hashes[node.path].update(" ".join(part.split()).encode("utf-8", "replace"))
+                held.append(part)
                 continue
-            key = part.signature()
-            mine = children[node.path].get(key)
-            if mine is None:
-                mine = [key, 0, []]
-                number(mine)
-                children[node.path][key] = mine
-                summary[2].append(mine)
-            part.path = mine[3]
-            pending.append((part, mine))
-
-    def strip(summary):
-        return [summary[0], hashes[summary[3]].intdigest() & (1 << 62) - 1, [strip(c) for c in summary[2]], summary[3]]
-
-    return strip(tree)
+            key = ".".join([part.tag, *sorted(part.words)]) if part.words else part.tag
+            below = mine.get(key)
+            if below is None:
+                below = mine[key] = [key, 0, [], len(nodes)]
+                nodes[node.path][2].append(below)
+                nodes.append(below)
+                texts.append([])
+                children.append({})
+            part.path = below[3]
+            pending.append(part)
+    for node, held in zip(nodes, texts):
+        text = " ".join("".join(held).split())
+        node[1] = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) & (1 << 62) - 1
+    return tree
 
 
 def align(model: list, page: list) -> dict[int, int]:
@@ -246,16 +243,19 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages``.
 
-    For every host one page's element tree is the model; all pages of the host
-    are aligned with it by simple tree matching. A model node whose text is the
-    same on all of at least three pages is template, what varies is a slot.
-    Furniture is known by element and by the words of class, id and role. A page
-    with ``article`` or ``main`` elements consists of these, without the
-    furniture in them; another page of its varying slots.
+    For every host one page's element tree, that of the page whose html has the
+    smallest hash, is the model; all pages of the host are aligned with it by
+    simple tree matching. A model node whose text is the same on all of at least
+    three pages is template, what varies is a slot. Furniture is known by element
+    and by the words of class, id and role. A page with ``article`` or ``main``
+    elements consists of these, without the furniture in them; another page of its
+    varying slots.
 
     The alignment of a page is one row's work and its findings are counted per
-    host and node, so a host with a third of all pages is spread like any other;
-    only the host's one model row is joined to each of its pages.
+    host and node, first within each batch, so a host with a third of all pages is
+    spread like any other. Models and wrappers, one small row a host, are written
+    before they are joined: the join sends them to the pages where their size is
+    known to allow it and shuffles both sides where not.
 
     A null or empty page has an empty text. A null address, or one without host,
     belongs to the host of the empty name. Repeated rows give the same text
@@ -269,36 +269,45 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
         for batch in batches:
             trees = [json.dumps(summarise(parse(h)), ensure_ascii=False, separators=(",", ":"))
                      for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], ["host", "tree"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), batch.column(2)],
+                                             ["host", "model", "n_pages"])
 
     def matched(batches):
+        models: dict[str, list] = {}
         for batch in batches:
-            hosts, nodes, hashes = [], [], []
-            for host, tree, model in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                page = json.loads(tree)
+            found: dict[tuple[str, int], list[int]] = {}
+            for host, html, model in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if model not in models:
+                    if len(models) > 1000:
+                        models.clear()
+                    models[model] = json.loads(model)
+                page = summarise(parse(html))
                 texts, todo = {}, [page]
                 while todo:
                     node = todo.pop()
                     texts[node[3]] = node[1]
                     todo += node[2]
-                for mine, theirs in align(json.loads(model), page).items():
-                    hosts.append(host)
-                    nodes.append(theirs)
-                    hashes.append(texts[mine])
+                for mine, theirs in align(models[model], page).items():
+                    text = texts[mine]
+                    seen = found.setdefault((host, theirs), [0, text, text])
+                    seen[0] += 1
+                    seen[1], seen[2] = min(seen[1], text), max(seen[2], text)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(hashes, pa.int64())],
-                ["host", "node", "text_hash"])
-
-    trees = picked.select("host", "html").mapInArrow(outline, "host string, tree string")
-    models = trees.groupBy("host").agg(F.min("tree").alias("model"), F.count("*").alias("n_pages"))
-    findings = trees.join(models.select("host", "model"), "host").select("host", "tree", "model").mapInArrow(
-        matched, "host string, node int, text_hash long")
+                [pa.array([h for h, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32()),
+                 *[pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3)]],
+                ["host", "node", "seen", "lo", "hi"])
+
+    models = materialise(picked.groupBy("host").agg(
+        F.min_by("html", F.struct(F.xxhash64("html"), F.col("html"))).alias("html"), F.count("*").alias("n_pages")
+    ).mapInArrow(outline, "host string, model string, n_pages long"), "models")
+    findings = picked.select("host", "html").join(models.select("host", "model"), "host").select(
+        "host", "html", "model").mapInArrow(matched, "host string, node int, seen long, lo long, hi long")
     constant = findings.groupBy("host", "node").agg(
-        F.count("*").alias("seen"), F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi"))
-    wrappers = models.join(constant, "host").groupBy("host").agg(
+        F.sum("seen").alias("seen"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    wrappers = materialise(models.join(constant, "host").groupBy("host").agg(
         F.first("model").alias("model"),
         F.collect_list(F.when((F.col("lo") == F.col("hi")) & (F.col("seen") == F.col("n_pages")) & (F.col("seen") >= 3),
-                              F.col("node"))).alias("template"))
+                              F.col("node"))).alias("template")), "wrappers")
 
     def extracted(batches):
         for batch in batches:
