@@ -23,7 +23,9 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Pieces longer than this are merged one by one with a heap, shorter ones together as arrays.
 LONG_PIECE = 128
 #: Distinct pieces whose merges a worker remembers.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
+#: Rows that are decoded together.
+DECODE_ROWS = 512
 #: Largest vocabulary file that is broadcast.
 VOCABULARY_BYTES = 64 << 20
 
@@ -326,23 +328,19 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def work(batches):
         vocabulary = _vocabulary(key, shared)
         for batch in batches:
-            counts, blobs, places = [], [], []
-            for _, raw, at in steps(batch.column(1), STEP_BYTES):
-                ids, n = vocabulary.encode(raw, at)
-                counts.append(n)
-                ends = np.cumsum(n)
+            for row, raw, at in steps(batch.column(1), STEP_BYTES):
+                ids, counts = vocabulary.encode(raw, at)
+                ends = np.cumsum(counts)
                 small = ids.astype("<u4")
-                blobs += [small[e - k : e].tobytes() for e, k in zip(ends, n)]
+                columns = [batch.column(0).slice(row, len(counts)), pa.array(counts, pa.int64()),
+                           pa.array([small[e - k : e].tobytes() for e, k in zip(ends, counts)], pa.binary())]
+                names = ["doc_id", "n_tokens", "ids"]
                 if offsets:
                     begin = np.cumsum(vocabulary.lengths[ids]) - vocabulary.lengths[ids]
-                    places += [(begin[e - k : e] - a).astype("<u4").tobytes() for e, k, a in zip(ends, n, at)]
-            columns = [batch.column(0), pa.array(np.concatenate(counts) if counts else [], pa.int64()),
-                       pa.array(blobs, pa.binary())]
-            names = ["doc_id", "n_tokens", "ids"]
-            if offsets:
-                columns.append(pa.array(places, pa.binary()))
-                names.append("offsets")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.array([(begin[e - k : e] - a).astype("<u4").tobytes()
+                                             for e, k, a in zip(ends, counts, at)], pa.binary()))
+                    names.append("offsets")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(picked.dtypes)['doc_id']}, n_tokens long, ids binary"
@@ -357,9 +355,11 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     def work(batches):
         vocabulary = _vocabulary(key, shared)
         for batch in batches:
-            cells = [vocabulary.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)).tobytes()
-                     for x in batch.column(rest.index(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.binary())], [*rest, into])
+            for row in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(row, DECODE_ROWS)
+                cells = [vocabulary.decode(np.frombuffer(x.as_py() or b"", "<u4").astype(np.int64)).tobytes()
+                         for x in part.column(rest.index(ids))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cells, pa.binary())], [*rest, into])
 
     schema = encoded.select(*rest).schema.add(into, "binary")
     return encoded.select(*rest).mapInArrow(work, schema)
