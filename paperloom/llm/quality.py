@@ -12,7 +12,7 @@ from .arrays import from_planes, mix, planes, random_words, spread, width_of
 from .packing import pack_texts, unpack_texts
 
 #: Order of the model; characters of one vectorised step; characters per bucket of documents.
-ORDER, STEP_CHARS, BUCKET_CHARS = 5, 1 << 19, 16 << 20
+ORDER, STEP_CHARS, BUCKET_CHARS = 5, 1 << 19, 20 << 20
 #: Stands before a text's first character.
 PAD = "\x02"
 #: One of so many trusted documents is left out of the counts and sets the thresholds instead.
@@ -70,27 +70,93 @@ def char_steps(chars: np.ndarray, lengths: np.ndarray):
         row = last
 
 
-def gram_keys(padded: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
-    """64-bit key of the ``k`` characters that end at each position."""
+def gram_keys(windows: np.ndarray, k: int, back: int = 0) -> np.ndarray:
+    """64-bit keys of the ``k`` characters that end ``back`` places before the end of each window."""
     factor = random_words(ORDER, 10 + k)
-    sums = np.full(len(ends), k, np.uint64)
+    sums = np.full(len(windows), k, np.uint64)
     for j in range(k):
-        sums += (padded[ends - j] + np.uint64(1)) * factor[j]
+        sums += (windows[:, windows.shape[1] - 1 - back - j].astype(np.uint64) + np.uint64(1)) * factor[j]
     return mix(sums)
 
 
+def whole_keys(padded: np.ndarray) -> np.ndarray:
+    """The same keys of the ``ORDER`` characters that end at each position from the ``ORDER``-th on."""
+    factor = random_words(ORDER, 10 + ORDER)
+    n = len(padded) - ORDER + 1
+    sums = np.full(n, ORDER, np.uint64)
+    for j in range(ORDER):
+        begin = ORDER - 1 - j
+        sums += (padded[begin : begin + n] + np.uint64(1)) * factor[j]
+    return mix(sums)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one place of each different key, for every key the number of its place), without sorting.
+
+    Keys are hashes; each writes its place into a table at its leading bits. Keys
+    that find another's place there are sorted out among themselves.
+    """
+    bits = min(21, len(keys).bit_length() + 3)
+    slots = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    table = np.empty(1 << bits, np.int32)
+    here = np.arange(len(keys), dtype=np.int32)
+    table[slots] = here
+    place = table[slots]
+    odd = np.flatnonzero(keys[place] != keys)
+    if len(odd):
+        _, first, back = np.unique(keys[odd], return_index=True, return_inverse=True)
+        place[odd] = odd[first][back]
+    chosen = np.zeros(len(keys), bool)
+    chosen[place] = True
+    return np.flatnonzero(chosen), (np.cumsum(chosen, dtype=np.int32) - 1)[place]
+
+
 def string_keys(grams: list[str]) -> np.ndarray:
     """The same keys for strings of up to ``ORDER`` characters."""
     lengths = np.array([len(g) for g in grams], np.int64)
-    chars = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(np.uint64)
+    chars = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4")
     last = np.cumsum(lengths) - 1
     out = np.zeros(len(grams), np.uint64)
     for k in range(1, ORDER + 1):
         mine = lengths == k
-        out[mine] = gram_keys(chars, last[mine], k)
+        out[mine] = gram_keys(chars[last[mine][:, None] + np.arange(1 - k, 1)], k)
     return out
 
 
+def step_types(chars: np.ndarray, lengths: np.ndarray):
+    """For each step of texts: (first document, keys and windows of its different grams, gram and document of each
+    character)."""
+    for row, padded, place, owner in char_steps(chars, lengths):
+        if len(place):
+            keys = whole_keys(padded)[place - ORDER + 1]
+            where, back = distinct(keys)
+            yield row, keys[where], padded[place[where][:, None] + np.arange(1 - ORDER, 1)].astype("<u4"), back, owner
+
+
+class Types:
+    """The different grams of a bucket: sorted keys and their characters."""
+
+    def __init__(self):
+        self.keys, self.windows, self.held, self.waiting = np.zeros(0, np.uint64), np.zeros((0, ORDER), "<u4"), [], 0
+
+    def add(self, keys: np.ndarray, windows: np.ndarray) -> None:
+        self.held.append((keys, windows))
+        self.waiting += len(keys)
+        if self.waiting > 1 << 20:
+            self.settle()
+
+    def wanted(self) -> np.ndarray:
+        """Sorted keys of the grams that end at a character, and of their contexts."""
+        return np.unique(np.concatenate([gram_keys(self.windows, k) for k in range(1, ORDER + 1)]
+                                        + [gram_keys(self.windows, k, 1) for k in range(1, ORDER)]))
+
+    def settle(self) -> None:
+        keys = np.concatenate([self.keys, *[k for k, _ in self.held]])
+        windows = np.concatenate([self.windows, *[w for _, w in self.held]])
+        self.keys, first = np.unique(keys, return_index=True)
+        self.windows, self.held, self.waiting = windows[first], [], 0
+
+
 def train_counts(packed: DataFrame, trusted: DataFrame) -> DataFrame:
     """(gram, c): how often the trusted texts have each sequence of ``ORDER`` characters."""
 
@@ -100,12 +166,10 @@ def train_counts(packed: DataFrame, trusted: DataFrame) -> DataFrame:
         for ids, _, _, chars, lengths in unpack(left) if good else ():
             mine = np.array([i in good for i in ids], bool)
             first = np.cumsum(lengths) - lengths
-            for _, padded, place, _ in char_steps(chars[spread(lengths[mine], first[mine])], lengths[mine]):
-                key, where, count = np.unique(gram_keys(padded, place, ORDER), return_index=True, return_counts=True)
-                window = padded[place[where][:, None] + np.arange(1 - ORDER, 1)].astype("<u4")
+            for _, key, windows, back, _ in step_types(chars[spread(lengths[mine], first[mine])], lengths[mine]):
                 keys.append(key)
-                counts.append(count)
-                grams.append(window)
+                counts.append(np.bincount(back))
+                grams.append(windows)
         if not keys:
             return pa.table({"gram": pa.array([], pa.string()), "c": pa.array([], pa.int64())})
         key, where, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -160,20 +224,6 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
-def bucket_keys(table: pa.Table) -> np.ndarray:
-    """Sorted keys of the grams in a bucket's texts and of their contexts."""
-    held = [np.zeros(0, np.uint64)]
-    for _, _, _, chars, lengths in unpack(table):
-        for _, padded, place, _ in char_steps(chars, lengths):
-            _, where = np.unique(gram_keys(padded, place, ORDER), return_index=True)
-            ends = place[where]
-            held += [gram_keys(padded, ends, k) for k in range(1, ORDER + 1)]
-            held += [gram_keys(padded, ends - 1, k) for k in range(1, ORDER)]
-            if sum(map(len, held)) > 2 << 20:
-                held = [np.unique(np.concatenate(held))]
-    return np.unique(np.concatenate(held))
-
-
 def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind: str) -> DataFrame:
     """(doc_id, lang, text_key, n_chars, nats): the summed surprise of each text, per document row.
 
@@ -183,7 +233,12 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
     """
 
     def ask(table: pa.Table) -> pa.Table:
-        keys = bucket_keys(table)
+        types = Types()
+        for _, _, _, chars, lengths in unpack(table):
+            for _, key, windows, _, _ in step_types(chars, lengths):
+                types.add(key, windows)
+        types.settle()
+        keys = types.wanted()
         number = shard_of(keys, shards)
         cut = np.append(np.flatnonzero(np.diff(number, prepend=-1)), len(keys))
         rows = {"shard": [], "bucket": [], "head": [], "width": [], "keys": []}
@@ -210,45 +265,53 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
         keys = np.append(keys[order], np.uint64(2**64 - 1))
         alpha = np.append(np.nan_to_num(known.column("alpha").to_numpy()[order].astype(float), nan=0.0), 0.0)
         gamma = np.append(np.nan_to_num(known.column("gamma").to_numpy()[order].astype(float), nan=1.0), 1.0)
-        rows = {"bucket": [], "shard": [], "alpha": [], "gamma": []}
+        rows = {n: [] for n in ("bucket", "shard", "alpha", "gamma")}
         for r in asked.to_pylist():
             step = from_planes(r["keys"], r["width"])
             want = np.cumsum(step, dtype=np.uint64) + np.array([r["head"]], np.int64).view(np.uint64)
             place = np.searchsorted(keys, want)
             hit = keys[place] == want
-            rows["bucket"].append(r["bucket"])
-            rows["shard"].append(r["shard"])
+            for n in ("bucket", "shard"):
+                rows[n].append(r[n])
             rows["alpha"].append(np.where(hit, alpha[place], 0.0).astype("<f4").tobytes())
             rows["gamma"].append(np.where(hit, gamma[place], 1.0).astype("<f4").tobytes())
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(
             rows.items(), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))})
 
     def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        order = np.argsort(answers.column("shard").to_numpy())
-        alphas, gammas = answers.column("alpha").to_pylist(), answers.column("gamma").to_pylist()
-        alpha = np.concatenate([np.zeros(0)] + [np.frombuffer(alphas[i], "<f4") for i in order]).astype(float)
-        gamma = np.concatenate([np.zeros(0)] + [np.frombuffer(gammas[i], "<f4") for i in order]).astype(float)
-        keys = bucket_keys(texts)
-        out = {"doc_id": [], "lang": [], "text_key": [], "n_chars": [], "nats": []}
+        runs = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        alpha = np.concatenate([np.zeros(0)] + [np.frombuffer(r["alpha"], "<f4") for r in runs])
+        gamma = np.concatenate([np.zeros(0)] + [np.frombuffer(r["gamma"], "<f4") for r in runs])
+        types, parts = Types(), []
         for ids, langs, marks, chars, lengths in unpack(texts):
+            found = []
+            for row, key, windows, back, owner in step_types(chars, lengths):
+                types.add(key, windows)
+                found.append((row, key, back, np.bincount(owner)))
+            parts.append((ids, langs, marks, lengths, found))
+        types.settle()
+        # Shards are ranges of keys, so the answers in order of shards are those to the sorted keys.
+        known = types.wanted()
+        p = np.full(len(types.keys), unseen)
+        for k in range(1, ORDER + 1):
+            if k > 1:
+                p *= gamma[np.searchsorted(known, gram_keys(types.windows, k - 1, 1))]
+            p += alpha[np.searchsorted(known, gram_keys(types.windows, k))]
+        surprise = -np.log(p)
+        out = {"doc_id": [], "lang": [], "text_key": [], "n_chars": [], "nats": []}
+        for ids, langs, marks, lengths, found in parts:
             nats = np.zeros(len(lengths))
-            for row, padded, place, owner in char_steps(chars, lengths):
-                _, where, back = np.unique(gram_keys(padded, place, ORDER), return_index=True, return_inverse=True)
-                ends = place[where]
-                p = np.full(len(ends), unseen)
-                for k in range(1, ORDER + 1):
-                    if k > 1:
-                        p *= gamma[np.searchsorted(keys, gram_keys(padded, ends - 1, k - 1))]
-                    p += alpha[np.searchsorted(keys, gram_keys(padded, ends, k))]
-                lost = np.bincount(owner, np.log(p)[back])
-                nats[row : row + len(lost)] -= lost
+            for row, key, back, sizes in found:
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                sums = np.bincount(owner, surprise[np.searchsorted(types.keys, key)][back], len(sizes))
+                nats[row : row + len(sums)] += sums
             out["doc_id"] += ids
             out["lang"] += langs
             out["text_key"] += marks
             out["n_chars"] += lengths.tolist()
             out["nats"] += nats.tolist()
-        types = (texts.schema.field("doc_id").type.value_type, pa.string(), pa.int64(), pa.int64(), pa.float64())
-        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), types)})
+        kinds = (texts.schema.field("doc_id").type.value_type, pa.string(), pa.int64(), pa.int64(), pa.float64())
+        return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds)})
 
     asked = packed.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, head long, width int, keys binary")
     shard_rows = model.mapInArrow(keyed, "shard int, key long, alpha double, gamma double")
@@ -278,8 +341,8 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     spark = docs.sparkSession
     kind = dict(docs.select(F.col(doc_id).alias("doc_id")).dtypes)["doc_id"]
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parts, chars // BUCKET_CHARS)
+    # Larger buckets have fewer grams to ask for, so their number follows the text alone.
+    buckets = 8 + chars // BUCKET_CHARS
     trusted = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast(kind).alias("doc_id")).agg(
         F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0")
     trusted = trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)) == 0).alias("held"),
@@ -289,7 +352,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     model = materialise(model, "model")
     scored = materialise(score(packed, model, unseen, buckets, kind), "scored").withColumn(
         "lang", F.coalesce("lang", F.lit("")))
-    per_char = F.col("nats") / F.col("n_chars")
+    per_char = F.try_divide("nats", "n_chars")
 
     held = scored.filter("n_chars > 0").join(trusted.filter("held").select("doc_id"), "doc_id", "left_semi")
     held = materialise(held.select("lang", "n_chars", per_char.alias("h")), "held")
