@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let, words
+from ..session import materialise
 
 # English words that carry no search meaning.
 STOP_WORDS = (
@@ -28,8 +29,7 @@ ENDINGS = (
 DOUBLED = "(?:bb|dd|gg|mm|nn|pp|rr|tt)$"
 
 
-def stem(word: Column) -> Column:
-    """A word without its inflection, so that ``networks`` meets ``network`` and ``running`` meets ``run``."""
+def _without_ending(word: Column) -> Column:
     out = word
     for ending, instead in ENDINGS:
         out = F.regexp_replace(out, ending, instead)
@@ -37,6 +37,20 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(out, "^(.{3,})e$", "$1")
 
 
+def stem(word: Column) -> Column:
+    """A word without its inflection, so that ``networks`` meets ``network`` and ``running`` meets ``run``.
+
+    The last letters tell which words the patterns have to look at.
+    """
+
+    def cut(w: Column) -> Column:
+        last, before = F.right(w, F.lit(1)), F.substring(w, -2, 1)
+        return F.when(last.isin(*"sgdye"), _without_ending(w)).when(
+            (last == before) & last.isin(*"bmnprt"), F.left(w, F.length(w) - 1)).otherwise(w)
+
+    return let(word, cut)
+
+
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
@@ -60,13 +74,12 @@ def keyword_search(chunks: DataFrame, queries: DataFrame, limit: int = 20) -> Da
     """
     limit = min(limit, 50)
     totals = chunks.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_chunks"))
-    postings = chunks.select("user_id", "chunk_id", F.explode(terms(F.col("content"))).alias("term"))
-    asked = queries.select("query_id", "user_id", F.explode(terms(F.col("text"))).alias("term"))
-    held = (
-        postings.join(asked.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi")
-        .groupBy("user_id", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+    asked = materialise(queries.select("query_id", "user_id", F.explode(terms(F.col("text"))).alias("term")), "asked")
+    # The texts are cut into terms once; only places of terms that someone asks for are stored.
+    postings = materialise(
+        chunks.select("user_id", "chunk_id", F.explode(terms(F.col("content"))).alias("term")).join(
+            asked.select("user_id", "term").distinct(), ["user_id", "term"], "left_semi"), "postings")
+    held = postings.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(held, ["user_id", "term"], "left").join(totals, "user_id")
     if "want_project" in queries.columns:
         weighted = weighted.join(queries.select("query_id", "want_project"), "query_id")

@@ -149,7 +149,7 @@ def _e12(spark, folder):
 
 def keyword_hits(spark, folder):
     """Every benchmark passage asked of every user's library of whole documents."""
-    docs = T.read_papers(spark, folder).select(
+    docs = T.read_papers(spark, folder, for_text=True).select(
         F.col("paper_id").alias("chunk_id"), "paper_id", "user_id", F.col("text").alias("content"), "title", "project_id")
     asks = T.scan(spark, folder, "benchmark").select("item_id", "text")
     users = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("user_id")

@@ -40,11 +40,21 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(archive)
 
 
+def _stored(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged or materialised table of the shared folder."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    store, target = _stored(spark, path)
+    store.delete(target, True)
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder in whatever store it lies."""
+    store, target = _stored(spark, path)
+    return store.getContentSummary(target).getLength()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import long
 from ..functions.defaults import SECTION_LABELS
+from ..session import stored_bytes
 
 EPOCH = 1_704_067_200  # 2024-01-01
 
@@ -23,8 +24,20 @@ def scan(spark: SparkSession, folder: str, table: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+# Tables of at most so many bytes are dealt over all cores before costly work on their rows.
+SMALL_BYTES = 64 << 20
+
+
 def read_documents(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
-    return scan(spark, folder, "documents", columns)
+    """Documents for work on their texts.
+
+    A small file is one task however many cores there are, so a table whose files
+    are measured to be small is dealt out; a larger one is read in its splits.
+    """
+    rows = scan(spark, folder, "documents", columns)
+    if stored_bytes(spark, f"{folder}/documents.parquet") > SMALL_BYTES:
+        return rows
+    return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def pick(values, index: Column) -> Column:
@@ -32,15 +45,17 @@ def pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
-def read_papers(spark: SparkSession, folder: str) -> DataFrame:
+def read_papers(spark: SparkSession, folder: str, *, for_text: bool = False) -> DataFrame:
+    """Papers; ``for_text`` where costly work on the texts follows."""
     doc = F.col("doc_id")
+    read = read_documents if for_text else lambda s, f, c: scan(s, f, "documents", c)
     status = (
         F.when(doc % 10 == 0, "failed")
         .when(doc % 10 == 1, "queued")
         .when(doc % 10 == 2, "metadata_only")
         .otherwise("completed")
     )
-    return read_documents(spark, folder, ["doc_id", "text", "lang", "source", "n_chars"]).select(
+    return read(spark, folder, ["doc_id", "text", "lang", "source", "n_chars"]).select(
         doc.alias("paper_id"),
         (doc % 8).alias("user_id"),
         F.col("source").alias("project_id"),
