@@ -20,7 +20,7 @@ _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = lower_table()
 
 #: Shingles are 56-bit hashes; what a worker gathers before it sorts and sends, and characters per bucket.
-TOKEN_BITS, TOKEN_BYTES, FLUSH, BUCKET_CHARS = 56, 7, 4 << 20, 24 << 20
+TOKEN_BITS, TOKEN_BYTES, FLUSH, BUCKET_CHARS = 56, 7, 2 << 20, 16 << 20
 #: A token in at most so many different sets is indexed alone, the next ones in pairs, the others in triples.
 CLASS_LIMITS = (8, 128)
 
@@ -307,7 +307,7 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     one text that is the text itself. First each set is compared with its hubs;
     sets that come to lie in one component need no comparison of their own. What
     is left, sets of one hub but of different components, is compared pair by
-    pair unless their distances from the hub rule a link out.
+    pair unless what each kept of the hub rules a link out.
     """
     size, common = F.col("n"), (F.length("tokens") / TOKEN_BYTES).cast("long").alias("s")
     marks = materialise(sets.select("set_id", "n", common, F.explode("signatures").alias("sig")), "marks")
@@ -324,26 +324,25 @@ def link_sets(sets: DataFrame, num: int, den: int) -> DataFrame:
     links = materialise(linked.select("a", "b"), "links")
     roots = components(links)
 
-    # Symmetric difference from the hub, exact where it was compared.
-    apart = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n") + F.col("m") - 2 * F.coalesce("both", F.least("s", "o")))
-    at_most = F.when(F.col("a") == F.col("b"), 0).otherwise(F.col("n") + F.col("m") - 2 * F.coalesce("both", F.lit(0)))
     smallest = members.groupBy("b").agg(F.min("n").alias("least"))
     # The largest set that one with s shareable members can link to.
     reach = F.floor(F.col("s") * (num + den) / num) - size
-    placed = joined.select("a", "b", "n", "s", apart.alias("lo"), at_most.alias("hi")).join(smallest, "b").filter(
+    kept = F.when(F.col("a") == F.col("b"), F.col("s")).otherwise(F.col("both"))
+    placed = joined.select("a", "b", "n", "s", kept.alias("kept")).join(smallest, "b").filter(
         reach >= F.col("least")).join(roots.withColumnRenamed("node", "a"), "a", "left")
-    placed = materialise(placed.select(F.col("b").alias("hub"), "a", "n", "s", "lo", "hi",
+    placed = materialise(placed.select(F.col("b").alias("hub"), "a", "n", "s", "kept",
                                        F.coalesce("root", "a").alias("root")), "placed")
     mixed = placed.groupBy("hub").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
     left = placed.join(mixed.select("hub"), "hub", "left_semi")
     right = left.select("hub", F.col("a").alias("b"), F.col("n").alias("m"), F.col("s").alias("o"),
-                        F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("root").alias("root2"))
-    # Linked sets differ by at most (den - num) / (num + den) of their summed sizes.
-    near = F.greatest(F.col("lo") - F.col("hi2"), F.col("lo2") - F.col("hi")) * (num + den) <= (
-        F.col("n") + F.col("m")) * (den - num)
+                        F.col("kept").alias("kept2"), F.col("root").alias("root2"))
+    # Two sets share no more of the hub than either kept of it, and no more beyond it than either has there.
+    both_known = F.col("kept").isNotNull() & F.col("kept2").isNotNull()
+    shared = F.when(both_known, F.least("kept", "kept2") + F.least(F.col("s") - F.col("kept"), F.col("o") - F.col("kept2"))
+                    ).otherwise(F.least("s", "o"))
     rest = left.join(right, "hub").filter(
-        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2")) & possible & near).select(
-        "a", "b", "n", "m").distinct()
+        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root2"))
+        & ((F.col("n") + F.col("m")) * num <= shared * (num + den))).select("a", "b", "n", "m").distinct()
     rest = materialise(rest, "rest")
     more = overlaps(rest.select("a", "b"), sets).join(rest, ["a", "b"]).filter(
         F.col("both") * den >= (F.col("n") + F.col("m") - F.col("both")) * num).select("a", "b")
