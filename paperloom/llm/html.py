@@ -31,6 +31,10 @@ FURNITURE_WORDS = frozenset(
     "sponsor sponsored subscribe subscription toolbar widget".split())
 #: Where an article stands.
 CONTENT = frozenset(("article", "main"))
+#: Models a host; distinct pages, and their share of those that have a place, on which a template text stands.
+MODELS, LEAST_PAGES, SHARE = 4, 3, 2 / 3
+#: What tells pages apart is the rest of their html.
+UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
 #: Elements nested deeper than this count as part of the element at that depth.
 MAX_DEPTH = 256
 
@@ -41,10 +45,10 @@ _SCOPE = frozenset("ul ol dl table select article section div td th blockquote b
 
 
 class Node:
-    __slots__ = ("tag", "words", "parts", "path")
+    __slots__ = ("tag", "words", "sure", "parts", "path")
 
-    def __init__(self, tag: str, words: frozenset[str]):
-        self.tag, self.words, self.parts, self.path = tag, words, [], None
+    def __init__(self, tag: str, words: frozenset[str], sure: bool = False):
+        self.tag, self.words, self.sure, self.parts, self.path = tag, words, sure, [], None
 
 
 #: A comment, a tag with quoted or unquoted attributes, any other declaration, text, a stray bracket.
@@ -103,12 +107,12 @@ def parse(html: str | None) -> Node:
             stack[-1].parts.append(" ")
             continue
         attributes = token[3] or token[6] or ""
-        words = frozenset()
+        words, sure = frozenset(), False
         if attributes:
-            words = frozenset(
-                w for m in _MARKS.finditer(attributes)
-                for w in (m[1] or m[2] or m[3] or "").lower().replace("-", " ").replace("_", " ").split())
-        node = Node(tag, words)
+            marks = " ".join((m[1] or m[2] or m[3] or "").lower() for m in _MARKS.finditer(attributes))
+            words = frozenset(marks.replace("-", " ").replace("_", " ").split())
+            sure = bool(words & FURNITURE_WORDS) and not FURNITURE_WORDS.isdisjoint(marks.split())
+        node = Node(tag, words, sure)
         stack[-1].parts.append(node)
         if tag not in VOID:
             stack.append(node)
@@ -193,12 +197,36 @@ def align(model: list, page: list) -> dict[int, int]:
     return found
 
 
-def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
-    """The content blocks in page order: the articles of the page, else its varying slots.
+def own_texts(root: Node):
+    """(element, hash of the text that stands in it and in none of its elements), where there is any."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        held = []
+        for part in node.parts:
+            (held if isinstance(part, str) else todo).append(part)
+        text = " ".join("".join(held).split())
+        if text:
+            yield node, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) & (1 << 62) - 1
 
-    ``template`` are the page's summary nodes whose text is the same on all pages
-    of the host.
-    """
+
+def best_model(models: list[tuple[list, int]], page: list) -> tuple[int, dict[int, int]]:
+    """(number, alignment) of the model (tree, nodes) that shares most with the page; the first of equal ones."""
+    size, todo = 0, [page]
+    while todo:
+        size += 1
+        todo += todo.pop()[2]
+    best, number, found = -1.0, 0, {}
+    for i, (model, nodes) in enumerate(models):
+        pairs = align(model, page)
+        share = 2 * len(pairs) / (nodes + size)
+        if share > best:
+            best, number, found = share, i, pairs
+    return number, found
+
+
+def find_regions(root: Node) -> list[Node]:
+    """The articles of a page outside of furniture."""
     regions: list[Node] = []
     todo = [root]
     while todo:
@@ -207,6 +235,15 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
             regions.append(node)
             continue
         todo += [p for p in reversed(node.parts) if not isinstance(p, str) and not is_furniture(p, False)]
+    return regions
+
+
+def blocks_of(root: Node, template: frozenset[Node]) -> list[str]:
+    """The content blocks in page order: what varies in the articles of the page, or in all of it if it has none.
+
+    ``template`` are the page's elements whose own text the host repeats.
+    """
+    regions = find_regions(root)
     in_content = bool(regions)
     out: list[str] = []
     held: list[str] = []
@@ -228,7 +265,7 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
                 if node.tag in BLOCKS:
                     flush()
             elif isinstance(part, str):
-                if in_content or node.path not in template:
+                if node not in template:
                     held.append(part)
             elif part.tag == "br":
                 held.append(" ")
@@ -243,19 +280,22 @@ def blocks_of(root: Node, template: frozenset[int]) -> list[str]:
 def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages``.
 
-    For every host one page's element tree, that of the page whose html has the
-    smallest hash, is the model; all pages of the host are aligned with it by
-    simple tree matching. A model node whose text is the same on all of at least
-    three pages is template, what varies is a slot. Furniture is known by element
-    and by the words of class, id and role. A page with ``article`` or ``main``
-    elements consists of these, without the furniture in them; another page of its
-    varying slots.
+    For every host the element trees of up to ``MODELS`` different pages are
+    models, those of the smallest hash of their share of all hashes; every page of
+    the host is aligned by simple tree matching with the model that it shares most
+    with. An element's own text is template if it stands at one place of the model
+    on at least ``LEAST_PAGES`` different pages and on ``SHARE`` of the different
+    pages that have a text at that place; pages of the same visible words are one.
+    What varies is a slot. A page in which nothing varies keeps all of its text.
+    Of the slots, ``article`` and ``main`` elements choose the main text where a
+    page has them; furniture, known by element and by the words of class, id and
+    role, is left out.
 
     The alignment of a page is one row's work and its findings are counted per
-    host and node, first within each batch, so a host with a third of all pages is
-    spread like any other. Models and wrappers, one small row a host, are written
-    before they are joined: the join sends them to the pages where their size is
-    known to allow it and shuffles both sides where not.
+    host, place and text, first within each batch, so a host with a third of all
+    pages is spread like any other. Models, wrappers and the numbers of copies are
+    written before they are joined: the join sends them to the pages where their
+    size is known to allow it and shuffles both sides where not.
 
     A null or empty page has an empty text. A null address, or one without host,
     belongs to the host of the empty name. Repeated rows give the same text
@@ -264,65 +304,92 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     picked = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
                           host_of(F.col(url)).alias("host"))
     kind = dict(picked.dtypes)["page_id"]
+    told = picked.withColumn("words", F.xxhash64(F.regexp_replace("html", UNSEEN, " ")))
 
     def outline(batches):
         for batch in batches:
             trees = [json.dumps(summarise(parse(h)), ensure_ascii=False, separators=(",", ":"))
-                     for h in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), batch.column(2)],
-                                             ["host", "model", "n_pages"])
+                     for h in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.string())],
+                                             ["host", "share", "model"])
+
+    def reader():
+        """Trees and sizes of models, each read once."""
+        known: dict[str, tuple[list, int]] = {}
+
+        def read(sources):
+            for source in sources:
+                if source not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[source] = json.loads(source), 0
+                    size, todo = 0, [known[source][0]]
+                    while todo:
+                        size += 1
+                        todo += todo.pop()[2]
+                    known[source] = known[source][0], size
+                yield known[source]
+
+        return lambda sources: list(read(sources))
 
     def matched(batches):
-        models: dict[str, list] = {}
+        read = reader()
         for batch in batches:
-            found: dict[tuple[str, int], list[int]] = {}
-            for host, html, model in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if model not in models:
-                    if len(models) > 1000:
-                        models.clear()
-                    models[model] = json.loads(model)
-                page = summarise(parse(html))
-                texts, todo = {}, [page]
-                while todo:
-                    node = todo.pop()
-                    texts[node[3]] = node[1]
-                    todo += node[2]
-                for mine, theirs in align(models[model], page).items():
-                    text = texts[mine]
-                    seen = found.setdefault((host, theirs), [0, text, text])
-                    seen[0] += 1
-                    seen[1], seen[2] = min(seen[1], text), max(seen[2], text)
+            found: dict[tuple[str, int, int, int], float] = {}
+            for host, html, sources, copies in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                root = parse(html)
+                number, pairs = best_model(read(sources), summarise(root))
+                texts = {(pairs[n.path], text) for n, text in own_texts(root) if n.path in pairs}
+                # -1 counts the pages that have any text at the place.
+                for place, text in texts | {(place, -1) for place, _ in texts}:
+                    spot = host, number, place, text
+                    found[spot] = found.get(spot, 0.0) + 1 / copies
             yield pa.RecordBatch.from_arrays(
-                [pa.array([h for h, _ in found], pa.string()), pa.array([n for _, n in found], pa.int32()),
-                 *[pa.array([v[i] for v in found.values()], pa.int64()) for i in range(3)]],
-                ["host", "node", "seen", "lo", "hi"])
-
-    models = materialise(picked.groupBy("host").agg(
-        F.min_by("html", F.struct(F.xxhash64("html"), F.col("html"))).alias("html"), F.count("*").alias("n_pages")
-    ).mapInArrow(outline, "host string, model string, n_pages long"), "models")
-    findings = picked.select("host", "html").join(models.select("host", "model"), "host").select(
-        "host", "html", "model").mapInArrow(matched, "host string, node int, seen long, lo long, hi long")
-    constant = findings.groupBy("host", "node").agg(
-        F.sum("seen").alias("seen"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    wrappers = materialise(models.join(constant, "host").groupBy("host").agg(
-        F.first("model").alias("model"),
-        F.collect_list(F.when((F.col("lo") == F.col("hi")) & (F.col("seen") == F.col("n_pages")) & (F.col("seen") >= 3),
-                              F.col("node"))).alias("template")), "wrappers")
+                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()),
+                 pa.array([k[2] for k in found], pa.int32()), pa.array([k[3] for k in found], pa.int64()),
+                 pa.array(list(found.values()), pa.float64())], ["host", "number", "node", "text", "n"])
+
+    models = told.filter("html <> ''").groupBy("host", F.pmod("words", F.lit(MODELS)).cast("int").alias("share")).agg(
+        F.min_by("html", F.struct(F.xxhash64("html"), F.col("html"))).alias("html")).mapInArrow(
+        outline, "host string, share int, model string")
+    models = materialise(models.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("share", "model"))).alias("m")).select(
+        "host", F.col("m.model").alias("models")), "models")
+    copies = materialise(told.groupBy("host", "words").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    findings = told.join(models, "host").join(copies, ["host", "words"], "left").select(
+        "host", "html", "models", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(
+        matched, "host string, number int, node int, text long, n double")
+    counted = findings.groupBy("host", "number", "node", "text").agg(F.sum("n").alias("n")).filter(
+        F.col("n") > LEAST_PAGES - 1e-6)
+    constant = counted.groupBy("host", "number", "node").agg(
+        F.max(F.when(F.col("text") == -1, F.col("n"))).alias("all"),
+        F.collect_list(F.when(F.col("text") != -1, F.struct("text", "n"))).alias("texts")).select(
+        "host", F.struct("number", "node", F.filter(
+            "texts", lambda t: t["n"] > F.col("all") * SHARE - 1e-6)["text"].alias("texts")).alias("spot"))
+    wrappers = materialise(models.join(constant.filter(F.size("spot.texts") > 0), "host").groupBy("host").agg(
+        F.first("models").alias("models"), F.collect_list("spot").alias("template")), "wrappers")
 
     def extracted(batches):
+        read, templates = reader(), {}
         for batch in batches:
             texts = []
-            for source, model, template in zip(*(batch.column(i).to_pylist() for i in range(2, 5))):
+            column = batch.column(4)
+            for host, source, sources, i in zip(*(batch.column(i).to_pylist() for i in (5, 2, 3)), range(batch.num_rows)):
                 root = parse(source)
-                same: frozenset[int] = frozenset()
-                if template:
-                    constant_nodes = set(template)
-                    same = frozenset(a for a, b in align(json.loads(model), summarise(root)).items()
-                                     if b in constant_nodes)
-                texts.append("\n".join(blocks_of(root, same)))
+                same: frozenset[Node] = frozenset()
+                if sources:
+                    if host not in templates:
+                        if len(templates) > 1000:
+                            templates.clear()
+                        templates[host] = {(x["number"], x["node"], t) for x in column[i].as_py() for t in x["texts"]}
+                    number, pairs = best_model(read(sources), summarise(root))
+                    same = frozenset(n for n, text in own_texts(root)
+                                     if (number, pairs.get(n.path), text) in templates[host])
+                # Without anything that varies there is no telling the template from the text.
+                texts.append("\n".join(same and blocks_of(root, same) or blocks_of(root, frozenset())))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return picked.join(wrappers, "host", "left").select("page_id", "url", "html", "model", "template").mapInArrow(
+    return picked.join(wrappers, "host", "left").select(
+        "page_id", "url", "html", "models", "template", "host").mapInArrow(
         extracted, f"page_id {kind}, url string, text string, n_chars long")

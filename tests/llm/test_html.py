@@ -66,3 +66,15 @@ def test_articles_of_identical_pages_stay(spark):
     rows = [(i, "http://h.example/", "<body><article><p>Same</p></article></body>", "clash") for i in range(4)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, template string")
     assert {r.text for r in extract_text(df).collect()} == {"Same"}
+
+
+def extracted(spark, sources, host="h.example"):
+    rows = [(i, f"http://{host}/{i}", h) for i, h in enumerate(sources)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {r.page_id: r.text for r in extract_text(df).collect()}
+
+
+def test_wrapper_decides_inside_articles(spark):
+    got = extracted(spark, [f"<body><article><h1>Title {i}</h1><p>Text {i}</p><p>Read more</p><div class=who>By us</div>"
+                            "</article></body>" for i in range(5)])
+    assert got == {i: f"Title {i}\nText {i}" for i in range(5)}
