@@ -125,6 +125,36 @@ def is_furniture(node: Node, in_content: bool) -> bool:
     return not in_content and (node.tag == "header" or "header" in node.words or "masthead" in node.words)
 
 
+def text_size(node: Node) -> int:
+    """Characters of text below an element, without white space at the ends and what is never shown."""
+    total, todo = 0, [node]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, str):
+                total += len(part.strip())
+            elif part.tag not in HIDDEN:
+                todo.append(part)
+    return total
+
+
+def is_dropped(node: Node, in_content: bool, whole: Node) -> bool:
+    """Whether an element is furniture that does not hold the main text.
+
+    ``body`` and ``html`` never are. A form, or an element that has a furniture
+    word only as part of a longer name (``has-sidebar``), is not if more than half
+    of the text of ``whole`` stands in it.
+    """
+    if not is_furniture(node, in_content):
+        return False
+    if node.tag in HIDDEN:
+        return True
+    if node.tag in ("body", "html"):
+        return False
+    if node.sure or (node.tag in FURNITURE and node.tag != "form") or node.tag == "header":
+        return True
+    return 2 * text_size(node) <= text_size(whole)
+
+
 def summarise(root: Node) -> list:
     """Summary tree [signature, text hash, children, number]: siblings of one signature are one node.
 
@@ -225,8 +255,8 @@ def best_model(models: list[tuple[list, int]], page: list) -> tuple[int, dict[in
     return number, found
 
 
-def find_regions(root: Node) -> list[Node]:
-    """The articles of a page outside of furniture."""
+def find_regions(root: Node, within: bool) -> list[Node]:
+    """The articles of a page outside of furniture or, ``within`` it, of elements that only words make furniture."""
     regions: list[Node] = []
     todo = [root]
     while todo:
@@ -234,7 +264,10 @@ def find_regions(root: Node) -> list[Node]:
         if node.tag in CONTENT or node.words & {"articlebody"}:
             regions.append(node)
             continue
-        todo += [p for p in reversed(node.parts) if not isinstance(p, str) and not is_furniture(p, False)]
+        todo += [p for p in reversed(node.parts) if not isinstance(p, str) and (
+            not is_furniture(p, False) or p.tag in ("body", "html")
+            or within and p.tag not in HIDDEN and (p.tag == "form" or p.tag not in FURNITURE)
+            and not (p.tag in CONTENT and p.sure))]
     return regions
 
 
@@ -243,7 +276,7 @@ def blocks_of(root: Node, template: frozenset[Node]) -> list[str]:
 
     ``template`` are the page's elements whose own text the host repeats.
     """
-    regions = find_regions(root)
+    regions = find_regions(root, False) or find_regions(root, True)
     in_content = bool(regions)
     out: list[str] = []
     held: list[str] = []
@@ -269,7 +302,7 @@ def blocks_of(root: Node, template: frozenset[Node]) -> list[str]:
                     held.append(part)
             elif part.tag == "br":
                 held.append(" ")
-            elif not is_furniture(part, in_content):
+            elif not is_dropped(part, in_content, region):
                 if part.tag in BLOCKS:
                     flush()
                 stack.append((part, iter(part.parts)))
@@ -289,7 +322,7 @@ def extract_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
     What varies is a slot. A page in which nothing varies keeps all of its text.
     Of the slots, ``article`` and ``main`` elements choose the main text where a
     page has them; furniture, known by element and by the words of class, id and
-    role, is left out.
+    role, is left out, but not where the main text stands in it.
 
     The alignment of a page is one row's work and its findings are counted per
     host, place and text, first within each batch, so a host with a third of all

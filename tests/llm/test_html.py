@@ -78,3 +78,24 @@ def test_wrapper_decides_inside_articles(spark):
     got = extracted(spark, [f"<body><article><h1>Title {i}</h1><p>Text {i}</p><p>Read more</p><div class=who>By us</div>"
                             "</article></body>" for i in range(5)])
     assert got == {i: f"Title {i}\nText {i}" for i in range(5)}
+
+
+def test_one_odd_page_does_not_spoil_a_host(spark):
+    pages = [f"<body><div id=top>Menu words</div><div id=x><p>Text {i}</p></div></body>" for i in range(12)]
+    got = extracted(spark, [*pages, "<body><center>Error</center></body>"])
+    assert got == {**{i: f"Text {i}" for i in range(12)}, 12: "Error"}
+
+
+def test_copies_of_one_page_are_no_template(spark):
+    page = "<body><div id=top>Menu</div><p>Main text</p><script>var n={}</script></body>"
+    got = extracted(spark, [page.format(i) for i in range(5)])
+    assert set(got.values()) == {"Menu\nMain text"}
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<body class=has-sidebar><p>a</p><div class=sidebar>b</div></body>", "a"),
+    ("<div class=page-with-sidebar><p>long enough text</p></div><div class=share-bar>b</div>", "long enough text"),
+    ("<div class=banner><article>x</article></div>", "x"), ("<form><p>whole page</p></form><p>b</p>", "whole page\nb"),
+    ("<div class=related-posts><article>no</article></div><main>yes</main>", "yes")])
+def test_main_text_inside_furniture_words(html, text):
+    assert text_of(html) == text
