@@ -21,6 +21,14 @@ FOLDS = 5
 QUANTILE = 0.995
 #: Characters and documents that the common mean and the common quantile count for.
 PRIOR_CHARS, PRIOR_DOCS = 60, 100
+#: Characters of the window whose surprise is a text's peak; of the blocks, and the least of a block, whose share of
+#: different grams is looked at.
+PEAK_CHARS, BLOCK_CHARS, LEAST_BLOCK = 8, 256, 32
+#: A text repeats itself when a block has less than this part of the different grams that trusted texts have at least.
+REPEATING = 0.85
+#: A peak is one place of a text and its quantile shaky where documents are few: this share of room for none, half of it
+#: for ``PRIOR_DOCS``.
+PEAK_ROOM = 0.2
 
 
 def _bucket(doc_id: str, text: str, buckets: int):
@@ -224,8 +232,34 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(shards) >> np.uint64(24)).astype(np.int64)
 
 
+def extremes(surprise: np.ndarray, grams: np.ndarray, sizes: np.ndarray, before: np.ndarray):
+    """(largest mean surprise of ``PEAK_CHARS`` characters, smallest share of different grams in a block) by text.
+
+    ``before`` holds the surprises just before the first text's, where that was cut.
+    Only blocks of ``LEAST_BLOCK`` characters count; empty texts have (0, 1).
+    """
+    peak, fresh = np.zeros(len(sizes)), np.ones(len(sizes))
+    some = sizes > 0
+    if not some.any():
+        return peak, fresh
+    first = (np.cumsum(sizes) - sizes)[some]
+    begin = np.repeat(first, sizes[some])
+    at = np.arange(len(surprise))
+    sums = np.cumsum(np.concatenate([[0.0], before, surprise]))
+    least = np.where(begin == 0, 0, begin + len(before))
+    end = at + 1 + len(before)
+    peak[some] = np.maximum.reduceat((sums[end] - sums[np.maximum(least, end - PEAK_CHARS)]) / PEAK_CHARS, first)
+    block = np.cumsum((at - begin) % BLOCK_CHARS == 0) - 1
+    held = np.bincount(block)
+    chosen, _ = distinct(mix(grams.astype(np.uint64) + (block.astype(np.uint64) << np.uint64(32))))
+    share = np.bincount(block[chosen], minlength=len(held)) / held
+    fresh[some] = np.minimum.reduceat(np.where(held >= LEAST_BLOCK, share, 1.0), block[first])
+    return peak, fresh
+
+
 def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind: str) -> DataFrame:
-    """(doc_id, lang, text_key, n_chars, nats): the summed surprise of each text, per document row.
+    """(doc_id, lang, text_key, n_chars, nats, peak, fresh): the summed surprise and the extremes of each text, per
+    document row.
 
     Each bucket of documents asks the model's shards for its distinct grams;
     shards join them with their counts and send the two factors back in the
@@ -298,19 +332,26 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
                 p *= gamma[np.searchsorted(known, gram_keys(types.windows, k - 1, 1))]
             p += alpha[np.searchsorted(known, gram_keys(types.windows, k))]
         surprise = -np.log(p)
-        out = {"doc_id": [], "lang": [], "text_key": [], "n_chars": [], "nats": []}
+        out = {"doc_id": [], "lang": [], "text_key": [], "n_chars": [], "nats": [], "peak": [], "fresh": []}
         for ids, langs, marks, lengths, found in parts:
-            nats = np.zeros(len(lengths))
+            nats, peak, fresh = np.zeros(len(lengths)), np.zeros(len(lengths)), np.ones(len(lengths))
+            last, tail = -1, np.zeros(0)
             for row, key, back, sizes in found:
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                sums = np.bincount(owner, surprise[np.searchsorted(types.keys, key)][back], len(sizes))
-                nats[row : row + len(sums)] += sums
+                grams = np.searchsorted(types.keys, key)[back]
+                nats[row : row + len(sizes)] += np.bincount(owner, surprise[grams], len(sizes))
+                most, least = extremes(surprise[grams], grams, sizes, tail if row == last else tail[:0])
+                peak[row : row + len(sizes)] = np.maximum(peak[row : row + len(sizes)], most)
+                fresh[row : row + len(sizes)] = np.minimum(fresh[row : row + len(sizes)], least)
+                last, tail = row, surprise[grams[1 - PEAK_CHARS :]]
             out["doc_id"] += ids
             out["lang"] += langs
             out["text_key"] += marks
             out["n_chars"] += lengths.tolist()
             out["nats"] += nats.tolist()
-        kinds = (texts.schema.field("doc_id").type.value_type, pa.string(), pa.int64(), pa.int64(), pa.float64())
+            out["peak"] += peak.tolist()
+            out["fresh"] += fresh.tolist()
+        kinds = (texts.schema.field("doc_id").type.value_type, pa.string(), pa.int64(), pa.int64(), *[pa.float64()] * 3)
         return pa.table({n: pa.array(v, t) for (n, v), t in zip(out.items(), kinds)})
 
     asked = packed.groupBy("bucket").applyInArrow(ask, "shard int, bucket int, head long, width int, keys binary")
@@ -318,12 +359,13 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
     answers = asked.groupBy("shard").cogroup(shard_rows.groupBy("shard")).applyInArrow(
         answer, "bucket int, shard int, alpha binary, gamma binary")
     return packed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(
-        judge, f"doc_id {kind}, lang string, text_key long, n_chars long, nats double")
+        judge, f"doc_id {kind}, lang string, text_key long, n_chars long, nats double, peak double, fresh double")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, doc_id: str = "doc_id",
                      text: str = "text", lang: str = "lang") -> DataFrame:
-    """(doc_id, text_key, n_chars, perplexity, score, threshold, keep), one row per row of ``docs``.
+    """(doc_id, text_key, n_chars, perplexity, score, threshold, peak, peak_limit, fresh, fresh_limit, keep), one row per
+    row of ``docs``.
 
     Trusted texts are those labelled quality 1 and never toxic. Four fifths of
     them are counted, all of their characters. ``score`` is a text's mean
@@ -331,7 +373,11 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     ``PRIOR_CHARS`` more characters had that, so that a few odd characters do not
     condemn a short text. A text is rejected when its score exceeds the
     ``quantile`` of the trusted documents that were not counted, of its language;
-    a language with few of these leans on the quantile of all.
+    a language with few of these leans on the quantile of all. ``peak`` is the mean
+    surprise of a text's worst ``PEAK_CHARS`` characters, which a few foreign words
+    raise in a text of any length; it and its limit are given only. ``fresh`` is the
+    smallest share of different grams in a block of a text, which a loop of likely
+    words lowers; below ``REPEATING`` times the opposite quantile a text is rejected.
 
     Null and empty texts can't be judged and are kept, with null figures. A null
     language is a language of its own. Without trusted texts everything is kept.
@@ -355,33 +401,50 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     per_char = F.try_divide("nats", "n_chars")
 
     held = scored.filter("n_chars > 0").join(trusted.filter("held").select("doc_id"), "doc_id", "left_semi")
-    held = materialise(held.select("lang", "n_chars", per_char.alias("h")), "held")
-    middle = held.agg(F.percentile_approx("h", 0.5, 10000)).first()[0]
+    held = materialise(held.select("lang", "n_chars", per_char.alias("h"), "peak", "fresh"), "held")
+    middle, middle_peak = held.agg(*[F.percentile_approx(c, 0.5, 10000) for c in ("h", "peak")]).first()
     if middle is None:
         return scored.select("doc_id", "text_key", "n_chars", F.exp(per_char).alias("perplexity"),
                              per_char.alias("score"), F.lit(None).cast("double").alias("threshold"),
-                             F.lit(True).alias("keep"))
-    per_lang = held.groupBy("lang").agg(F.percentile_approx("h", 0.5, 10000).alias("mid"), F.count("*").alias("docs"))
+                             "peak", F.lit(None).cast("double").alias("peak_limit"), "fresh",
+                             F.lit(None).cast("double").alias("fresh_limit"), F.lit(True).alias("keep"))
+    per_lang = held.groupBy("lang").agg(F.percentile_approx("h", 0.5, 10000).alias("mid"),
+                                          F.percentile_approx("peak", 0.5, 10000).alias("mid_peak"),
+                                          F.count("*").alias("docs"))
 
     def drawn(rows: DataFrame, h) -> DataFrame:
         joined = rows.join(per_lang, "lang", "left")
         # A language with few held-out texts leans on the middle of all, as its quantile does.
         few = F.coalesce("docs", F.lit(0))
         mid = (F.coalesce("mid", F.lit(middle)) * few + F.lit(middle) * 10) / (few + 10)
-        joined = joined.withColumn("mid", mid)
+        mid_peak = (F.coalesce("mid_peak", F.lit(middle_peak)) * few + F.lit(middle_peak) * 10) / (few + 10)
+        joined = joined.withColumns({"mid": mid, "mid_peak": mid_peak})
         return joined.withColumn("score", (h * F.col("n_chars") + F.col("mid") * PRIOR_CHARS)
                                  / (F.col("n_chars") + PRIOR_CHARS))
 
-    excess = drawn(held, F.col("h")).select("lang", (F.col("score") - F.col("mid")).alias("over"))
-    common = excess.agg(F.percentile_approx("over", quantile, 10000)).first()[0]
+    excess = drawn(held, F.col("h")).select(
+        "lang", (F.col("score") - F.col("mid")).alias("over"), (F.col("peak") - F.col("mid_peak")).alias("above"), "fresh")
+    bounds = (("over", quantile), ("above", quantile), ("fresh", 1 - quantile))
+    common = excess.agg(*[F.percentile_approx(c, q, 10000).alias(c) for c, q in bounds]).first()
     limits = excess.groupBy("lang").agg(
-        F.percentile_approx("over", quantile, 10000).alias("own"), F.count("*").alias("seen"))
+        *[F.percentile_approx(c, q, 10000).alias(f"own_{c}") for c, q in bounds], F.count("*").alias("seen"))
     judged = drawn(scored, F.when(F.col("n_chars") > 0, per_char)).join(limits, "lang", "left")
     seen = F.coalesce("seen", F.lit(0))
-    over = (F.coalesce("own", F.lit(common)) * seen + F.lit(common) * PRIOR_DOCS) / (seen + PRIOR_DOCS)
-    return judged.withColumn("threshold", F.col("mid") + over).select(
-        "doc_id", "text_key", "n_chars", F.when(F.col("n_chars") > 0, F.exp(per_char)).alias("perplexity"), "score",
-        "threshold", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)).alias("keep"))
+
+    def bound(c: str):
+        return (F.coalesce(f"own_{c}", F.lit(common[c])) * seen + F.lit(common[c]) * PRIOR_DOCS) / (seen + PRIOR_DOCS)
+
+    judged = judged.withColumns({"threshold": F.col("mid") + bound("over"),
+                                 "peak_limit": F.col("mid_peak") + bound("above") * (
+                                     1 + PEAK_ROOM * PRIOR_DOCS / (seen + PRIOR_DOCS)),
+                                 "fresh_limit": bound("fresh") * REPEATING})
+    fits = (F.col("score") <= F.col("threshold")) & (
+        F.col("fresh") >= F.col("fresh_limit"))
+    real = F.col("n_chars") > 0
+    return judged.select(
+        "doc_id", "text_key", "n_chars", F.when(real, F.exp(per_char)).alias("perplexity"), "score", "threshold",
+        F.when(real, F.col("peak")).alias("peak"), "peak_limit", F.when(real, F.col("fresh")).alias("fresh"), "fresh_limit",
+        (~real | F.coalesce(fits, F.lit(True))).alias("keep"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from paperloom.llm import quality
@@ -98,3 +99,29 @@ def test_awkward_rows_and_empty_tables(spark, docs, empty, texts, corpus):
     assert all(r.keep and r.perplexity is None for r in rows if r.n_chars == 0)
     assert classify_quality(empty, labels).collect() == []
     assert all(r.keep for r in classify_quality(docs, labels.filter("false")).collect())
+
+
+def test_loops_of_likely_words_and_foreign_words_in_long_texts(spark, corpus):
+    docs, labels = corpus
+    good = [r.text for r in docs.filter("doc_id % 8 = 1").orderBy("doc_id").limit(40).collect()]
+    word = max((w for t in good for w in t.split()), key=len)
+    rows = [(1000, f"{word} " * 300), (1001, f"{good[0]} " + f"{word} " * 80 + " ".join(good[1:9])),
+            (1002, " ".join(good[:30]) + " qwjxvkzq mfgkqwyp " + " ".join(good[:10])), (1003, None), (1004, "")]
+    judged = {r.doc_id: r for r in classify_quality(
+        docs.union(spark.createDataFrame([(*r, "xx") for r in rows], docs.schema)), labels).collect()}
+    for i in (1000, 1001, 1002):
+        assert judged[i].score <= judged[i].threshold, i
+    assert [judged[i].keep for i in range(1000, 1005)] == [False, False, True, True, True]
+
+
+def test_extremes_against_brute_force():
+    rnd = random.Random(3)
+    sizes = [0, 5, 700, 0, 40, 31]
+    grams = [[rnd.randrange(40) for _ in range(n)] for n in sizes]
+    nats = [[rnd.random() for _ in g] for g in grams]
+    peak, fresh = quality.extremes(np.array(sum(nats, [])), np.array(sum(grams, [])), np.array(sizes), np.zeros(0))
+    w, b = quality.PEAK_CHARS, quality.BLOCK_CHARS
+    for i, n in enumerate(sizes):
+        assert peak[i] == pytest.approx(max([sum(nats[i][max(0, e - w) : e]) / w for e in range(1, n + 1)], default=0))
+        blocks = [grams[i][a : a + b] for a in range(0, n, b)]
+        assert fresh[i] == min([len(set(x)) / len(x) for x in blocks if len(x) >= quality.LEAST_BLOCK], default=1)
