@@ -375,7 +375,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
     ``quantile`` of the trusted documents that were not counted, of its language;
     a language with few of these leans on the quantile of all. ``peak`` is the mean
     surprise of a text's worst ``PEAK_CHARS`` characters, which a few foreign words
-    raise in a text of any length; it and its limit are given only. ``fresh`` is the
+    raise in a text of any length, and has a limit of the same kind, with some room where documents are few. ``fresh`` is the
     smallest share of different grams in a block of a text, which a loop of likely
     words lowers; below ``REPEATING`` times the opposite quantile a text is rejected.
 
@@ -438,7 +438,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
                                  "peak_limit": F.col("mid_peak") + bound("above") * (
                                      1 + PEAK_ROOM * PRIOR_DOCS / (seen + PRIOR_DOCS)),
                                  "fresh_limit": bound("fresh") * REPEATING})
-    fits = (F.col("score") <= F.col("threshold")) & (
+    fits = (F.col("score") <= F.col("threshold")) & (F.col("peak") <= F.col("peak_limit")) & (
         F.col("fresh") >= F.col("fresh_limit"))
     real = F.col("n_chars") > 0
     return judged.select(
