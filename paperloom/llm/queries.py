@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .bpe import decode, encode
+from .caps import vector_groups
 from .contamination import find_contamination
 from .exact import exact_groups
 from .html import extract_text
 from .jaccard import jaccard_groups
+from .lexical import rank_documents
 from .licenses import find_licenses
 from .pii import replace_personal_data
 from .quality import classify_quality
 from .repeats import find_repeats
+from .trie import conversation_trie
 from .urls import judge_urls
 
 #: The host rules of the URL filter.
@@ -89,6 +92,18 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return replaced.select("doc_id", "n_replaced", kinds.alias("kinds"), "text")
 
 
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(table(spark, folder, "conversations"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_groups(table(spark, folder, "embeddings"), least=0.93)
+
+
+def op13_ranked_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"), k=10)
+
+
 _A_Z = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL = {
@@ -154,6 +169,76 @@ SQL = {
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256
         FROM t JOIN g ON t.text = g.text""",
+    "op11_conversation_trie": """
+        WITH RECURSIVE turns AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+                PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+                sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+            FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY place) AS turns FROM turns GROUP BY conv_id),
+        heads AS (
+            SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+                list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i:
+                    CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END))) % 6 AS h
+            FROM own),
+        built AS (
+            SELECT h.conv_id, list_concat(coalesce(b.turns, [])[1 : h.h], h.turns[h.h + 1 :]) AS turns
+            FROM heads h LEFT JOIN own b ON b.conv_id = h.base),
+        starts AS (
+            SELECT conv_id, d AS depth, turns[1 : d] AS start, len(turns) = d AS is_last
+            FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM built)),
+        nodes AS (
+            SELECT depth, start, min(conv_id) AS node, count(*) AS n_convs, CASE WHEN depth = 0 THEN 0 ELSE
+                       (count(*) - 1) * length(start[depth].text) END AS saving,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (is_last), '')) AS ends_sha256
+            FROM starts GROUP BY depth, start),
+        member AS (SELECT s.conv_id, n.depth, n.node FROM starts s JOIN nodes n ON s.depth = n.depth AND s.start = n.start),
+        linked AS (
+            SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN member m ON m.conv_id = n.node AND m.depth = n.depth - 1),
+        kids AS (SELECT parent, depth - 1 AS depth, count(*) AS n FROM linked WHERE parent IS NOT NULL GROUP BY parent, depth),
+        sized AS (SELECT l.*, coalesce(k.n, 0) AS n_children FROM linked l LEFT JOIN kids k ON k.parent = l.node AND k.depth = l.depth),
+        below AS (
+            SELECT m.node, m.depth, sum(u.saving) AS saved, count(*) FILTER (u.n_children = 0) AS leaves
+            FROM sized u JOIN member m ON m.conv_id = u.node AND m.depth <= u.depth GROUP BY m.node, m.depth)
+        SELECT s.node AS conv_id, s.depth::BIGINT AS depth, s.parent AS parent_conv_id, s.n_convs, s.n_children,
+               b.leaves AS n_leaves, b.saved::BIGINT AS saved_tokens, s.ends_sha256
+        FROM sized s JOIN below b ON b.node = s.node AND b.depth = s.depth""",
+    # Cosines of all pairs; equal to the operator's rows where its filters meet every link, as on the given tables.
+    "op12_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        ok AS (SELECT * FROM v WHERE label IS NOT NULL AND vec_id IS NOT NULL AND len(e) > 0
+               AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+            AND list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least AS (SELECT reach.a, min(v.vec_id) AS m FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
+        counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+               coalesce(vec_id = least(vec_id, coalesce(m, vec_id)), true) AS kept
+        FROM v LEFT JOIN counted c ON c.a = v.r LEFT JOIN least l ON l.a = v.r""",
+    "op13_ranked_lexical_search": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        i AS (
+            SELECT row_number() OVER () AS q, item_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        asked AS (SELECT q, item_id, t, count(*) AS times FROM (SELECT q, item_id, unnest(w) AS t FROM i) GROUP BY ALL),
+        totals AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+        tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d)
+               WHERE t IN (SELECT t FROM asked) GROUP BY r, t),
+        weights AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight
+                    FROM tf, totals GROUP BY t),
+        parts AS (SELECT r, doc_id, 25 + (75 * len(w) * n_docs) // total AS m FROM d, totals WHERE len(w) > 0),
+        scores AS (
+            SELECT q, item_id, doc_id, r, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM asked JOIN tf USING (t) JOIN weights USING (t) JOIN parts USING (r) GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+            FROM scores WHERE score > 0) WHERE rank <= 10""",
 }
 
 QUERIES = {
@@ -167,4 +252,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_ranked_lexical_search": op13_ranked_lexical_search,
 }
