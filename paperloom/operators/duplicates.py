@@ -9,7 +9,7 @@ from ..functions.columns import alnum_key, let
 from ..functions.defaults import DUPLICATE_COSINE, DUPLICATE_TITLE
 from ..functions.trigrams import jaccard, trigrams
 from ..session import materialise
-from .vector_search import nearest
+from .metric_join import nearest_within
 
 
 def exact_duplicates(papers: DataFrame) -> DataFrame:
@@ -127,7 +127,8 @@ def opening_duplicates(
 
     First passage of each paper against passages 0..2 of the owner's other
     papers; the best other paper is kept when it reaches ``threshold``.
-    ``mode="earlier"`` compares only with papers created before.
+    ``mode="earlier"`` compares only with papers created before. Only passages
+    that the triangle inequality cannot keep apart are compared (``metric_join``).
     """
     own = papers.select("paper_id", F.col("user_id"), "created_at")
     vectors = chunks.drop("user_id").filter((F.col("chunk_index") < 3) & F.col("embedding").isNotNull()).join(own, "paper_id")
@@ -135,13 +136,12 @@ def opening_duplicates(
         F.col("paper_id").alias("chunk_id"), "paper_id", "user_id", "embedding", F.col("created_at").alias("arrival")
     )
     probes = vectors.filter("chunk_index = 0").select(
-        F.col("paper_id").alias("probe_id"), "user_id", "embedding", F.lit(1).alias("top_k"),
-        F.col("paper_id").alias("skip_paper"), F.lit(float(threshold)).alias("floor"),
+        F.col("paper_id").alias("probe_id"), "user_id", "embedding", F.col("paper_id").alias("skip_paper"),
         F.col("created_at").alias("before"),
     )
     if mode == "all":
         probes = probes.drop("before")
-    return nearest(candidates, probes, **options).select(
+    return nearest_within(candidates, probes, threshold, **options).select(
         F.col("probe_id").alias("paper_id"), F.col("chunk_id").alias("duplicate_of"), "similarity"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import long
 from ..operators import duplicates as D
+from ..operators.metric_join import nearest_within
 from ..operators.retrieval import drop_near_identical
 from ..sources import tables as T
 from .duck import sql
@@ -30,6 +31,13 @@ def _d3(spark, folder):
     return _openings(spark, folder).withColumn("similarity", F.round("similarity", 4))
 
 
+def _d3_passages(spark, folder):
+    """For every passage the closest one of another paper of its owner, cells split at 256 passages."""
+    c = T.read_vector_chunks(spark, folder).select("chunk_id", "user_id", "paper_id", "embedding")
+    probes = c.select(F.col("chunk_id").alias("probe_id"), "user_id", "embedding", F.col("paper_id").alias("skip_paper"))
+    return nearest_within(c, probes, 0.45, cell_rows=256).withColumn("similarity", F.round("similarity", 4))
+
+
 def _d4(spark, folder):
     papers = T.read_papers(spark, folder).select("paper_id", "user_id", "title")
     dup = D.exact_duplicates(T.read_papers(spark, folder)).select(
@@ -76,6 +84,11 @@ QUERIES = {
         WHERE a.chunk_index = 0 AND b.chunk_index < 3
         GROUP BY a.paper_id, b.paper_id HAVING max(list_cosine_similarity(a.embedding, b.embedding)) >= 0.25
         QUALIFY row_number() OVER (PARTITION BY a.paper_id ORDER BY max(list_cosine_similarity(a.embedding, b.embedding)) DESC, b.paper_id) = 1""")),
+    "d3_close_passages": (_d3_passages, sql("""
+        SELECT a.chunk_id AS probe_id, b.chunk_id, round(list_cosine_similarity(a.embedding, b.embedding), 4) AS similarity
+        FROM vec_chunks a JOIN vec_chunks b ON a.user_id = b.user_id AND a.paper_id <> b.paper_id
+        WHERE list_cosine_similarity(a.embedding, b.embedding) >= 0.45
+        QUALIFY row_number() OVER (PARTITION BY a.chunk_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.chunk_id) = 1""")),
     "d4_duplicate_warning": (_d4, sql("""
         SELECT f.paper_id, o.paper_id AS warning_paper, o.title AS other_title,
                CASE WHEN o.paper_id IS NOT NULL AND f.own <> f.paper_id THEN 1.0::DOUBLE END AS warning_similarity
