@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from ..functions.vectors import cosine_similarity
 from ..operators import keyword as K
 from ..operators import library as L
 from ..operators import retrieval as R
+from ..operators import vector_cells as V
+from ..session import shared_folder
 from ..sources import tables as T
 from .duck import sql
 
@@ -77,9 +81,9 @@ def _e3(spark, folder):
     return _shown(raw_hits(spark, folder))
 
 
-def _e4(spark, folder):
+def _filtered(spark, folder):
     label = F.col("query_id") % 100
-    qs = questions(spark, folder).withColumns(
+    return questions(spark, folder).withColumns(
         {
             "want_tag": F.when(label % 2 == 0, "en"),
             "want_project": F.when(label % 5 == 1, "src3"),
@@ -87,7 +91,20 @@ def _e4(spark, folder):
             "want_paper": F.when(label == 9, F.col("user_id") + 16),
         }
     )
-    return _shown(raw_hits(spark, folder, qs))
+
+
+def _e4(spark, folder):
+    return _shown(raw_hits(spark, folder, _filtered(spark, folder)))
+
+
+def _e4_cells(spark, folder):
+    """The filtered questions over stored cells of at most 64 passages."""
+    chunks = marked_chunks(spark, folder)
+    owned = T.read_papers(spark, folder).select("paper_id", "user_id", "project_id", "publication_year", "tags")
+    path = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+    V.store_cells(chunks.join(owned, ["paper_id", "user_id"]), path, cell_rows=64, slots=8)
+    ranked, _ = V.search_cells(spark, path, _filtered(spark, folder).withColumnRenamed("query_id", "probe_id"))
+    return _shown(ranked.withColumnRenamed("probe_id", "query_id").join(chunks.drop("embedding", "user_id"), "chunk_id"))
 
 
 def scopes(spark, folder):
@@ -345,3 +362,5 @@ QUERIES = {
                paper_title AS title, round(similarity, 4) AS similarity FROM hits
         UNION ALL SELECT 'idea-' || lang, 'external', 'ext:' || external_id, title, NULL FROM works""")),
 }
+# The same rows, found another way.
+QUERIES["e4_stored_cells"] = (_e4_cells, QUERIES["e4_filtered_topk"][1])
