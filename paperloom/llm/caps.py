@@ -283,8 +283,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93) -> tuple[DataFrame, Da
 def _compare(pairs: DataFrame, members: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """Links of the vectors of two balls, for balls of which geometry alone does not decide: counts by uid, linked balls."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()
-    shards = materialise(members.join(asked, "ball").select("ball", "uid", "copies", "unit", F.pmod(
-        F.xxhash64("uid"), F.lit(64)).alias("salt")).groupBy("ball", "salt").applyInArrow(
+    salt = F.pmod(F.xxhash64("uid"), F.lit(64)).alias("salt")
+    dealt = members.join(asked, "ball").select("ball", "uid", "copies", "unit", salt)
+    shards = materialise(dealt.repartition("ball", "salt").sortWithinPartitions("ball").mapInArrow(
         _shard, "ball long, uids binary, weights binary, units binary"), "shards")
     side = lambda s: shards.select(*[F.col(c).alias(f"{c}_{s}") for c in shards.columns]).withColumnRenamed(f"ball_{s}", s)
 
@@ -308,13 +309,14 @@ def _compare(pairs: DataFrame, members: DataFrame, least: float) -> tuple[DataFr
 
 
 def _shard(batches):
-    """Members of a ball as packed rows of at most SHARD vectors."""
-    held = []
+    """Vectors sorted by ball as packed rows of at most SHARD vectors of one ball."""
+    held: list[tuple] = []
     for batch in batches:
-        held += zip(*[batch.column(c).to_pylist() for c in ("ball", "uid", "copies", "unit")])
-        while len(held) >= SHARD:
-            yield _packed(held[:SHARD])
-            held = held[SHARD:]
+        for row in zip(*[batch.column(c).to_pylist() for c in ("ball", "uid", "copies", "unit")]):
+            if held and (len(held) == SHARD or held[0][0] != row[0]):
+                yield _packed(held)
+                held = []
+            held.append(row)
     if held:
         yield _packed(held)
 

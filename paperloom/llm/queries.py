@@ -70,7 +70,7 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = find_repeats(table(spark, folder, "documents"), length=400)
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
-                        F.sha2("kept", 256).alias("kept_sha256"))
+                        F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("repeated"))
 
 
 def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
