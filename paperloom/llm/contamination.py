@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import unused
+
 #: Words are runs of anything but these bytes, after A-Z became a-z.
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Bytes of window text that one automaton holds; a larger benchmark is scanned for by parts.
@@ -173,10 +175,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, do
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10, doc_id: str = "doc_id",
                       text: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns."""
+    """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns, whatever their names.
+
+    Null, empty, repeated and very long texts, null ids and empty tables are as in ``find_contamination``: texts without
+    words stay.
+    """
+    hid, hkey, key = unused(docs, "hit_id", "hit_key", "text_key")
     hit = find_contamination(docs, benchmark, size, doc_id, text).filter("n_hit > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
+        F.col("doc_id").alias(hid), F.col("text_key").alias(hkey)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(text))
     return keyed.join(
-        hit, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti"
-    ).drop("_text_key")
+        hit, F.col(doc_id).eqNullSafe(F.col(hid)) & (F.col(key) == F.col(hkey)), "left_anti").drop(key)

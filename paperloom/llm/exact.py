@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import is_empty, lower_ascii
+from .arrays import is_empty, lower_ascii, unused
 
 #: A chunk holds at least this many characters before a boundary counts, and at most this many.
 MIN_CHUNK, MAX_CHUNK = 64, 8192
@@ -86,16 +86,19 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; one of each group.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names; one of each group.
+
+    Null, empty and very long texts, null ids and empty tables are as in ``exact_groups``.
 
     Rows repeated with the same id and text are merged by their full content only
     when there are any.
     """
     decided = exact_groups(docs, doc_id, text)
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    hashed = docs.withColumn("_sha2", F.sha2(lower_ascii(F.col(text)), 256))
-    out = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha2") == F.col("_sha")), "left_semi")
-    repeated = hashed.groupBy(doc_id, "_sha2").count().filter("count > 1")
+    kid, ksha, sha, copies = unused(docs, "kept_id", "kept_sha", "text_sha", "copies")
+    kept = decided.filter("kept").select(F.col("doc_id").alias(kid), F.col("text_sha256").alias(ksha))
+    hashed = docs.withColumn(sha, F.sha2(lower_ascii(F.col(text)), 256))
+    out = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col(kid)) & (F.col(sha) == F.col(ksha)), "left_semi")
+    repeated = hashed.groupBy(doc_id, sha).agg(F.count("*").alias(copies)).filter(F.col(copies) > 1)
     if not is_empty(repeated):
-        out = out.dropDuplicates([doc_id, "_sha2"])
-    return out.drop("_sha2")
+        out = out.dropDuplicates([doc_id, sha])
+    return out.drop(sha)

@@ -57,7 +57,8 @@ _TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*>|[^<]+|<", re.S)
-_MARKS = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_MARKS = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title", "iframe", "xmp")}
 
 
@@ -109,7 +110,10 @@ def parse(html: str | None) -> Node:
         attributes = token[3] or token[6] or ""
         words, sure = frozenset(), False
         if attributes:
-            marks = " ".join((m[1] or m[2] or m[3] or "").lower() for m in _MARKS.finditer(attributes))
+            # The id of a heading, a paragraph or an inline element is a slug of its text and says nothing of its part.
+            named = tag in BLOCKS and tag not in _SLUGGED
+            marks = " ".join((m[2] or m[3] or m[4] or "").lower() for m in _MARKS.finditer(attributes)
+                             if named or m[1].lower() != "id")
             words = frozenset(marks.replace("-", " ").replace("_", " ").split())
             sure = bool(words & FURNITURE_WORDS) and not FURNITURE_WORDS.isdisjoint(marks.split())
         node = Node(tag, words, sure)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .arrays import (from_planes, hash_runs, is_empty, lower_table, mix, planes, random_words, runs, spread, steps,
-                     width_of)
+                     unused, width_of)
 from .graph import components
 
 #: White space of the word rule: words are runs of anything else.
@@ -397,15 +397,18 @@ def jaccard_groups(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_
 
 def drop_near_copies(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id",
                      text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their group, with all their columns.
+    """The rows of ``docs`` whose id is the smallest of their group, with all their columns, whatever their names.
+
+    Null, empty and very long texts, null ids and empty tables are as in ``jaccard_groups``: texts without words stay.
 
     Rows repeated with the same id and text are merged where there are any.
     """
     groups = materialise(jaccard_groups(docs, k, num, den, doc_id, text), "groups")
+    kid, kkey, key, copies = unused(docs, "kept_id", "kept_key", "text_key", "copies")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    out = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    if not is_empty(kept.groupBy("_id", "_key").count().filter("count > 1")):
-        out = out.dropDuplicates([doc_id, "_text_key"])
-    return out.drop("_text_key")
+        F.col("doc_id").alias(kid), F.col("text_key").alias(kkey))
+    keyed = docs.withColumn(key, F.xxhash64(text))
+    out = keyed.join(kept, F.col(doc_id).eqNullSafe(F.col(kid)) & (F.col(key) == F.col(kkey)), "left_semi")
+    if not is_empty(kept.groupBy(kid, kkey).agg(F.count("*").alias(copies)).filter(F.col(copies) > 1)):
+        out = out.dropDuplicates([doc_id, key])
+    return out.drop(key)

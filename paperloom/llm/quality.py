@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .arrays import from_planes, mix, planes, random_words, spread, width_of
+from .arrays import from_planes, mix, planes, random_words, spread, unused, width_of
 from .packing import pack_texts, unpack_texts
 
 #: Order of the model; characters of one vectorised step; characters per bucket of documents.
@@ -242,18 +242,27 @@ def extremes(surprise: np.ndarray, grams: np.ndarray, sizes: np.ndarray, before:
     some = sizes > 0
     if not some.any():
         return peak, fresh
-    first = (np.cumsum(sizes) - sizes)[some]
-    begin = np.repeat(first, sizes[some])
-    at = np.arange(len(surprise))
+    sizes = sizes[some]
+    first = np.cumsum(sizes) - sizes
+    end = np.arange(len(before) + 1, len(before) + 1 + len(surprise))
+    least = end - PEAK_CHARS
+    # Only the first characters of a text have a shorter window.
+    for f, n in zip(first.tolist(), sizes.tolist()):
+        start = f + len(before) if f else 0
+        least[f : f + min(n, PEAK_CHARS)] = np.maximum(least[f : f + min(n, PEAK_CHARS)], start)
     sums = np.cumsum(np.concatenate([[0.0], before, surprise]))
-    least = np.where(begin == 0, 0, begin + len(before))
-    end = at + 1 + len(before)
-    peak[some] = np.maximum.reduceat((sums[end] - sums[np.maximum(least, end - PEAK_CHARS)]) / PEAK_CHARS, first)
-    block = np.cumsum((at - begin) % BLOCK_CHARS == 0) - 1
-    held = np.bincount(block)
-    chosen, _ = distinct(mix(grams.astype(np.uint64) + (block.astype(np.uint64) << np.uint64(32))))
-    share = np.bincount(block[chosen], minlength=len(held)) / held
-    fresh[some] = np.minimum.reduceat(np.where(held >= LEAST_BLOCK, share, 1.0), block[first])
+    peak[some] = np.maximum.reduceat(sums[end] - sums[least], first) / PEAK_CHARS
+    # Blocks are the rows of a grid; in a sorted row, different grams are changes of value.
+    blocks = -(-sizes // BLOCK_CHARS)
+    first_block = np.cumsum(blocks) - blocks
+    held = np.full(int(blocks.sum()), BLOCK_CHARS)
+    held[first_block + blocks - 1] = sizes - (blocks - 1) * BLOCK_CHARS
+    grid = np.full(len(held) * BLOCK_CHARS, -1, np.int32)
+    grid[spread(sizes, first_block * BLOCK_CHARS)] = grams
+    grid = grid.reshape(len(held), BLOCK_CHARS)
+    grid.sort(axis=1)
+    share = ((grid[:, 1:] != grid[:, :-1]).sum(1) + (grid[:, 0] >= 0)) / held
+    fresh[some] = np.minimum.reduceat(np.where(held >= LEAST_BLOCK, share, 1.0), first_block)
     return peak, fresh
 
 
@@ -337,13 +346,15 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
             nats, peak, fresh = np.zeros(len(lengths)), np.zeros(len(lengths)), np.ones(len(lengths))
             last, tail = -1, np.zeros(0)
             for row, key, back, sizes in found:
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                grams = np.searchsorted(types.keys, key)[back]
-                nats[row : row + len(sizes)] += np.bincount(owner, surprise[grams], len(sizes))
-                most, least = extremes(surprise[grams], grams, sizes, tail if row == last else tail[:0])
+                grams = np.searchsorted(types.keys, key).astype(np.int32)[back]
+                each = surprise[grams]
+                some = sizes > 0
+                if some.any():
+                    nats[row : row + len(sizes)][some] += np.add.reduceat(each, (np.cumsum(sizes) - sizes)[some])
+                most, least = extremes(each, grams, sizes, tail if row == last else tail[:0])
                 peak[row : row + len(sizes)] = np.maximum(peak[row : row + len(sizes)], most)
                 fresh[row : row + len(sizes)] = np.minimum(fresh[row : row + len(sizes)], least)
-                last, tail = row, surprise[grams[1 - PEAK_CHARS :]]
+                last, tail = row, each[1 - PEAK_CHARS :]
             out["doc_id"] += ids
             out["lang"] += langs
             out["text_key"] += marks
@@ -449,10 +460,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANT
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                      lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever their names.
+
+    Null, empty, repeated and very long texts, null ids and empty tables are judged as ``classify_quality`` says.
+    """
+    gid, gkey, key = unused(docs, "gone_id", "gone_key", "text_key")
     gone = classify_quality(docs, labels, doc_id=doc_id, text=text, lang=lang).filter("not keep").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
+        F.col("doc_id").alias(gid), F.col("text_key").alias(gkey)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(text))
     return keyed.join(
-        gone, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_anti"
-    ).drop("_text_key")
+        gone, F.col(doc_id).eqNullSafe(F.col(gid)) & (F.col(key) == F.col(gkey)), "left_anti").drop(key)

@@ -42,9 +42,10 @@ def list_rank(arcs: DataFrame, last: int = LAST) -> DataFrame:
             F.sum("w").alias("w")), "list")
 
     def rank(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held)
         a = table.column("a").to_numpy()
         order = np.argsort(a)
         succ = table.column("succ").fill_null(-1).to_numpy()

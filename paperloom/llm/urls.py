@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import LOWER, UPPER
+from .arrays import LOWER, UPPER, unused
 
 #: Largest index, in bytes of JSON, that is placed into the plan as a literal.
 INDEX_BYTES = 8 << 20
@@ -146,9 +146,10 @@ def judge_urls(pages: DataFrame, rules, patterns=PATTERNS, default: str = "allow
     fitting = F.filter(candidates, lambda r: F.call_function("regexp_like", subject, r["regex"]))
     best = F.get(F.array_sort(F.transform(fitting, lambda r: F.struct(
         (-r["weight"]).alias("w"), r["rule"].alias("rule"), r["action"].alias("action")))), F.lit(0))
-    judged = parsed.withColumn("_best", best)
+    top = unused(parsed, "best")[0]
+    judged = parsed.withColumn(top, best)
     return judged.withColumns({
-        "rule": F.when(F.col("_best.w") < 0, F.col("_best.rule")),
-        "verdict": F.coalesce(F.col("_best.action"), F.lit(default)),
-        "pattern": F.when(F.col("_best.w") == 0, F.col("_best.rule")),
-    }).drop("_best")
+        "rule": F.when(F.col(f"{top}.w") < 0, F.col(f"{top}.rule")),
+        "verdict": F.coalesce(F.col(f"{top}.action"), F.lit(default)),
+        "pattern": F.when(F.col(f"{top}.w") == 0, F.col(f"{top}.rule")),
+    }).drop(top)
