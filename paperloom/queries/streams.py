@@ -9,6 +9,8 @@ from ..sources import tables as T
 from ..streaming import jobs as J
 from ..streaming import windows as W
 from ..session import shared_folder
+from ..sources.versions import read_versions
+from ..streaming import lifetime as LT
 from .cleaning import SECTION_VIEWS
 from .duck import sql
 
@@ -29,7 +31,7 @@ def _l1(spark, folder):
     docs = _stream(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), versions).select("paper_id", "v.*")
     base = f"{shared_folder(spark)}/index-{J.uuid.uuid4().hex}"
     J.index_stream(docs, f"{base}/chunks", f"{base}/state", arrival="arrived", size=1_000_000, overlap=0).awaitTermination()
-    return spark.read.parquet(f"{base}/chunks").select(
+    return read_versions(spark, f"{base}/chunks").select(
         "paper_id", long("chunk_index").alias("chunk_index"), "section_type", "content", long("token_count").alias("token_count"), long(F.size("embedding")).alias("dim"))
 
 
@@ -55,7 +57,7 @@ def _l4(spark, folder):
     jobs = _stream(spark, folder, "events").select(
         (F.col("user_id") * 5 + F.get_json_object("props", "$.k").cast("bigint") % 5).alias("paper_id"),
         F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("created_at"))
-    return spark.read.parquet(J.run_available(J.job_states(jobs), "jobs", mode="update", key="paper_id")).select("paper_id", "job_id", "status")
+    return read_versions(spark, J.run_available(J.job_states(jobs), "jobs", mode="update", key="paper_id")).select("paper_id", "job_id", "status")
 
 
 def _l5(spark, folder):
@@ -64,6 +66,16 @@ def _l5(spark, folder):
     return rows.select("user_id", "content_hash")
 
 
+def _l5_lifetime(spark, folder):
+    """The uploads as three batches a year apart: what came in an earlier batch is suppressed all the same."""
+    ups = T.read_events(spark, folder).select("event_id", "user_id", F.col("k").cast("string").alias("content_hash"), "ts")
+    table = f"{shared_folder(spark)}/lifetime-{J.uuid.uuid4().hex}"
+    for number in range(3):
+        batch = ups.filter(F.pmod(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400), F.lit(3)) == number)
+        LT.store_first_uploads(batch.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {number} YEAR")), table, number, order=("ts", "event_id"))
+    return read_versions(spark, table, "upload_key").select("user_id", "content_hash", "event_id")
+
+
 def _l6(spark, folder):
     counts = J.activity_counts(_stream(spark, folder, "events"), "1 hour")
     rows = spark.read.parquet(J.run_available(counts, "activity"))
@@ -98,6 +110,9 @@ QUERIES = {
     "l4_job_state": (_l4, sql("""
         SELECT user_id * 5 + k % 5 AS paper_id, max_by(event_id, (ts, event_id)) AS job_id, max_by(event_type, (ts, event_id)) AS status FROM ev GROUP BY 1""")),
     "l5_upload_suppression": (_l5, sql("SELECT DISTINCT user_id, k::VARCHAR AS content_hash FROM ev")),
+    "l5_lifetime_suppression": (_l5_lifetime, sql("""
+        SELECT user_id, k::VARCHAR AS content_hash, arg_min(event_id, (b, ts, event_id)) AS event_id
+        FROM (SELECT *, (epoch(ts)::BIGINT // 86400) % 3 AS b FROM ev) GROUP BY user_id, k""")),
     "l6_activity_counts": (_l6, sql("""
         SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, user_id, event_type, count(*) AS events FROM ev
         GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ev)""")),

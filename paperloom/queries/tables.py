@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import long
 from ..operators import library as L
 from ..operators import maintenance as M
-from ..sources import sinks, uploads
+from ..sources import sinks, uploads, versions
 from ..session import shared_folder
-from ..sources import sinks
 from ..sources import tables as T
 from .duck import sql
 
@@ -97,6 +96,21 @@ def _a7_table(spark, folder):
     return sinks.read_bucketed(spark, path).select("paper_id", long("chunk_index").alias("chunk_index"), "content")
 
 
+def _a7_versions(spark, folder):
+    """The same replacement by appended versions, failed papers deleted by another, then compacted and swept."""
+    c = T.read_text_chunks(spark, folder).select("paper_id", "chunk_index", "content")
+    papers = T.read_papers(spark, folder)
+    new = c.join(papers.filter("index_version = 0").select("paper_id"), "paper_id", "left_semi").groupBy("paper_id").agg(
+        F.min("chunk_index").alias("chunk_index"), F.concat(F.lit("rebuilt: "), F.min_by("content", "chunk_index")).alias("content"))
+    path = f"{shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    versions.append_version(c, path, buckets=8)
+    versions.append_version(new, path)
+    versions.append_version(c.limit(0), path, gone=papers.filter("processing_status = 'failed'").select("paper_id"))
+    versions.compact(spark, path, dead_share=0.1)
+    versions.vacuum(spark, path)
+    return versions.read_versions(spark, path).select("paper_id", long("chunk_index").alias("chunk_index"), "content")
+
+
 def _a8(spark, folder):
     c = T.read_concepts(spark, folder).withColumn("confidence", F.round("confidence", 2))
     keys = ["paper_id", "concept", "concept_type"]
@@ -184,6 +198,9 @@ QUERIES = {
     "a7_replace_in_table": (_a7_table, sql("""
         SELECT paper_id, chunk_index, CASE WHEN paper_id % 2 = 0 THEN 'rebuilt: ' || content ELSE content END AS content FROM text_chunks
         WHERE paper_id % 2 = 1 OR chunk_index = (SELECT min(t.chunk_index) FROM text_chunks t WHERE t.paper_id = text_chunks.paper_id)""")),
+    "a7_appended_versions": (_a7_versions, sql("""
+        SELECT paper_id, chunk_index, CASE WHEN paper_id % 2 = 0 THEN 'rebuilt: ' || content ELSE content END AS content FROM text_chunks
+        WHERE paper_id % 10 <> 0 AND (paper_id % 2 = 1 OR chunk_index = (SELECT min(t.chunk_index) FROM text_chunks t WHERE t.paper_id = text_chunks.paper_id))""")),
     "a8_insert_ignore": (_a8, sql(f"""
         WITH c AS (SELECT * REPLACE (round(confidence, 2) AS confidence) FROM concepts),
              s AS (SELECT * FROM (SELECT *, {_FIRST} FROM c WHERE line_no <= 2) WHERE rn = 1),

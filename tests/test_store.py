@@ -11,6 +11,7 @@ from paperloom.operators import bookkeeping as B
 from paperloom.operators import export as X
 from paperloom.operators import retrieval as R
 from paperloom.sources import sinks, uploads
+from paperloom.sources.versions import read_versions
 from paperloom.streaming.jobs import index_stream, stream_files
 
 
@@ -109,7 +110,7 @@ def test_index_stream_replaces(spark, tmp_path):
     put([(1, "Abstract\nsecond words")])
     run()
     run()
-    got = {(r.paper_id, r.section_type): r.content for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = {(r.paper_id, r.section_type): r.content for r in read_versions(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, "abstract"): "second words", (2, "other"): "Plain text only"}
 
 
@@ -119,7 +120,7 @@ def test_newest_version_wins_in_one_batch(spark, tmp_path):
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     index_stream(stream_files(spark, str(tmp_path / "in"), "*.parquet", schema), str(tmp_path / "out"), str(tmp_path / "ck"),
                  buckets=2, arrival="at").awaitTermination()
-    got = {(r.paper_id, r.content) for r in sinks.read_bucketed(spark, str(tmp_path / "out")).collect()}
+    got = {(r.paper_id, r.content) for r in read_versions(spark, str(tmp_path / "out")).collect()}
     assert got == {(1, "new words"), (2, "Only")}
 
 
