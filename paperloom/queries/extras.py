@@ -10,24 +10,30 @@ from ..operators import keyword as K
 from ..plans.answering import check_replies, prepare_comparisons, prepare_requests
 from ..sources import tables as T
 from ..streaming import jobs as J
-from .duck import sql
+from .duck import VIEWS, sql
 from .search import KEYWORD, _stems, hits, marked_chunks, questions, raw_hits
 from .streams import _stream
 
 
 def _keyword(spark, folder):
-    """For each question, one word of a benchmark passage as keyword query over the same passages."""
+    """The first two words of every benchmark passage as keyword query of each user over the same passages."""
     content = T.read_vector_content(spark, folder)
     chunks = T.read_vector_chunks(spark, folder).join(content, "chunk_id").select("chunk_id", "user_id", "content")
-    words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    items = T.scan(spark, folder, "benchmark").select("item_id", words.alias("ws"))
-    qs = questions(spark, folder).select("query_id", "user_id").join(items, F.col("item_id") == F.col("user_id")).select(
-        "query_id", "user_id", F.get("ws", (F.col("query_id") % 100).cast("int")).alias("text"))
-    return K.keyword_search(chunks, qs)
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 2)
+    items = T.scan(spark, folder, "benchmark").select("item_id", F.array_join(words, " ").alias("text"))
+    qs = _item_questions(spark, folder).select("query_id", "user_id", "item_id").join(items, "item_id")
+    return K.keyword_search(chunks, qs.drop("item_id"))
+
+
+def _item_questions(spark, folder):
+    """Every benchmark passage asked of every user, with the vector of one of the user's questions."""
+    items = T.scan(spark, folder, "benchmark").select("item_id", (F.col("item_id") % 10).alias("label"))
+    qs = questions(spark, folder).withColumn("label", F.col("query_id") % 100)
+    return qs.join(items, "label").withColumn("query_id", F.col("item_id") * 10 + F.col("user_id")).drop("label")
 
 
 def _m1(spark, folder):
-    f = U.fuse_rankings(raw_hits(spark, folder), _keyword(spark, folder))
+    f = U.fuse_rankings(raw_hits(spark, folder, _item_questions(spark, folder)), _keyword(spark, folder))
     return f.select("query_id", "chunk_id", long("rank").alias("rank"), long("vector_rank").alias("vector_rank"),
                     long("keyword_rank").alias("keyword_rank"), F.round("fused", 6).alias("fused"))
 
@@ -68,20 +74,18 @@ def _requests(spark, folder):
 
 
 def _compared(spark, folder):
-    """Every four papers are compared; some have no passage at all."""
+    """Every four papers are compared."""
     papers = T.read_papers(spark, folder).select("paper_id", "title")
-    return papers.select(F.floor(F.col("paper_id") / 4).alias("request_id"), "paper_id", "title").filter(
-        "paper_id % 4 < 2 + request_id % 2")
+    return papers.select(F.floor(F.col("paper_id") / 4).alias("request_id"), "paper_id", "title")
 
 
 def _comparison(spark, folder):
     asked = _compared(spark, folder)
     own = F.col("paper_id")
-    hits = T.read_text_chunks(spark, folder).filter("chunk_index < 2 AND paper_id % 7 <> 3").select(
+    hits = T.read_text_chunks(spark, folder).select(
         F.floor(own / 4).alias("query_id"), "chunk_id", "paper_id", F.lit("T").alias("paper_title"), "section_type",
         "chunk_index", "content", (-F.col("chunk_index")).cast("double").alias("score"))
-    hits = hits.join(asked.select("paper_id"), "paper_id", "left_semi")
-    contexts = prepare_comparisons(asked.withColumnRenamed("request_id", "query_id"), hits, 900)
+    contexts = prepare_comparisons(asked.withColumnRenamed("request_id", "query_id"), hits, 18_000)
     sizes = contexts.groupBy(F.col("query_id").alias("request_id"), "gate").agg(
         long(F.count("context")).alias("n_contexts"))
     replies = asked.select("request_id").distinct().withColumn("text", F.concat(
@@ -94,7 +98,7 @@ def _comparison(spark, folder):
 
 def _review(spark, folder):
     asked = _compared(spark, folder)
-    evidence = T.read_text_chunks(spark, folder).filter("chunk_index = 0").join(asked.drop("title"), "paper_id").select(
+    evidence = T.read_text_chunks(spark, folder).join(asked.drop("title"), "paper_id").select(
         "request_id", "chunk_id", "paper_id", F.concat(F.lit("T"), "paper_id").alias("paper_title"), "content")
     r = F.col("request_id")
     refs = F.when(r % 3 == 0, F.concat(F.lit('{"paper_id":"'), r * 4, F.lit('","title":"own"},{"paper_id":"999999999","title":"foreign"}'))
@@ -113,8 +117,12 @@ _M1 = {
                FROM embeddings JOIN documents ON doc_id = vec_id""",
     "asks": f"""
         SELECT query_id, user_id, terms, NULL AS want_project FROM (SELECT q.query_id, q.user_id,
-            list_distinct({_stems("coalesce(regexp_extract_all(b.text, '\\p{L}+')[q.query_id % 100 + 1], '')")}) AS terms
-        FROM questions q JOIN benchmark b ON b.item_id = q.user_id) WHERE len(terms) > 0""",
+            list_sort(list_distinct({_stems("array_to_string(regexp_extract_all(b.text, '\\p{L}+')[1:2], ' ')")})) AS terms
+        FROM questions q JOIN benchmark b ON b.item_id = q.query_id // 10) WHERE len(terms) > 0""",
+    "asked_of_all": VIEWS["questions"],
+    "questions": """
+        SELECT item_id * 10 + user_id AS query_id, user_id, task, sections, embedding
+        FROM asked_of_all q JOIN benchmark ON item_id % 10 = q.query_id % 100""",
 }
 
 QUERIES = {
@@ -137,14 +145,14 @@ QUERIES = {
     "m5_tier_mix": (_m5, sql("""
         SELECT CASE WHEN analysis_type = 'concepts' THEN 'fast' ELSE 'strong' END AS tier, provider, model_id, count(*) AS analyses FROM analyses GROUP BY ALL""")),
     "plan_comparison": (_comparison, sql("""
-        WITH asked AS (SELECT paper_id // 4 AS request_id, paper_id FROM papers WHERE paper_id % 4 < 2 + (paper_id // 4) % 2),
-             have AS (SELECT DISTINCT paper_id FROM text_chunks WHERE chunk_index < 2 AND paper_id % 7 <> 3),
+        WITH asked AS (SELECT paper_id // 4 AS request_id, paper_id FROM papers),
+             have AS (SELECT DISTINCT paper_id FROM text_chunks),
              g AS (SELECT request_id, count(*) AS n, count(h.paper_id) AS found, array_to_string(list(a.paper_id::VARCHAR ORDER BY a.paper_id::VARCHAR), ',') AS papers
                    FROM asked a LEFT JOIN have h ON h.paper_id = a.paper_id GROUP BY request_id)
         SELECT request_id, CASE WHEN found < n THEN 'EMPTY' ELSE 'OK' END AS gate, CASE WHEN found < n THEN 0 ELSE n END AS n_contexts, papers,
-               'v' || request_id || '|Not reported' || CASE WHEN n > 2 THEN '|Not reported' ELSE '' END AS cells FROM g""")),
+               'v' || request_id || repeat('|Not reported', n::INTEGER - 1) AS cells FROM g""")),
     "plan_review": (_review, sql("""
-        WITH gave AS (SELECT DISTINCT paper_id // 4 AS request_id, paper_id FROM text_chunks WHERE chunk_index = 0 AND paper_id % 4 < 2 + (paper_id // 4) % 2),
+        WITH gave AS (SELECT DISTINCT paper_id // 4 AS request_id, paper_id FROM text_chunks),
              own AS (SELECT request_id, bool_or(paper_id = request_id * 4) AS has_own, array_to_string(list(paper_id::VARCHAR || ':T' || paper_id ORDER BY paper_id::VARCHAR), ',') AS everyone FROM gave GROUP BY request_id)
         SELECT request_id, CASE WHEN request_id % 40 < 5 THEN 'low' WHEN request_id % 40 < 15 THEN 'medium' ELSE 'high' END AS confidence,
                CASE WHEN request_id % 3 = 0 AND has_own THEN (request_id * 4) || ':own' ELSE everyone END AS refs FROM own""")),
