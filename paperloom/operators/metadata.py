@@ -223,17 +223,32 @@ def is_person_name(query: Column) -> Column:
     )
 
 
-def first_page_metadata(docs: DataFrame, as_of: int, *, page_col: str = "first_page", id_col: str = "paper_id") -> DataFrame:
-    """C8-C11 over first-page text in one pass."""
+def first_page_metadata(docs: DataFrame, as_of: int, *, blocks: DataFrame | None = None, page_col: str = "first_page",
+                        id_col: str = "paper_id") -> DataFrame:
+    """C8-C11 over first-page text; with ``blocks`` (id, text, font_size, top) typography decides first.
+
+    The title is that of the largest plausible block, else the file's
+    ``embedded_title`` if ``docs`` has that column and it is plausible, else the
+    first plausible lines. Authors are looked for below the title's block, then
+    in the lines after the title. A page without blocks is read by its lines.
+    """
     page = F.col(page_col)
-    lines = docs.withColumn("_lines", page_lines(page)).withColumn("title", title_from_lines(F.col("_lines")))
-    return lines.select(
+    rows = docs.withColumn("_lines", page_lines(page))
+    embedded = F.col("embedded_title") if "embedded_title" in docs.columns else F.lit(None).cast("string")
+    by_blocks = F.lit(None).cast("array<string>")
+    largest = F.lit(None).cast("string")
+    if blocks is not None:
+        titles = title_from_blocks(blocks, id_col)
+        found = titles.join(authors_from_blocks(blocks, titles, id_col), id_col, "full").select(
+            id_col, F.col("title").alias("_block_title"), F.col("authors").alias("_block_authors"))
+        rows = rows.join(found, id_col, "left")
+        by_blocks, largest = F.col("_block_authors"), F.col("_block_title")
+    rows = rows.withColumn("_title", best_title(largest, embedded, F.col("_lines")))
+    return rows.select(
         id_col,
-        "title",
-        authors_from_lines(F.col("_lines"), F.col("title")).alias("authors"),
+        F.col("_title").alias("title"),
+        F.coalesce(by_blocks, authors_from_lines(F.col("_lines"), F.col("_title"))).alias("authors"),
         publication_year(page, as_of).alias("publication_year"),
         doi(page).alias("doi"),
         arxiv_id(page).alias("arxiv_id"),
     )
-
-

@@ -21,9 +21,10 @@ def index_documents(docs: DataFrame, *, size: int | None = None, overlap: int |
     return encode(chunks)
 
 
-def describe_documents(docs: DataFrame, as_of: int) -> DataFrame:
-    """Recovered metadata with the abstract, for ``docs`` (paper_id, text, first_page)."""
-    found = first_page_metadata(docs, as_of)
+def describe_documents(docs: DataFrame, as_of: int, blocks: DataFrame | None = None) -> DataFrame:
+    """Recovered metadata with the abstract, for ``docs`` (paper_id, text, first_page[, embedded_title]) and the font
+    blocks of their first pages."""
+    found = first_page_metadata(docs, as_of, blocks=blocks)
     return found.join(abstracts(detect_sections(docs)), "paper_id", "left")
 
 

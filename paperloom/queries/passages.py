@@ -9,6 +9,7 @@ from ..operators import chunking as K
 from ..operators import metadata as M
 from ..operators import quality as Q
 from ..operators import sections as S
+from ..plans.indexing import describe_documents
 from ..sources import tables as T
 from .cleaning import headed
 from .duck import sql
@@ -119,6 +120,26 @@ def _c11(spark, folder):
     return _lined(spark, folder).select("paper_id", F.array_join(M.authors_from_lines(F.col("lines"), F.col("title")), "|").alias("authors"))
 
 
+def _described(spark, folder):
+    """First pages with embedded titles; two thirds of them also as font blocks, a line each."""
+    paper = F.col("paper_id")
+    docs = first_pages(spark, folder).withColumn("embedded_title", T.pick(
+        ("An embedded title", "draft.dvi", None, "short", "Untitled work"), paper % 5)).join(
+        T.scan(spark, folder, "documents", ["doc_id", "text"]).withColumnRenamed("doc_id", "paper_id"), "paper_id")
+    lines = docs.filter(paper % 3 != 0).select("paper_id", F.posexplode(F.slice(M.page_lines(F.col("first_page")), 1, 14)).alias("i", "text"))
+    blocks = lines.select("paper_id", "text", (10 + (paper * 7 + (F.col("i") + 1) * 5) % 9).cast("double").alias("font_size"),
+                          (20.0 * (F.col("i") + 1)).alias("top"))
+    return describe_documents(docs, AS_OF, blocks)
+
+
+def _c10_blocks(spark, folder):
+    return _described(spark, folder).select("paper_id", "title")
+
+
+def _c11_blocks(spark, folder):
+    return _described(spark, folder).select("paper_id", F.array_join("authors", "|").alias("authors"))
+
+
 def _c12(spark, folder):
     papers = T.read_papers(spark, folder)
     tables = {"papers": papers, "jobs": T.read_jobs(spark, folder), "concepts": T.read_concepts(spark, folder),
@@ -183,6 +204,38 @@ LINES = {
                  AND len(list_filter(regexp_split_to_array(p, '\\s+'), lambda w: regexp_matches(w, '^\\p{Lu}'))) >= 2) AS names
         FROM bylines WHERE c <> '' AND len(c) <= 300""",
 }
+_NAMES = LINES["named"]
+BLOCKS = {
+    **LINES,
+    "line_titled": LINES["titled"],
+    "blk": """
+        SELECT paper_id, i, x, 20.0 * i AS top, 10 + (paper_id * 7 + i * 5) % 9 AS font
+        FROM (SELECT paper_id, unnest(lines[1 : 14]) AS x, unnest(range(1, least(len(lines), 14) + 1)) AS i FROM pl) WHERE paper_id % 3 <> 0""",
+    "bt": f"""
+        SELECT paper_id, x AS text, top FROM blk
+        WHERE len(x) BETWEEN 8 AND 250 AND NOT ({_PREFIX}) AND NOT ({_LEGAL})
+          AND NOT regexp_matches(x, '{M.EMAIL}') AND NOT regexp_matches(x, '{M.DOI}')
+        QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY font DESC, top) = 1""",
+    "titled": """
+        SELECT l.paper_id, l.lines, coalesce(regexp_replace(bt.text, '\\s+', ' ', 'g'),
+               CASE WHEN l.paper_id % 5 = 0 THEN 'An embedded title' END, l.title) AS title
+        FROM line_titled l LEFT JOIN bt ON bt.paper_id = l.paper_id""",
+    "below": """
+        SELECT b.paper_id, list(b.x ORDER BY b.top)[1 : 6] AS ls FROM blk b LEFT JOIN bt ON bt.paper_id = b.paper_id
+        WHERE bt.top IS NULL OR b.top > bt.top GROUP BY b.paper_id""",
+    "below_bylines": """
+        SELECT paper_id, rank_line, regexp_replace(regexp_replace(regexp_replace(x, '[0-9*†‡§¶#⋆★☆✦✳∗♦]', '', 'g'), '\\s+', ' ', 'g'), '^[ ,;]+|[ ,;]+$', '', 'g') AS c
+        FROM (SELECT paper_id, unnest(ls) AS x, unnest(range(len(ls))) AS rank_line,
+                     coalesce(nullif(list_position(list_transform(ls, lambda z: starts_with(lower(z), 'abstract')), true), 0), 99) AS n FROM below)
+        WHERE rank_line < n - 1""",
+    "below_named": _NAMES.replace("FROM bylines", "FROM below_bylines"),
+    "block_authors": """
+        SELECT paper_id, names[1 : 25] AS names FROM below_named WHERE len(names) >= 2 OR (len(names) = 1 AND contains(c, ','))
+        QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank_line) = 1""",
+    "line_authors": """
+        SELECT paper_id, names[1 : 25] AS names FROM named WHERE len(names) >= 2 OR (len(names) = 1 AND contains(c, ','))
+        QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank_line) = 1""",
+}
 _SUBJECT = "[" + ", ".join(f"'{w}'" for w in M.SUBJECT_WORDS) + "]"
 
 QUERIES = {
@@ -220,6 +273,10 @@ QUERIES = {
         SELECT t.paper_id, array_to_string(names, '|') AS authors FROM titled t LEFT JOIN
           (SELECT paper_id, names[1 : 25] AS names FROM named WHERE len(names) >= 2 OR (len(names) = 1 AND contains(c, ','))
            QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY rank_line) = 1) b ON b.paper_id = t.paper_id""", **LINES)),
+    "c10_block_title": (_c10_blocks, sql("SELECT paper_id, title FROM titled", **BLOCKS)),
+    "c11_block_authors": (_c11_blocks, sql("""
+        SELECT t.paper_id, array_to_string(coalesce(b.names, l.names), '|') AS authors
+        FROM titled t LEFT JOIN block_authors b ON b.paper_id = t.paper_id LEFT JOIN line_authors l ON l.paper_id = t.paper_id""", **BLOCKS)),
     "c12_constraint_audit": (_c12, sql("""
         SELECT 'papers_processing_status' AS rule, count(*) FILTER (WHERE processing_status NOT IN ('queued','processing','completed','failed','metadata_only')) AS violations FROM papers
         UNION ALL SELECT 'papers_reading_status', count(*) FILTER (WHERE reading_status NOT IN ('to_read','reading','read')) FROM papers
