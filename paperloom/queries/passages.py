@@ -11,7 +11,8 @@ from ..operators import quality as Q
 from ..operators import sections as S
 from ..plans.indexing import describe_documents
 from ..sources import tables as T
-from .cleaning import headed
+from .cleaning import SECTION_VIEWS, headed
+from .cutting import cut_views
 from .duck import sql
 
 AS_OF = 2026
@@ -246,7 +247,9 @@ QUERIES = {
                 FROM (SELECT doc_id, unnest(str_split(text, chr(10) || chr(10))) AS par, unnest(range(len(str_split(text, chr(10) || chr(10))))) AS p FROM documents)))
         WHERE trim(sentence) <> ''"""),
     "c2_token_count": (_c2, "SELECT doc_id, len(regexp_split_to_array(trim(text, chr(10) || ' '), '\\s+')) AS tokens FROM documents"),
-    "c3_chunks": (_c3, None),
+    "c3_chunks": (_c3, sql("SELECT paper_id, chunk_index, section_type, content, token_count FROM passages", **{
+        **SECTION_VIEWS, **cut_views(60, 12, 10),
+        "sect": "SELECT paper_id, order_index AS section_index, section_type, content FROM secs"})),
     "c4_word_split": (_c4, sql("""
         SELECT doc_id AS paper_id, c AS chunk_index, array_to_string(w[c * 20 + 1 : c * 20 + 20], ' ') AS content
         FROM (SELECT doc_id, w, unnest(range((len(w) + 19) // 20)) AS c
@@ -254,7 +257,9 @@ QUERIES = {
         WHERE len(w) > 20
         UNION ALL SELECT doc_id, 0, t FROM (SELECT doc_id, trim(regexp_replace(text, '[.!?]', '', 'g'), chr(10) || ' ') AS t FROM documents)
         WHERE len(regexp_split_to_array(t, '\\s+')) <= 20""")),
-    "c5_merge_small": (_c5, None),
+    "c5_merge_small": (_c5, sql("""
+        SELECT paper_id, count(*) AS n_chunks, max(token_count) AS most_tokens, sum(token_count)::BIGINT AS all_tokens FROM passages GROUP BY paper_id""",
+        **cut_views(256, 64, 50), sect="SELECT doc_id AS paper_id, 0 AS section_index, 'other' AS section_type, text AS content FROM documents")),
     "c6_chunk_numbers": (_c6, sql("""
         SELECT paper_id, chunk_id, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) - 1 AS chunk_index FROM text_chunks""")),
     "c7_chunk_plan": (_c7, """

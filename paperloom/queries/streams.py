@@ -12,6 +12,7 @@ from ..session import shared_folder
 from ..sources.versions import read_versions
 from ..streaming import lifetime as LT
 from .cleaning import SECTION_VIEWS
+from .cutting import cut_views
 from .duck import sql
 
 DAYS3 = 3 * 86_400
@@ -30,7 +31,7 @@ def _l1(spark, folder):
     ), lambda v: (v["arrived"] == 2) | (F.col("doc_id") % 3 == 0))).alias("v")
     docs = _stream(spark, folder, "documents").select(F.col("doc_id").alias("paper_id"), versions).select("paper_id", "v.*")
     base = f"{shared_folder(spark)}/index-{J.uuid.uuid4().hex}"
-    J.index_stream(docs, f"{base}/chunks", f"{base}/state", arrival="arrived", size=1_000_000, overlap=0).awaitTermination()
+    J.index_stream(docs, f"{base}/chunks", f"{base}/state", arrival="arrived").awaitTermination()
     return read_versions(spark, f"{base}/chunks").select(
         "paper_id", long("chunk_index").alias("chunk_index"), "section_type", "content", long("token_count").alias("token_count"), long(F.size("embedding")).alias("dim"))
 
@@ -100,9 +101,9 @@ _BUDGET = sql("SELECT event_id, user_id, event_type, number, number > 2 AS refus
 
 QUERIES = {
     "l1_incremental_index": (_l1, sql("""
-        SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY order_index) - 1 AS chunk_index, section_type, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS content,
-               len(regexp_split_to_array(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), '\\s+')) AS token_count, 384::BIGINT AS dim
-        FROM secs WHERE section_type <> 'references'""", **{**SECTION_VIEWS, "headed": "SELECT doc_id AS paper_id, text FROM documents"})),
+        SELECT paper_id, chunk_index, section_type, content, token_count, 384::BIGINT AS dim FROM passages""", **{
+        **SECTION_VIEWS, **cut_views(256, 64, 50), "headed": "SELECT doc_id AS paper_id, text FROM documents",
+        "sect": "SELECT paper_id, order_index AS section_index, section_type, content FROM secs"})),
     "l2_window_budget": (_l2, _BUDGET),
     "l2_window_budget_stream": (_l2s, _BUDGET),
     "l3_lookup_ttl": (_l3, sql("SELECT event_id, lookup, number > 1 AS hit FROM steps",
