@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import long
 from ..operators import fusion as U
 from ..operators import keyword as K
 from ..plans.answering import check_replies, prepare_comparisons, prepare_requests
+from ..session import shared_folder
 from ..sources import tables as T
+from ..sources.versions import read_versions
 from ..streaming import jobs as J
+from ..streaming import percolate as P
 from .duck import VIEWS, sql
 from .search import KEYWORD, _stems, hits, marked_chunks, questions, raw_hits
 from .streams import _stream
@@ -52,6 +57,21 @@ def _m3(spark, folder):
     return spark.read.parquet(J.run_available(alerts, "alerts")).select("query_id", "chunk_id", F.round("similarity", 4).alias("similarity"))
 
 
+def _m3_percolation(spark, folder):
+    """Questions and benchmark passages as saved queries, by vector and by their first two words, met by all passages as a stream."""
+    qs = _item_questions(spark, folder)
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 2)
+    items = T.scan(spark, folder, "benchmark").select("item_id", F.array_join(words, " ").alias("text"))
+    base = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    P.store_saved(qs.join(items, "item_id").select("query_id", "user_id", "embedding", "text"), base, cell_rows=64)
+    chunk = F.col("vec_id")
+    new = _stream(spark, folder, "embeddings").select(
+        chunk.alias("chunk_id"), (F.floor(chunk / 5) % 8).cast("bigint").alias("user_id"), "embedding").join(
+        T.read_vector_content(spark, folder), "chunk_id")
+    P.alert_stream(new, base, f"{base}/alerts", f"{base}/state", 0.45).awaitTermination()
+    return read_versions(spark, f"{base}/alerts", "chunk_id").withColumn("similarity", F.round("similarity", 4))
+
+
 def _m4(spark, folder):
     g = U.library_growth(T.read_library(spark, folder))
     return g.select("user_id", F.date_format("period", "yyyy-MM").alias("period"), "added", "total")
@@ -139,6 +159,13 @@ QUERIES = {
         SELECT query_id, chunk_id, round(list_cosine_similarity(c.embedding, q.embedding), 4) AS similarity
         FROM vec_chunks c JOIN questions q ON c.user_id = q.user_id
         WHERE list_cosine_similarity(c.embedding, q.embedding) >= 0.45""")),
+    "m3_percolation": (_m3_percolation, sql("""
+        WITH near AS (SELECT query_id, chunk_id, round(list_cosine_similarity(c.embedding, q.embedding), 4) AS similarity
+                      FROM vec_chunks c JOIN documents d ON d.doc_id = c.chunk_id JOIN questions q ON c.user_id = q.user_id
+                      WHERE list_cosine_similarity(c.embedding, q.embedding) >= 0.45),
+             worded AS (SELECT query_id, doc_id AS chunk_id FROM asks a JOIN toks d ON a.user_id = d.user_id AND list_has_all(d.all_terms, a.terms))
+        SELECT coalesce(n.query_id, w.query_id) AS query_id, coalesce(n.chunk_id, w.chunk_id) AS chunk_id, similarity, w.query_id IS NOT NULL AS by_words
+        FROM near n FULL JOIN worded w ON w.query_id = n.query_id AND w.chunk_id = n.chunk_id""", **_M1)),
     "m4_library_growth": (_m4, sql("""
         SELECT user_id, period, added, (sum(added) OVER (PARTITION BY user_id ORDER BY period))::BIGINT AS total
         FROM (SELECT user_id, strftime(created_at, '%Y-%m') AS period, count(*) AS added FROM library GROUP BY ALL)""")),
