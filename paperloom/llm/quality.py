@@ -155,8 +155,11 @@ class Types:
 
     def wanted(self) -> np.ndarray:
         """Sorted keys of the grams that end at a character, and of their contexts."""
-        return np.unique(np.concatenate([gram_keys(self.windows, k) for k in range(1, ORDER + 1)]
-                                        + [gram_keys(self.windows, k, 1) for k in range(1, ORDER)]))
+        # Shorter grams are few once each is counted once, so they are sorted by themselves.
+        parts = [self.keys]
+        for k in range(1, ORDER):
+            parts += [np.unique(gram_keys(self.windows, k)), np.unique(gram_keys(self.windows, k, 1))]
+        return np.unique(np.concatenate(parts))
 
     def settle(self) -> None:
         keys = np.concatenate([self.keys, *[k for k, _ in self.held]])
@@ -323,8 +326,9 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
 
     def judge(texts: pa.Table, answers: pa.Table) -> pa.Table:
         runs = sorted(answers.to_pylist(), key=lambda r: r["shard"])
-        alpha = np.concatenate([np.zeros(0)] + [np.frombuffer(r["alpha"], "<f4") for r in runs])
-        gamma = np.concatenate([np.zeros(0)] + [np.frombuffer(r["gamma"], "<f4") for r in runs])
+        alpha = np.concatenate([np.zeros(0, "<f4")] + [np.frombuffer(r["alpha"], "<f4") for r in runs])
+        gamma = np.concatenate([np.zeros(0, "<f4")] + [np.frombuffer(r["gamma"], "<f4") for r in runs])
+        del runs
         types, parts = Types(), []
         for ids, langs, marks, chars, lengths in unpack(texts):
             found = []
@@ -339,7 +343,7 @@ def score(packed: DataFrame, model: DataFrame, unseen: float, shards: int, kind:
         for k in range(1, ORDER + 1):
             if k > 1:
                 p *= gamma[np.searchsorted(known, gram_keys(types.windows, k - 1, 1))]
-            p += alpha[np.searchsorted(known, gram_keys(types.windows, k))]
+            p += alpha[np.searchsorted(known, types.keys if k == ORDER else gram_keys(types.windows, k))]
         surprise = -np.log(p)
         out = {"doc_id": [], "lang": [], "text_key": [], "n_chars": [], "nats": [], "peak": [], "fresh": []}
         for ids, langs, marks, lengths, found in parts:
