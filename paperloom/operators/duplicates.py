@@ -50,7 +50,7 @@ def _prefixes(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame
     """The rarest trigrams of each set that any match must share at least one of."""
     size = F.size("grams")
     need = size - F.ceil(size * threshold - 1e-9) + 1
-    rows = sets.select("user_id", "set_id", size.alias("n"), need.alias("need"), F.explode("grams").alias("gram"))
+    rows = sets.select("user_id", "set_id", "is_lib", "is_ask", size.alias("n"), need.alias("need"), F.explode("grams").alias("gram"))
     rows = rows.join(counts, ["user_id", "gram"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
     order = Window.partitionBy("user_id", "set_id").orderBy("held", "gram")
     return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.col("need"))
@@ -77,11 +77,16 @@ def similar_titles(
         F.count(F.lit(1)).alias("held")
     )
     parts = F.ceil(F.col("held") / posting_rows).cast("int")
-    right = _prefixes(lib, counts, threshold).select(
+    # A set is ranked once, whether it is asked for, stored or, as is usual, both.
+    both = lib.select("user_id", "set_id", "grams", F.lit(True).alias("is_lib")).join(
+        ask.select("user_id", "set_id", F.col("grams").alias("asked"), F.lit(True).alias("is_ask")), ["user_id", "set_id"], "full"
+    ).withColumn("grams", F.coalesce("grams", "asked")).drop("asked")
+    ranked = materialise(_prefixes(both, counts, threshold), "title-prefixes")
+    right = ranked.filter("is_lib").select(
         "user_id", "gram", F.col("set_id").alias("lib_set"), F.col("n").alias("lib_n"), F.col("rn").alias("lib_at"),
         F.pmod(F.xxhash64("set_id"), parts).cast("int").alias("part"),
     )
-    left = _prefixes(ask, counts, threshold).filter("held > 0").select(
+    left = ranked.filter("is_ask AND held > 0").select(
         "user_id", "gram", "set_id", "n", F.col("rn").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
     )
     # At the first trigram two sets share, all that follows in both is the most they can still share.

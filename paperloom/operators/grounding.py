@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import alnum_key, collapse, has_text, strip
+from .evidence import is_suspicious
 
 # What is shown when every claim rested on quarantined text.
 QUARANTINE_ANSWER = (
@@ -93,14 +94,21 @@ def supported_evidence(rows: DataFrame, citable: DataFrame) -> DataFrame:
     """G6 and G7 core: evidence entries whose passage is citable and holds the quote.
 
     ``rows``: request_id, keys..., ev (chunk_id, quote, ...). The passage decides
-    which paper it came from, whatever the reply said.
+    which paper it came from, whatever the reply said. Evidence that was not
+    screened before is screened here, and only where a reply quotes it rightly.
     """
+    raw = "suspicious" not in citable.columns
+    title = F.when(F.coalesce(F.col("paper_title"), F.lit("")) == "", "Untitled paper").otherwise(F.col("paper_title"))
     known = citable.select(
         "request_id", F.col("chunk_id").cast("string").alias("_cited"), F.col("paper_id").cast("string").alias("owner_paper"),
-        F.col("paper_title").alias("owner_title"), F.col("content").alias("_source"),
+        (title if raw else F.col("paper_title")).alias("owner_title"),
+        F.coalesce("content", F.lit("")).alias("_source"),
     )
     joined = rows.withColumn("_cited", F.col("ev.chunk_id")).join(known, ["request_id", "_cited"])
-    return joined.filter(quote_supported(F.col("ev.quote"), F.col("_source"))).drop("_cited", "_source")
+    quoted = quote_supported(F.col("ev.quote"), F.col("_source"))
+    # One condition on both sides: the patterns run behind the join, on quoted passages alone.
+    fits = F.when(quoted, ~is_suspicious(F.col("_source"))).otherwise(False) if raw else quoted
+    return joined.filter(fits).drop("_cited", "_source")
 
 
 def ground_gaps(parsed: DataFrame, citable: DataFrame) -> DataFrame:

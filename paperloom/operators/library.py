@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_null, has_text, strip
 from ..functions.defaults import READING_STATES
+from ..session import materialise
 
 PAGE_LIMIT = 100
+#: A page that ends within so many rows is found by sorting that many in one task.
+SHALLOW_ROWS = 10_000
 
 
 def _order(sort: str | None) -> Column:
@@ -34,12 +37,37 @@ def filter_papers(papers: DataFrame, user_id, *, project_id=None, status=None, y
     return out
 
 
+def page_of(rows: DataFrame, order: list[Column], page: int, size: int, *, shallow: int = SHALLOW_ROWS) -> DataFrame:
+    """Rows ``page * size`` to ``page * size + size`` of ``rows`` in ``order``.
+
+    Up to ``shallow`` rows deep each task hands on its first rows and one sorts
+    them. A deeper page would send all rows before it through that task; there
+    the rows are cut into ranges of the order and counted, and only the ranges
+    that hold the page are read again and sorted. ``order`` has no ties.
+    """
+    begin, end = page * size, page * size + size
+    if end <= shallow:
+        return rows.orderBy(*order).offset(begin).limit(size)
+    ranges = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = materialise(rows.repartitionByRange(ranges, *order).withColumn("range_", F.spark_partition_id()), "ranges")
+    # One row a range.
+    counts = sorted(tuple(r) for r in ranged.groupBy("range_").agg(F.count(F.lit(1))).collect())
+    wanted, before, seen = [], 0, 0
+    for number, held in counts:
+        if seen + held <= begin:
+            before = seen + held
+        elif seen < end:
+            wanted.append(number)
+        seen += held
+    return ranged.filter(F.col("range_").isin(wanted)).drop("range_").orderBy(*order).offset(begin - before).limit(size)
+
+
 def list_papers(papers: DataFrame, user_id, *, sort: str | None = None, page: int = 0, size: int = 20, **filters) -> DataFrame:
     """One page of a library with the totals of the whole selection."""
     size = min(size, PAGE_LIMIT)
     selected = filter_papers(papers, user_id, **filters)
     total = selected.agg(F.count(F.lit(1)).alias("total_items"))
-    rows = selected.orderBy(_order(sort), "paper_id").offset(page * size).limit(size)
+    rows = page_of(selected, [_order(sort), F.asc("paper_id")], page, size)
     # ``total`` is one row by construction.
     return rows.crossJoin(F.broadcast(total)).withColumn("total_pages", F.ceil(F.col("total_items") / size))
 
@@ -60,7 +88,7 @@ def analysis_history(analyses: DataFrame, user_id, *, analysis_type=None, projec
     for column, value in (("analysis_type", analysis_type or None), ("project_id", project_id), ("paper_id", paper_id)):
         if value is not None:
             out = out.filter(F.col(column) == value)
-    return out.orderBy(F.desc_nulls_first("created_at"), "analysis_id").offset(page * size).limit(size)
+    return page_of(out, [F.desc_nulls_first("created_at"), F.asc("analysis_id")], page, size)
 
 
 def distinct_tags(papers: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.defaults import CONTEXT_CHARS, RELEVANCE_FLOOR
 from ..operators.bookkeeping import cache_key, plan_cache
-from ..operators.evidence import citable, equal_shares, pack, screen
+from ..operators.evidence import equal_shares, pack, screen
 from ..operators.grounding import ground_answers, ground_comparison, ground_gaps, ground_novelty, ground_reviews
 from ..operators.replies import parse_replies
 from ..operators.retrieval import (
@@ -67,15 +67,15 @@ def check_replies(replies: DataFrame, evidence: DataFrame, task: str, strength:
     paper_id, title of the papers to compare.
     """
     parsed = parse_replies(replies, task)
-    flagged = screen(evidence)
     if task == "qa":
-        return ground_answers(parsed, flagged)
+        return ground_answers(parsed, screen(evidence))
+    # These screen what a reply quotes and nothing else.
     if task == "research_gap":
-        return ground_gaps(parsed, citable(flagged))
+        return ground_gaps(parsed, evidence)
     if task == "novelty":
-        return ground_novelty(parsed, citable(flagged), strength)
+        return ground_novelty(parsed, evidence, strength)
     if task == "comparison":
         return ground_comparison(parsed, asked)
     if task == "literature_review":
-        return ground_reviews(parsed, flagged)
+        return ground_reviews(parsed, screen(evidence))
     return parsed.filter("valid")

@@ -67,8 +67,12 @@ def _f6(spark, folder):
     return injected(spark, folder).select("chunk_id", E.is_suspicious(F.col("content")).alias("suspicious"))
 
 
+def unscreened(spark, folder):
+    return injected(spark, folder).withColumn("request_id", F.col("paper_id"))
+
+
 def screened(spark, folder):
-    return E.screen(injected(spark, folder).withColumn("request_id", F.col("paper_id")))
+    return E.screen(unscreened(spark, folder))
 
 
 def _f7(spark, folder):

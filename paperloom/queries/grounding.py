@@ -10,7 +10,8 @@ from ..operators import grounding as G
 from ..operators import replies as R
 from ..sources import tables as T
 from .duck import sql
-from .evidence import INJECTED, screened
+from .evidence import INJECTED, screened, unscreened
+
 
 def _d():
     return F.col("paper_id")
@@ -117,7 +118,7 @@ def gap_replies(spark, folder):
 
 
 def _gaps(spark, folder):
-    return G.ground_gaps(R.parse_replies(gap_replies(spark, folder), "research_gap"), E.citable(screened(spark, folder)))
+    return G.ground_gaps(R.parse_replies(gap_replies(spark, folder), "research_gap"), unscreened(spark, folder))
 
 
 def _g6(spark, folder):
@@ -135,7 +136,7 @@ def _g7(spark, folder):
         F.lit("high").alias("confidence"), F.when(_d() % 2 == 0, F.concat(F.lit(" seen "), d, F.lit(" "))).otherwise("").alias("limitations")))
     rep = _first(spark, folder).select(_d().alias("request_id"), (_d() % 30).alias("corpus_size"), (_d() % 3).alias("n_external"), body.alias("text"))
     strength = rep.select("request_id", F.when(_r() % 4 != 0, (_r() % 10) / 10.0).alias("best_similarity"))
-    out = G.ground_novelty(R.parse_replies(rep, "novelty"), E.citable(screened(spark, folder)), strength)
+    out = G.ground_novelty(R.parse_replies(rep, "novelty"), unscreened(spark, folder), strength)
     return out.select("request_id", long(F.coalesce(F.size("evidence"), F.lit(0))).alias("n_evidence"), F.get("evidence", F.lit(0))["paper_id"].alias("paper_id"), "confidence", "limitations")
 
 
