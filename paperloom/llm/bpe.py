@@ -309,13 +309,15 @@ def _share(df: DataFrame, path: str):
     return path + uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(read_tokens(path))
 
 
-def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids[, offsets]), one row per row of ``docs``.
+def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", offsets: bool = False,
+           decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids[, offsets][, decoded]), one row per row of ``docs``.
 
     ``path`` names a rank file on the driver; its tokens are broadcast after a
     check of their size. ``ids`` holds the ids as little-endian unsigned 32-bit
     integers, ``offsets`` the byte of the text where each token begins, so that
-    any range of tokens can be traced to its text. Each match of the pattern is
+    any range of tokens can be traced to its text; ``decoded`` holds the bytes that
+    the ids stand for, as ``decode`` would give them from a task of its own. Each match of the pattern is
     encoded on its own, without special tokens, as tiktoken does.
 
     Rows are encoded where they lie; texts are worked on in runs of about 1 MB,
@@ -340,11 +342,15 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                     columns.append(pa.array([(begin[e - k : e] - a).astype("<u4").tobytes()
                                              for e, k, a in zip(ends, counts, at)], pa.binary()))
                     names.append("offsets")
+                if decoded:
+                    columns.append(pa.array([vocabulary.decode(ids[e - k : e].astype(np.int64)).tobytes()
+                                             for e, k in zip(ends, counts)], pa.binary()))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = f"doc_id {dict(picked.dtypes)['doc_id']}, n_tokens long, ids binary"
-    return picked.mapInArrow(work, schema + (", offsets binary" if offsets else ""))
+    return picked.mapInArrow(work, schema + (", offsets binary" if offsets else "") + (", decoded binary" if decoded else ""))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

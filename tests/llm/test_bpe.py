@@ -67,3 +67,8 @@ def test_round_trip_over_the_table(docs, empty, texts, known):
         expected.setdefault(i, set()).add(t or "")
     assert back == expected and coded.count() == len(texts)
     assert decode(encode(empty, PATH), PATH).collect() == []
+
+
+def test_decoded_beside_the_ids(docs, texts):
+    rows = encode(docs, PATH, offsets=True, decoded=True).collect()
+    assert sorted(bytes(r.decoded) for r in rows) == sorted((t or "").encode() for _, t in texts)
