@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 
-from paperloom.llm.bpe import decode, encode  # noqa: E402
+from paperloom.llm.bpe import encode  # noqa: E402
 from paperloom.llm.contamination import drop_contaminated  # noqa: E402
 from paperloom.llm.exact import drop_exact_copies  # noqa: E402
 from paperloom.llm.jaccard import drop_near_copies  # noqa: E402
@@ -47,8 +47,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens and decode to nothing; repeated rows are encoded alike.
     """
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return decode(encode(docs, path), path)
+    return encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), decoded=True)
 
 
 STAGES = [
