@@ -134,3 +134,41 @@ def snippet(content: Column, wanted: Column, width: int = 40, lead: int = 5) ->
         return F.array_join(F.slice(split, start.cast("int"), F.lit(width)), " ")
 
     return let(words(content), lambda split: let(wanted, lambda asked: cut(split, asked)))
+
+
+def covering_fragment(content: Column, wanted: Column, width: int = 40, least: int = 15) -> Column:
+    """The words around the closest meeting of the most terms.
+
+    Of all stretches of up to ``width`` words, the one that holds most different
+    terms of ``wanted``; of these the shortest, then the first. A stretch of under
+    ``least`` words is extended by as many words on both sides, or by more on one
+    where the text ends. Each word that is a term opens one stretch, and only the
+    ``width`` places after it are looked at, so a long text costs what it holds.
+    """
+
+    def cut(split: Column, asked: Column) -> Column:
+        stems = F.transform(split, lambda w: stem(F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]", "")))
+        spots = F.filter(F.transform(stems, lambda t, i: F.struct((i + 1).alias("at"), t.alias("term"))),
+                         lambda s: F.array_contains(asked, s["term"]))
+        return let(spots, lambda ss: let(best(ss), lambda b: shown(split, b)))
+
+    def best(spots: Column) -> Column:
+        def stretch(first: Column, n: Column) -> Column:
+            near = F.filter(F.slice(spots, n + 1, F.lit(width)), lambda s: s["at"] < first["at"] + width)
+            return let(near, lambda ns: let(F.transform(ns, lambda s: s["term"]), lambda ts: F.struct(
+                (-F.size(F.array_distinct(ts))).alias("held"),
+                # Where the last of the different terms is met for the first time.
+                (F.array_max(F.transform(F.array_distinct(ts), lambda t: F.get(ns, (F.array_position(ts, t) - 1).cast("int"))["at"]))
+                 - first["at"] + 1).alias("n"),
+                first["at"].alias("at"))))
+
+        return F.coalesce(F.array_min(F.transform(spots, stretch)), F.struct(
+            F.lit(0).alias("held"), F.lit(0).alias("n"), F.lit(1).alias("at")))
+
+    def shown(split: Column, core: Column) -> Column:
+        total = F.greatest(core["n"], F.lit(least))
+        lead = F.floor((total - core["n"]) / 2).cast("int")
+        begin = F.greatest(F.lit(1), F.least(core["at"] - lead, F.size(split) - total + 1))
+        return F.array_join(F.slice(split, begin, total), " ")
+
+    return let(words(content), lambda split: let(wanted, lambda asked: cut(split, asked)))

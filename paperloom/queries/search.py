@@ -206,6 +206,11 @@ def _e9(spark, folder):
     return keyword_hits(spark, folder).select("query_id", "chunk_id", K.snippet(F.col("content"), F.col("terms")).alias("snippet"))
 
 
+def _e9_fragment(spark, folder):
+    return keyword_hits(spark, folder).select(
+        "query_id", "chunk_id", K.covering_fragment(F.col("content"), F.col("terms")).alias("fragment"))
+
+
 def _page(df, *cols):
     return df.select("paper_id", "title", long("publication_year").alias("publication_year"), "total_items", "total_pages")
 
@@ -333,6 +338,21 @@ QUERIES = {
         FROM (SELECT *, greatest(1, least(list_position(list_transform(w, lambda x:
                      list_contains(terms, """ + _stem("regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')") + """)), true) - 5, len(w) - 39)) AS s
               FROM (SELECT *, regexp_split_to_array(trim(text, chr(10) || ' '), '\\s+') AS w FROM kw))""", **KEYWORD)),
+    "e9_covering_fragment": (_e9_fragment, sql("""
+        WITH spots AS (
+            SELECT query_id, chunk_id, i, t FROM (
+              SELECT query_id, chunk_id, terms, unnest(range(1, len(w) + 1)) AS i, unnest(list_transform(w, lambda x: """
+        + _stem("regexp_replace(lower(x), '[^\\p{L}\\p{N}]', '', 'g')") + """)) AS t FROM hit_words) WHERE list_contains(terms, t)),
+        met AS (SELECT a.query_id, a.chunk_id, a.i AS start, b.t, min(b.i) AS i
+                FROM (SELECT DISTINCT query_id, chunk_id, i FROM spots) a
+                JOIN spots b ON a.query_id = b.query_id AND a.chunk_id = b.chunk_id AND b.i BETWEEN a.i AND a.i + 39 GROUP BY ALL),
+        core AS (SELECT query_id, chunk_id, start, max(i) - start + 1 AS n, count(*) AS held FROM met GROUP BY query_id, chunk_id, start
+                 QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY held DESC, n, start) = 1)
+        SELECT h.query_id, h.chunk_id, array_to_string(w[b : b + total - 1], ' ') AS fragment
+        FROM (SELECT h.query_id, h.chunk_id, w, greatest(n, 15) AS total,
+                     greatest(1, least(start - (greatest(n, 15) - n) // 2, len(w) - greatest(n, 15) + 1)) AS b
+              FROM hit_words h JOIN core c ON c.query_id = h.query_id AND c.chunk_id = h.chunk_id) h""", **KEYWORD,
+        hit_words="SELECT *, regexp_split_to_array(trim(text, chr(10) || ' '), '\\s+') AS w FROM kw")),
     "e10_retrieval_text": (_e10, sql("""
         SELECT paper_id, CASE WHEN t = '' THEN 'summary of this paper' ELSE left(t, 1500) END AS query_text
         FROM (SELECT paper_id, trim(CASE WHEN paper_id % 6 <> 0 THEN title ELSE '' END || ' ' ||
