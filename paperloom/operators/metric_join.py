@@ -113,6 +113,10 @@ def deal(candidates: DataFrame, probes: DataFrame, least: float, *, cell_rows: i
     """
     widest = float(np.arccos(np.clip(least, -1.0, 1.0)))
     start = F.col("user_id").cast("string").alias("cell")
+    owners = candidates.groupBy("user_id").agg(F.count(F.lit(1)).alias("held"))
+    if not owners.filter(F.col("held") > cell_rows).take(1):
+        # Both sides may come from one table: new names keep their columns apart.
+        return candidates.select("*", start), probes.select(*[F.col(c).alias(c) for c in probes.columns], start)
     here = materialise(candidates.select("*", start), "metric-cells")
     asked = materialise(probes.select("*", start), "metric-probes")
     done_cells, done_probes, level = [], [], 0
