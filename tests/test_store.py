@@ -88,6 +88,14 @@ def test_citation_suffixes(spark):
     assert esc.a == "T0 \\{x\\} \\\\" and esc.b == "T0 \\\\{x\\\\} \\\\"
 
 
+def test_citation_suffixes_of_many_papers(spark):
+    papers = spark.range(300).selectExpr("id AS paper_id", "array('Ada L.') AS authors", "2020 AS publication_year", "'T' AS title",
+                                         "cast(NULL AS string) AS venue", "cast(NULL AS string) AS doi")
+    cited = spark.range(300).selectExpr("1 AS analysis_id", "id AS paper_id", "id AS position")
+    keys = [r.citation_key for r in X.bibliography(cited, papers).orderBy("position").collect()]
+    assert keys == ["adal2020"] + ["adal2020" + chr(96 + n) for n in range(1, 300)]
+
+
 def test_replace_in_table(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = lambda ids, tag: spark.createDataFrame([(i, n, f"{tag}{i}") for i in ids for n in range(2)], "paper_id int, chunk_index int, content string")

@@ -37,3 +37,11 @@ def tables(folder, **changed: str):
 def test_streams_read_tables_of_several_parts(spark, tmp_path, name):
     folder, con = tables(tmp_path, documents="FROM '{}'", embeddings="FROM '{}'", events="FROM '{}'")
     assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
+
+
+def test_bibliography_with_many_equal_keys(spark, tmp_path):
+    """One project holds 120,000 papers, so that some keys repeat more than 160 times."""
+    folder, con = tables(tmp_path, documents="SELECT i AS doc_id, 'T' || i AS text, 'en' AS lang, 'src0' AS source, 2::BIGINT AS n_chars FROM range(120000) t(i) WHERE '{}' <> ''",
+                         events="SELECT * FROM '{}' WHERE event_id < 60")
+    for name in ("j1_bibtex", "j2_citation_keys"):
+        assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
