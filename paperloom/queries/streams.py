@@ -71,9 +71,11 @@ def _l5_lifetime(spark, folder):
     """The uploads as three batches a year apart: what came in an earlier batch is suppressed all the same."""
     ups = T.read_events(spark, folder).select("event_id", "user_id", F.col("k").cast("string").alias("content_hash"), "ts")
     table = f"{shared_folder(spark)}/lifetime-{J.uuid.uuid4().hex}"
+    # To the nearest second as the SQL has it; a calendar year on, the 29th of February would fall on the 28th.
+    day = F.floor(F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000) / 86_400)
     for number in range(3):
-        batch = ups.filter(F.pmod(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400), F.lit(3)) == number)
-        LT.store_first_uploads(batch.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {number} YEAR")), table, number, order=("ts", "event_id"))
+        batch = ups.filter(F.pmod(day, F.lit(3)) == number)
+        LT.store_first_uploads(batch.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {365 * number} DAY")), table, number, order=("ts", "event_id"))
     return read_versions(spark, table, "upload_key").select("user_id", "content_hash", "event_id")
 
 

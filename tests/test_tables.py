@@ -45,3 +45,12 @@ def test_bibliography_with_many_equal_keys(spark, tmp_path):
                          events="SELECT * FROM '{}' WHERE event_id < 60")
     for name in ("j1_bibtex", "j2_citation_keys"):
         assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
+
+
+def test_lifetime_at_the_ends_of_days(spark, tmp_path):
+    """Uploads in the last half second of a day, and around a leap day, which a calendar year would shift."""
+    folder, con = tables(tmp_path, events="""
+        SELECT * REPLACE (CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-01 23:59:59.7' + INTERVAL (event_id % 9) DAY
+                               ELSE TIMESTAMP '2024-02-27 12:00:00' + INTERVAL (event_id * 7 % 96) HOUR END AS ts, event_id % 5 AS user_id) FROM '{}'""")
+    name = "l5_lifetime_suppression"
+    assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
