@@ -198,7 +198,7 @@ def ground_comparison(parsed: DataFrame, asked: DataFrame) -> DataFrame:
 
     ``parsed``: request_id, valid, result (comparison). ``asked``: request_id,
     paper_id, title. A reply that names no papers gets the ones asked for; rows of
-    values are padded to their number.
+    values are padded to their number, and a value beyond it belongs to no paper.
     """
     wanted = asked.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct(
         F.col("paper_id").cast("string").alias("paper_id"), F.coalesce("title", F.lit("Untitled paper")).alias("title")
@@ -208,7 +208,7 @@ def ground_comparison(parsed: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.select(
         "request_id", named.alias("papers"),
         F.transform("result.dimensions", lambda d: F.struct(
-            d["name"].alias("name"), pad_values(d["values"], F.size("wanted")).alias("values"))).alias("dimensions"),
+            d["name"].alias("name"), F.slice(pad_values(d["values"], F.size("wanted")), F.lit(1), F.size("wanted")).alias("values"))).alias("dimensions"),
         F.col("result.confidence").alias("confidence"), F.col("result.limitations").alias("limitations"),
     )
 

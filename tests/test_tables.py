@@ -54,3 +54,10 @@ def test_lifetime_at_the_ends_of_days(spark, tmp_path):
                                ELSE TIMESTAMP '2024-02-27 12:00:00' + INTERVAL (event_id * 7 % 96) HOUR END AS ts, event_id % 5 AS user_id) FROM '{}'""")
     name = "l5_lifetime_suppression"
     assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
+
+
+def test_comparison_of_a_single_paper(spark, tmp_path):
+    """The last request has one paper, its reply two values."""
+    folder, con = tables(tmp_path, documents="SELECT * FROM '{}' WHERE doc_id < 197")
+    name = "plan_comparison"
+    assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
