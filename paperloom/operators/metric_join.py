@@ -28,8 +28,11 @@ CELL_ROWS = 20_000
 FAN = 32
 #: Angles this close to a limit are compared, whatever a bound says.
 SLACK = 1e-6
-#: Rows of a score matrix that exist at a time.
-SLICE_ROWS = 2_000
+#: Rows of either side that a task compares at once, and scores that exist at a time.
+BLOCK_ROWS = 8_192
+SLICE_SCORES = 2_000_000
+#: A cell is split if the pairs that are left to compare are at most this share of its pairs.
+GAIN = 0.25
 
 
 def _angles(cosines: np.ndarray) -> np.ndarray:
@@ -71,7 +74,7 @@ def _nearest_pivot(rows: DataFrame) -> DataFrame:
 
 
 def _reachable(rows: DataFrame, widest: float) -> DataFrame:
-    """``rows`` (cell, embedding, pivots, spans, ...) with the cells that a partner within ``widest`` may lie in.
+    """``rows`` (cell, embedding, pivots, spans, ...) with the ``children`` that a partner within ``widest`` may lie in.
 
     For a pivot p whose candidates lie between two angles from it, a partner y of
     x has its angle to p within ``widest`` of x's. As y is nearer to p than to any
@@ -104,12 +107,24 @@ def _reachable(rows: DataFrame, widest: float) -> DataFrame:
     return kept.mapInArrow(work, ", ".join([*[f"{n} {t}" for n, t in kept.select(*names).dtypes], "children array<int>"]))
 
 
+def _idle(reach: DataFrame, placed: DataFrame, gain: float) -> DataFrame:
+    """(cell) of those whose split would leave more than ``gain`` of their pairs to compare."""
+    visits = reach.select("cell", F.explode("children").alias("child")).groupBy("cell", "child").agg(F.count(F.lit(1)).alias("visits"))
+    rows = placed.groupBy("cell", "child").agg(F.count(F.lit(1)).alias("n"), F.max("held").alias("held"))
+    left = rows.join(visits, ["cell", "child"]).groupBy("cell").agg(
+        F.sum(F.col("n").cast("double") * F.col("visits")).alias("left"), F.max("held").alias("held"))
+    asked = reach.groupBy("cell").agg(F.count(F.lit(1)).alias("asked"))
+    return left.join(asked, "cell").filter(F.col("left") > gain * F.col("held") * F.col("asked")).select("cell")
+
+
 def deal(candidates: DataFrame, probes: DataFrame, least: float, *, cell_rows: int = CELL_ROWS,
-         fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+         fan: int = FAN, gain: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Both sides with a ``cell``: each candidate in one, each probe in all that may hold a partner.
 
-    No cell keeps more than ``cell_rows`` candidates. Pivots are the candidates
-    of a cell with the smallest hash of their row, so that every level draws others.
+    No cell keeps more than ``cell_rows`` candidates, unless ``gain`` is given:
+    then a cell stays whole where a split would send its probes to most parts of
+    it and so copy them for little. Pivots are the candidates of a cell with the
+    smallest hash of their row, so that every level draws others.
     """
     widest = float(np.arccos(np.clip(least, -1.0, 1.0)))
     start = F.col("user_id").cast("string").alias("cell")
@@ -139,6 +154,12 @@ def deal(candidates: DataFrame, probes: DataFrame, least: float, *, cell_rows: i
         spans = materialise(spans.groupBy("cell").agg(
             F.collect_list(F.struct("child", "near", "far")).alias("spans"), F.max(F.col("n") == F.col("held")).alias("whole"),
             F.ceil(F.max("held") / cell_rows).cast("int").alias("parts")), "metric-spans")
+        reach = materialise(_reachable(asked.join(spans.filter("NOT whole"), "cell").join(pivots, "cell").drop("whole", "parts"), widest), "metric-reach")
+        if gain is not None:
+            stay = materialise(_idle(reach, placed, gain).union(spans.filter("whole").select("cell")), "metric-stay")
+            done_cells.append(here.join(stay, "cell", "left_semi"))
+            done_probes.append(asked.join(stay, "cell", "left_semi"))
+            placed, reach, spans = (t.join(stay, "cell", "left_anti") for t in (placed, reach, spans))
         # A cell whose candidates all went to one pivot is cut by hash; its probes go to every part.
         stuck = spans.filter("whole").select("cell", "parts")
         part = F.pmod(F.xxhash64("chunk_id", F.lit(level)), F.col("parts"))
@@ -146,8 +167,7 @@ def deal(candidates: DataFrame, probes: DataFrame, least: float, *, cell_rows: i
         cut_probes = asked.join(stuck, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn(
             "cell", F.concat_ws("#", "cell", "part")).select(asked.columns)
         moved = placed.join(stuck, "cell", "left_anti").withColumn("cell", F.concat_ws(".", "cell", "child")).select(here.columns)
-        sent = _reachable(asked.join(spans.filter("NOT whole"), "cell").join(pivots, "cell").drop("whole", "parts"), widest)
-        sent = sent.withColumn("child", F.explode("children")).withColumn("cell", F.concat_ws(".", "cell", "child")).select(asked.columns)
+        sent = reach.withColumn("child", F.explode("children")).withColumn("cell", F.concat_ws(".", "cell", "child")).select(asked.columns)
         here = materialise(moved.unionByName(cut), "metric-cells")
         asked = materialise(sent.unionByName(cut_probes), "metric-probes")
     cells, sides = done_cells[0], done_probes[0]
@@ -181,11 +201,14 @@ def nearest_within(candidates: DataFrame, probes: DataFrame, least: float, *, ce
     some = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x))
     left = candidates.filter(some).select("chunk_id", "user_id", "paper_id", "embedding", *(["arrival"] if timed else []))
     right = probes.filter(some).select("probe_id", "user_id", "skip_paper", "embedding", *(["before"] if timed else []))
-    cells, asked = deal(left, right, least, cell_rows=cell_rows, fan=fan)
-    # Probes of a cell come in parts as large as a cell at most.
-    parts = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts"))
-    a = cells.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    b = asked.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("probe_id"), F.col("parts")).cast("int")).drop("parts")
+    cells, asked = deal(left, right, least, cell_rows=cell_rows, fan=fan, gain=GAIN)
+    # Each side of a cell comes in blocks, and every block meets those of the other side.
+    blocks = cell_sizes(cells, asked).select(
+        "cell", F.ceil(F.col("n_candidates") / BLOCK_ROWS).cast("int").alias("parts"), F.ceil(F.col("n_probes") / BLOCK_ROWS).cast("int").alias("asking"))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = cells.join(blocks, "cell").withColumn("part", own("chunk_id", "parts")).withColumn("side", every("asking")).drop("parts", "asking")
+    b = asked.join(blocks, "cell").withColumn("side", own("probe_id", "asking")).withColumn("part", every("parts")).drop("parts", "asking")
     schema = StructType([
         StructField("probe_id", probes.schema["probe_id"].dataType),
         StructField("chunk_id", candidates.schema["chunk_id"].dataType), StructField("similarity", DoubleType())])
@@ -196,23 +219,25 @@ def nearest_within(candidates: DataFrame, probes: DataFrame, least: float, *, ce
             matrix = unit_rows(np.stack(block["embedding"].to_numpy()).astype(np.float64))
             ids, papers = block["chunk_id"].to_numpy(), block["paper_id"].to_numpy()
             arrival = block["arrival"].to_numpy() if timed else None
-            for at in range(0, len(wanted), SLICE_ROWS):
-                some = wanted.iloc[at : at + SLICE_ROWS]
+            step = max(1, SLICE_SCORES // len(block))
+            for at in range(0, len(wanted), step):
+                some = wanted.iloc[at : at + step]
                 sims = unit_rows(np.stack(some["embedding"].to_numpy()).astype(np.float64)) @ matrix.T
                 ok = (sims >= least) & (papers[None, :] != some["skip_paper"].to_numpy()[:, None])
                 if timed:
                     ok &= arrival[None, :] < some["before"].to_numpy()[:, None]
                 for p in np.flatnonzero(ok.any(1)):
                     near = np.flatnonzero(ok[p])
-                    best = near[best_rows(sims[p, near], ids[near], 1)][0]
+                    # Copies of a vector are equal, whichever block they lie in.
+                    equal = sims[p, near].round(12)
+                    best = best_rows(equal, ids[near], 1)[0]
                     out["probe_id"].append(some["probe_id"].iloc[p])
-                    out["chunk_id"].append(ids[best])
-                    out["similarity"].append(float(sims[p, best]))
+                    out["chunk_id"].append(ids[near[best]])
+                    out["similarity"].append(float(equal[best]))
         return pd.DataFrame(out)
 
-    keys = ["cell", "part"]
+    keys = ["cell", "part", "side"]
     found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(compare, schema)
     # Of equal similarities the smaller id counts.
-    best = found.groupBy("probe_id").agg(F.max("similarity").alias("similarity"))
-    return found.join(best, ["probe_id", "similarity"]).groupBy("probe_id").agg(
-        F.min("chunk_id").alias("chunk_id"), F.first("similarity").alias("similarity"))
+    best = found.groupBy("probe_id").agg(F.min(F.struct((-F.col("similarity")).alias("off"), "chunk_id")).alias("best"))
+    return best.select("probe_id", "best.chunk_id", (-F.col("best.off")).alias("similarity"))

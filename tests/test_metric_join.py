@@ -69,3 +69,19 @@ def test_ties_and_empty(spark):
     assert got == {3: 7, 7: 3, 9: 3}
     none = df.filter("false")
     assert M.nearest_within(none, probes_of(none), 0.9).collect() == []
+
+
+def test_a_split_that_keeps_nothing_apart_copies_no_probe(spark, monkeypatch):
+    """Vectors all around a sphere at a wide angle: every probe would go to every cell."""
+    rng = np.random.default_rng(8)
+    vectors, owners = rng.normal(size=(900, 12)).astype("float32"), np.zeros(900, int)
+    vectors[500:520] = vectors[40]
+    df = frame(spark, vectors, owners)
+    cells, asked = M.deal(df.filter("chunk_id < 900"), probes_of(df.filter("chunk_id < 900")), 0.1, cell_rows=60, fan=6, gain=M.GAIN)
+    assert cells.count() == 900 and asked.count() == 900
+    monkeypatch.setattr(M, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(M, "SLICE_SCORES", 1_000)
+    got = {r.probe_id: r for r in M.nearest_within(df, probes_of(df), 0.1, cell_rows=60, fan=6).collect()}
+    want = brute(vectors, owners, 0.1)
+    assert got.keys() == want.keys() and all(math.isclose(got[i].similarity, want[i], abs_tol=1e-8) for i in got)
+    assert {got[i].chunk_id for i in range(500, 520)} == {40}
