@@ -11,6 +11,7 @@ import pytest
 import __spark_entry__ as contract
 from oracle import compare
 from paperloom.queries import load
+from paperloom.queries.analytics import inverted_index
 
 SMALL = contract.SMOKE_FOLDER
 SPARK, DUCK = load()
@@ -61,3 +62,9 @@ def test_comparison_of_a_single_paper(spark, tmp_path):
     folder, con = tables(tmp_path, documents="SELECT * FROM '{}' WHERE doc_id < 197")
     name = "plan_comparison"
     assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
+
+
+def test_words_are_not_dealt_out_again(spark):
+    """Words go to their documents' index where the text is: only whole texts are moved."""
+    plan = inverted_index(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
