@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.columns import alnum_key, let
 from ..functions.defaults import DUPLICATE_COSINE, DUPLICATE_TITLE
@@ -11,6 +17,10 @@ from ..functions.trigrams import jaccard, trigrams
 from ..session import materialise
 from .metric_join import nearest_within
 
+#: Parities that stand for a title's trigrams, and pairs of titles that a task compares at a time.
+BITS = 512
+SLICE_PAIRS = 500_000
+
 
 def exact_duplicates(papers: DataFrame) -> DataFrame:
     """Later arrivals of the same content in one library, with the first one.
@@ -46,14 +56,83 @@ def _title_sets(rows: DataFrame, id_col: str) -> DataFrame:
     )
 
 
-def _prefixes(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """The rarest trigrams of each set that any match must share at least one of."""
-    size = F.size("grams")
-    need = size - F.ceil(size * threshold - 1e-9) + 1
-    rows = sets.select("user_id", "set_id", "is_lib", "is_ask", size.alias("n"), need.alias("need"), F.explode("grams").alias("gram"))
-    rows = rows.join(counts, ["user_id", "gram"], "left").withColumn("held", F.coalesce("held", F.lit(0)))
-    order = Window.partitionBy("user_id", "set_id").orderBy("held", "gram")
-    return rows.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= F.col("need"))
+def _parities(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``bits``: of each of BITS classes of trigrams, by hash, whether a set holds an odd number."""
+    names = [c for c in sets.columns if c != "grams"]
+    places = F.transform("grams", lambda g: F.pmod(F.xxhash64(g), F.lit(BITS)).cast("int"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("places")
+            rows = np.repeat(np.arange(len(held)) * BITS, held.value_lengths().to_numpy())
+            odd = np.bincount(rows + held.flatten().to_numpy(), minlength=len(held) * BITS).reshape(-1, BITS) & 1
+            bits = pa.array([row.tobytes() for row in np.packbits(odd.astype(np.uint8), axis=1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], bits], [*names, "bits"])
+
+    kept = sets.select(*names, places.alias("places"))
+    return kept.mapInArrow(work, ", ".join([*[f"{n} {t}" for n, t in sets.select(*names).dtypes], "bits binary"]))
+
+
+def _meetings(sets: DataFrame, threshold: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(user_id, n, cell, parts), and (user_id, cell, part, cell_2, part_2): the blocks of sets that have to meet.
+
+    Cells are ranges of sizes, cut by hash into blocks where one size is frequent. Every two
+    blocks of a user meet once, unless the sizes in one are too large for the other.
+    """
+    order = Window.partitionBy("user_id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Counts by size, not sets, go through the window.
+    sizes = sets.groupBy("user_id", "n").agg(F.count(F.lit(1)).alias("held")).withColumn(
+        "cell", F.floor((F.sum("held").over(order) - F.col("held")) / block_rows).cast("int"))
+    cells = sizes.groupBy("user_id", "cell").agg(
+        F.min("n").alias("lo"), F.max("n").alias("hi"), F.ceil(F.sum("held") / block_rows).cast("int").alias("parts"))
+    placed = materialise(sizes.drop("held").join(cells, ["user_id", "cell"]), "title-cells")
+    blocks = placed.select("user_id", "cell", "lo", "hi", "parts").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = blocks.select("user_id", F.col("cell").alias("cell_2"), F.col("part").alias("part_2"), F.col("lo").alias("lo_2"))
+    after = (F.col("cell_2") > F.col("cell")) | ((F.col("cell_2") == F.col("cell")) & (F.col("part_2") >= F.col("part")))
+    pairs = blocks.join(other, "user_id").filter(after & (F.col("hi") >= F.col("lo_2") * threshold - 1e-9))
+    return placed.select("user_id", "n", "cell", "parts"), materialise(pairs.select("user_id", "cell", "part", "cell_2", "part_2"), "title-meetings")
+
+
+def _candidates(sets: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """(user_id, set_id, lib_set) of asked and stored sets whose sizes and parities do not rule the threshold out."""
+    cells, pairs = _meetings(sets, threshold, block_rows)
+    placed = sets.join(cells, ["user_id", "n"]).withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")).drop("parts")
+    keys = ["user_id", "cell", "part", "cell_2", "part_2"]
+    left = placed.join(pairs, ["user_id", "cell", "part"])
+    # Both sides come from one table: new names keep their columns apart.
+    named = [F.col(c).alias({"cell": "cell_2", "part": "part_2"}.get(c, c)) for c in placed.columns]
+    right = placed.select(*named).join(pairs.select(*[F.col(k).alias(k) for k in keys]), ["user_id", "cell_2", "part_2"])
+    schema = StructType([sets.schema["user_id"], StructField("set_id", BinaryType()), StructField("lib_set", BinaryType())])
+
+    def words(frame: pd.DataFrame) -> np.ndarray:
+        return np.frombuffer(b"".join(frame["bits"]), np.uint64).reshape(len(frame), -1).T.copy()
+
+    def compare(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        asked, stored = [], []
+        one, two = one.sort_values("n"), two.sort_values("n")
+        a, b, n, m = words(one), words(two), one["n"].to_numpy(), two["n"].to_numpy()
+        ids, other = one["set_id"].to_numpy(), two["set_id"].to_numpy()
+        step = max(1, SLICE_PAIRS // max(1, len(two)))
+        for at in range(0, len(one), step):
+            rows = slice(at, at + step)
+            fits = slice(np.searchsorted(m, n[rows][0] * threshold - 1e-9), np.searchsorted(m, n[rows][-1] / threshold + 1e-9, "right"))
+            apart = np.zeros((len(n[rows]), len(m[fits])), np.uint16)
+            for w in range(len(a)):
+                apart += np.bitwise_count(a[w, rows, None] ^ b[w, None, fits])
+            # Each class that differs stands for a trigram at least that only one of both sets holds.
+            x, y = np.nonzero(apart <= (n[rows, None] + m[None, fits]) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+            x, y = x + at, y + fits.start
+            ways = [(one, x, two, y, ids, other)]
+            if key[1:3] != key[3:5]:
+                ways.append((two, y, one, x, other, ids))
+            for ask, i, lib, j, ask_ids, lib_ids in ways:
+                ok = ask["is_ask"].to_numpy()[i] & lib["is_lib"].to_numpy()[j] & (ask_ids[i] != lib_ids[j])
+                asked.append(ask_ids[i[ok]])
+                stored.append(lib_ids[j[ok]])
+        none = [np.empty(0, object)]
+        return pd.DataFrame({"set_id": np.concatenate(asked or none), "lib_set": np.concatenate(stored or none)}).assign(user_id=key[0])[schema.names]
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, schema)
 
 
 def similar_titles(
@@ -64,42 +143,22 @@ def similar_titles(
     ``probes``: probe_id, user_id, title. ``library``: paper_id, user_id, title.
     A probe that is itself in the library does not match itself.
 
-    Exact set-similarity join: equal titles are first collapsed to one trigram
-    set; two sets can only reach the threshold if they share one of their rarest
-    trigrams, so only those are joined, and each candidate is verified on the
-    full sets. Long posting lists are spread over ``posting_rows`` sized parts.
+    Exact set-similarity join: equal titles are first collapsed to one trigram set, and a
+    set becomes BITS parities, of which two sets differ in no more than the trigrams that
+    only one of them holds. Blocks of up to about ``posting_rows`` sets of neighbouring sizes
+    meet and compare parities; the few candidates left are verified on the full sets.
     """
     lib = materialise(_title_sets(library, "paper_id"), "title-sets")
     keyed = probes.select("probe_id", "user_id", trigrams(F.col("title")).alias("grams")).filter(F.size("grams") > 0)
     keyed = materialise(keyed.withColumn("set_id", _set_id()), "title-probes")
     ask = keyed.groupBy("user_id", "set_id").agg(F.first("grams").alias("grams"))
-    counts = lib.select("user_id", F.explode("grams").alias("gram")).groupBy("user_id", "gram").agg(
-        F.count(F.lit(1)).alias("held")
-    )
-    parts = F.ceil(F.col("held") / posting_rows).cast("int")
-    # A set is ranked once, whether it is asked for, stored or, as is usual, both.
+    # A set is there once, whether it is asked for, stored or, as is usual, both.
     both = lib.select("user_id", "set_id", "grams", F.lit(True).alias("is_lib")).join(
         ask.select("user_id", "set_id", F.col("grams").alias("asked"), F.lit(True).alias("is_ask")), ["user_id", "set_id"], "full"
-    ).withColumn("grams", F.coalesce("grams", "asked")).drop("asked")
-    ranked = materialise(_prefixes(both, counts, threshold), "title-prefixes")
-    right = ranked.filter("is_lib").select(
-        "user_id", "gram", F.col("set_id").alias("lib_set"), F.col("n").alias("lib_n"), F.col("rn").alias("lib_at"),
-        F.pmod(F.xxhash64("set_id"), parts).cast("int").alias("part"),
-    )
-    left = ranked.filter("is_ask AND held > 0").select(
-        "user_id", "gram", "set_id", "n", F.col("rn").alias("at"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")
-    )
-    # At the first trigram two sets share, all that follows in both is the most they can still share.
-    reach = 1 + F.least(F.col("n") - F.col("at"), F.col("lib_n") - F.col("lib_at"))
-    needed = F.ceil((F.col("n") + F.col("lib_n")) * (threshold / (1 + threshold)) - 1e-9)
-    pairs = (
-        left.join(right, ["user_id", "gram", "part"])
-        .filter((F.col("set_id") != F.col("lib_set")))
-        .filter((F.col("lib_n") >= F.col("n") * threshold - 1e-9) & (F.col("n") >= F.col("lib_n") * threshold - 1e-9))
-        .filter(reach >= needed)
-        .select("user_id", "set_id", "lib_set")
-        .distinct()
-    )
+    ).withColumn("grams", F.coalesce("grams", "asked"))
+    held = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    sets = materialise(_parities(both.select("user_id", "set_id", held("is_lib"), held("is_ask"), F.size("grams").alias("n"), "grams")), "title-parities")
+    pairs = _candidates(sets, threshold, posting_rows)
     checked = (
         pairs.join(ask.select("user_id", "set_id", F.col("grams").alias("a")), ["user_id", "set_id"])
         .join(lib.select("user_id", F.col("set_id").alias("lib_set"), F.col("grams").alias("b"), "id_1"), ["user_id", "lib_set"])

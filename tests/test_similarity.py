@@ -53,6 +53,23 @@ def test_similar_titles(spark):
         assert got == want
 
 
+def test_titles_of_one_vocabulary_give_few_candidates(spark):
+    # Every title shares its trigrams with most others, so an index of single trigrams keeps nobody apart.
+    rng = random.Random(8)
+    parts = ["er", "on", "ing", "th", "ed", "le", "an", "st"]
+    titles = {n: " ".join("".join(rng.choices(parts, k=3)) for _ in range(12)) for n in range(400)}
+    titles |= {n + 400: titles[n] + " v2" for n in range(40)}
+    rows = spark.createDataFrame(list(titles.items()), "id int, title string").withColumn("user_id", F.lit(1))
+    sets = rows.select("user_id", D.trigrams(F.col("title")).alias("grams")).select(
+        "user_id", D._set_id().alias("set_id"), F.lit(True).alias("is_lib"), F.lit(True).alias("is_ask"), F.size("grams").alias("n"), "grams")
+    grams = {i: py_grams(t) for i, t in titles.items()}
+    close = sum(100 * len(grams[a] & grams[b]) >= 72 * len(grams[a] | grams[b]) for a in grams for b in grams if a != b)
+    for block_rows in (5_000, 60):
+        found = D._candidates(D._parities(sets), 0.72, block_rows)
+        n = found.count()
+        assert n == found.distinct().count() and 80 <= close <= n <= 3 * close
+
+
 def vectors(n, dim=8):
     v = RNG.normal(size=(n, dim))
     return (v / np.linalg.norm(v, axis=1, keepdims=True)).astype("float32")
