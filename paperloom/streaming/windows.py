@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from ..functions.defaults import LOOKUP_TTL_SECONDS, WINDOW_SECONDS
 
 MICROS = 1_000_000
+#: Groups that share the keys of a stream.
+SHARDS = 1024
 
 
 def _side(reopen_at_end: bool) -> str:
@@ -211,12 +213,14 @@ def lookup_replay(events: DataFrame, keys: list[str], seconds: int = LOOKUP_TTL_
 
 def window_budget_stream(
     events: DataFrame, keys: list[str], limit: int, seconds: int = WINDOW_SECONDS, *, id_col: str = "event_id",
-    ts_col: str = "ts", watermark: str = "1 minute", reopen_at_end: bool = False,
+    ts_col: str = "ts", watermark: str = "1 minute", reopen_at_end: bool = False, shards: int = SHARDS,
 ) -> DataFrame:
     """L2 and L3 over a stream: state per key is the open window and its count.
 
     The state of a window that has ended is dropped when the watermark passes
-    it; rows later than the watermark are not counted.
+    it; rows later than the watermark are not counted. Keys are many and mostly
+    small, and a call of Python costs more than a key's rows: keys are dealt by
+    hash to ``shards`` groups, each of which keeps the open windows of its keys.
     """
     width, side = seconds * MICROS, _side(reopen_at_end)
     source = events.withColumn(ts_col, F.col(ts_col).cast("timestamp")).withWatermark(ts_col, watermark)
@@ -224,25 +228,41 @@ def window_budget_stream(
     out = StructType(
         [*fields, source.schema[id_col], StructField("window_start", LongType()), StructField("number", LongType())]
     )
-    state_schema = StructType([StructField("anchor", LongType()), StructField("count", LongType())])
-    slim = source.select(*keys, id_col, ts_col, F.unix_micros(ts_col).alias("_us"))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    state_schema = StructType([StructField("key", ArrayType(StringType())), *[
+        StructField(n, ArrayType(LongType())) for n in ("anchor", "count")]])
+    slim = source.select(
+        F.pmod(F.xxhash64(*keys), F.lit(shards)).alias("_shard"), F.to_json(F.struct(*keys)).alias("_key"), *keys, id_col, ts_col,
+        F.unix_micros(ts_col).alias("_us"))
+
+    def step(shard: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (anchor, count) for k, anchor, count in zip(*state.get)} if state.exists else {}
+        rows = None
+        if not state.hasTimedOut:
+            # A shard's rows may come in several frames of one trigger.
+            part = pd.concat(list(frames), ignore_index=True)
+            codes, owners = pd.factorize(part["_key"])
+            order = np.lexsort((part[id_col].to_numpy(), part["_us"].to_numpy(), codes))
+            part, codes = part.take(order), codes[order]
+            ts = part["_us"].to_numpy()
+            starts, numbers = np.empty(len(ts), np.int64), np.empty(len(ts), np.int64)
+            for a, b in _runs(codes):
+                owner = owners[codes[a]]
+                starts[a:b], numbers[a:b] = number_events(ts[a:b], width, side, *held.get(owner, (None, 0)))
+                held[owner] = int(starts[b - 1]), int(numbers[b - 1])
+            rows = part[[*keys, id_col]].assign(window_start=starts, number=numbers)
+        passed = state.getCurrentWatermarkMs()
+        ends_ms = {k: int(anchor + width) // 1000 + 1 for k, (anchor, _) in held.items()}
+        open_still = [k for k in held if ends_ms[k] > passed]
+        if open_still:
+            state.update((open_still, [held[k][0] for k in open_still], [held[k][1] for k in open_still]))
+            state.setTimeoutTimestamp(min(ends_ms[k] for k in open_still))
+        elif state.exists:
             state.remove()
-            return
-        # A key's rows may come in several frames of one trigger.
-        part = pd.concat(list(frames)).sort_values(["_us", id_col])
-        anchor, count = state.get if state.exists else (None, 0)
-        ts = part["_us"].to_numpy()
-        starts, numbers = number_events(ts, width, side, anchor, count)
-        state.update((int(starts[-1]), int(numbers[-1])))
-        ends_ms = int(starts[-1] + width) // 1000 + 1
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
-        yield part[[id_col]].assign(**dict(zip(keys, key)), window_start=starts, number=numbers)[out.fieldNames()]
+        if rows is not None:
+            yield rows
 
     return (
-        slim.groupBy(*keys)
+        slim.groupBy("_shard")
         .applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
         .withColumn("refused", F.col("number") > limit)
     )

@@ -58,3 +58,22 @@ def test_stream_equals_batch(spark, tmp_path):
     src = stream_files(spark, str(tmp_path / "in"), "*.parquet", df.schema, files_per_trigger=1)
     out = spark.read.parquet(run_available(W.window_budget_stream(src, ["user_id"], 20, watermark="2 hours"), "t"))
     assert {r.event_id: r.number for r in out.collect()} == walk(rows, 60, False)
+
+
+def test_stream_of_many_keys_in_few_groups(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(80)]), START + timedelta(seconds=rng.randrange(8000)), i) for i in range(900)]
+    ordered = sorted(rows, key=lambda r: (r[1], r[2]))
+    schema = "user_id int, ts timestamp, event_id int"
+    for part in range(3):
+        spark.createDataFrame(ordered[part * 300 : (part + 1) * 300], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = stream_files(spark, str(tmp_path / "in"), "*.parquet", schema, files_per_trigger=1)
+    budget = W.window_budget_stream(src, ["user_id"], 2, 600, watermark="3 hours", shards=4)
+    query = budget.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    # Every user's window is kept, in a group of state for each shard.
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 4
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = walk([(-1 if u is None else u, t, e) for u, t, e in rows], 600, False)
+    assert {r.event_id: r.number for r in got} == want and all(r.refused == (r.number > 2) for r in got)
+    assert {(r.user_id, r.event_id) for r in got} == {(u, e) for u, _, e in rows}
