@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import alnum_key, collapse, has_text, strip
+from ..functions.columns import alnum_key, collapse, has_text, let, strip
+from ..session import materialise
 from .evidence import is_suspicious
 
 # What is shown when every claim rested on quarantined text.
@@ -22,8 +23,12 @@ SHORT_QUOTE = 24
 
 def quote_supported(quote: Column, source: Column, minimum: int = SHORT_QUOTE) -> Column:
     """The quote's letters and digits stand in the source; a very short quote passes."""
+    return _quoted(quote, alnum_key(F.coalesce(source, F.lit(""))), minimum)
+
+
+def _quoted(quote: Column, key: Column, minimum: int = SHORT_QUOTE) -> Column:
     wanted = alnum_key(F.coalesce(quote, F.lit("")))
-    return (F.length(wanted) < minimum) | alnum_key(F.coalesce(source, F.lit(""))).contains(wanted)
+    return (F.length(wanted) < minimum) | key.contains(wanted)
 
 
 def bounded_confidence(stated: Column, corpus_size: Column, best_similarity: Column | None = None) -> Column:
@@ -104,11 +109,15 @@ def supported_evidence(rows: DataFrame, citable: DataFrame) -> DataFrame:
         (title if raw else F.col("paper_title")).alias("owner_title"),
         F.coalesce("content", F.lit("")).alias("_source"),
     )
-    joined = rows.withColumn("_cited", F.col("ev.chunk_id")).join(known, ["request_id", "_cited"])
-    quoted = quote_supported(F.col("ev.quote"), F.col("_source"))
-    # One condition on both sides: the patterns run behind the join, on quoted passages alone.
-    fits = F.when(quoted, ~is_suspicious(F.col("_source"))).otherwise(False) if raw else quoted
-    return joined.filter(fits).drop("_cited", "_source")
+    # All entries that cite a passage meet it at once: its letters are taken out and its patterns run once.
+    cited = rows.groupBy("request_id", F.col("ev.chunk_id").alias("_cited")).agg(
+        F.collect_list(F.struct(*[c for c in rows.columns if c != "request_id"])).alias("_entries"))
+    joined = cited.join(known, ["request_id", "_cited"])
+    quoted = let(alnum_key(F.col("_source")), lambda key: F.filter("_entries", lambda e: _quoted(e["ev"]["quote"], key)))
+    # One expression of both sides: the patterns run behind the join, on quoted passages alone.
+    fits = let(quoted, lambda es: F.when(F.size(es) > 0, F.when(~is_suspicious(F.col("_source")), es))) if raw else quoted
+    found = joined.select("request_id", "owner_paper", "owner_title", F.explode(fits).alias("_e"))
+    return found.select(*[c if c == "request_id" else F.col(f"_e.{c}").alias(c) for c in rows.columns], "owner_paper", "owner_title")
 
 
 def ground_gaps(parsed: DataFrame, citable: DataFrame) -> DataFrame:
@@ -117,9 +126,10 @@ def ground_gaps(parsed: DataFrame, citable: DataFrame) -> DataFrame:
     ``parsed``: request_id, corpus_size, valid, result (research_gap). A gap with
     no evidence left is dropped; at most 10 gaps of 10 entries per reply.
     """
-    good = parsed.filter("valid")
+    good = materialise(parsed.filter("valid").select("request_id", "corpus_size", "result"), "parsed")
     gaps = good.select("request_id", "corpus_size", F.posexplode("result.gaps").alias("gap_pos", "gap"))
-    entries = gaps.select("request_id", "corpus_size", "gap_pos", "gap", F.posexplode("gap.evidence").alias("ev_pos", "ev"))
+    entries = gaps.select("request_id", "corpus_size", "gap_pos", F.col("gap").dropFields("evidence").alias("gap"),
+                          F.posexplode("gap.evidence").alias("ev_pos", "ev"))
     held = supported_evidence(entries, citable)
     fixed = F.struct(
         "ev_pos", F.col("ev.chunk_id").alias("chunk_id"), F.col("owner_paper").alias("paper_id"),
@@ -153,7 +163,7 @@ def ground_novelty(parsed: DataFrame, citable: DataFrame, strength: DataFrame) -
     ``parsed``: request_id, corpus_size, n_external, valid, result (novelty);
     ``strength``: request_id, best_similarity. At most 20 entries per reply.
     """
-    good = parsed.filter("valid")
+    good = materialise(parsed.filter("valid").select("request_id", "corpus_size", "n_external", "result"), "parsed")
     entries = good.select("request_id", F.posexplode("result.evidence").alias("ev_pos", "ev"))
     held = supported_evidence(entries, citable).groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct(

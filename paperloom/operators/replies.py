@@ -17,10 +17,13 @@ def _object(text: Column) -> Column:
     The parser accepts text after a value, so the candidate is parsed inside a
     larger object whose last key must survive.
     """
-    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}')))
-    whole = F.try_variant_get(boxed, "$.end", "int") == 1
-    kind = F.schema_of_variant(F.try_variant_get(boxed, "$.v", "variant"))
-    return F.struct(F.coalesce(whole, F.lit(False)).alias("parses"), F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"))
+
+    def verdict(boxed: Column) -> Column:
+        whole = F.try_variant_get(boxed, "$.end", "int") == 1
+        kind = F.schema_of_variant(F.try_variant_get(boxed, "$.v", "variant"))
+        return F.struct(F.coalesce(whole, F.lit(False)).alias("parses"), F.coalesce(kind.startswith("OBJECT"), F.lit(False)).alias("is_object"))
+
+    return let(F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"end":1}'))), verdict)
 
 
 def extract_json(text: Column) -> Column:
@@ -35,7 +38,7 @@ def extract_json(text: Column) -> Column:
         return let(
             _object(candidate),
             lambda whole: F.when(whole["parses"], F.when(whole["is_object"], candidate)).otherwise(
-                let(inner, lambda part: F.when(_object(part)["parses"] & _object(part)["is_object"], part))
+                let(inner, lambda part: F.when(let(_object(part), lambda o: o["parses"] & o["is_object"]), part))
             ),
         )
 
@@ -149,8 +152,9 @@ class Items:
 
     def ok(self, v: Column, kind: Column) -> Column:
         items = F.try_variant_get(v, "$", "array<variant>")
-        each = F.forall(items, lambda i: F.schema_of_variant(i).startswith("OBJECT") & _fields_ok(i, self.fields))
-        return _absent_ok(self, kind, kind.startswith("ARRAY") & (F.size(items) <= self.most) & each)
+        each = lambda i: F.schema_of_variant(i).startswith("OBJECT") & _fields_ok(i, self.fields)
+        good = let(items, lambda held: (F.size(held) <= self.most) & F.forall(held, each))
+        return _absent_ok(self, kind, kind.startswith("ARRAY") & good)
 
     def read(self, v: Column, kind: Column) -> Column:
         items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: _read(i, self.fields))
@@ -163,20 +167,25 @@ def _absent_ok(field, kind: Column, good: Column) -> Column:
     return out.otherwise(F.coalesce(good, F.lit(False)))
 
 
-def _part(v: Column, name: str) -> tuple[Column, Column]:
-    part = F.try_variant_get(v, f"$.{name}", "variant")
-    return part, F.schema_of_variant(part)
+def _part(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _ok(v: Column, name: str, field) -> Column:
+    """Whether a field holds: it is taken out, and its kind looked at, once."""
+    return let(_part(v, name), lambda part: let(F.schema_of_variant(part), lambda kind: field.ok(part, kind)))
 
 
 def _fields_ok(v: Column, fields: dict) -> Column:
     out = F.lit(True)
     for name, field in fields.items():
-        out = out & field.ok(*_part(v, name))
+        out = out & _ok(v, name, field)
     return out
 
 
 def _read(v: Column, fields: dict) -> Column:
-    return F.struct(*[field.read(*_part(v, name)).alias(name) for name, field in fields.items()])
+    read = lambda field: lambda part: field.read(part, F.schema_of_variant(part))
+    return F.struct(*[let(_part(v, name), read(field)).alias(name) for name, field in fields.items()])
 
 
 def _id(**kw) -> Text:
@@ -251,10 +260,9 @@ def parse_replies(replies: DataFrame, task: str, text_col: str = "text") -> Data
     value or limit rejects the whole reply.
     """
     fields = SCHEMAS[task]
-    found = replies.withColumn("json", extract_json(F.col(text_col)))
 
     def check(v: Column) -> Column:
-        broken = F.array_compact(F.array(*[F.when(~field.ok(*_part(v, name)), F.lit(name)) for name, field in fields.items()]))
+        broken = F.array_compact(F.array(*[F.when(~_ok(v, name, field), F.lit(name)) for name, field in fields.items()]))
         return let(
             F.when(v.isNull(), "NO_JSON_OBJECT").otherwise(
                 let(broken, lambda b: F.when(F.size(b) > 0, F.concat(F.lit("INVALID:"), F.array_join(b, ","))))
@@ -262,7 +270,8 @@ def parse_replies(replies: DataFrame, task: str, text_col: str = "text") -> Data
             lambda reason: F.struct(reason.alias("reject_reason"), F.when(reason.isNull(), _read(v, fields)).alias("result")),
         )
 
-    checked = found.withColumn("_checked", let(F.try_parse_json(F.col("json")), check))
+    # A generator's value is not worked out again by a filter on ``valid``.
+    checked = replies.select("*", F.explode(F.array(let(F.try_parse_json(extract_json(F.col(text_col))), check))).alias("_checked"))
     return checked.select(
         *replies.columns,
         F.col("_checked.reject_reason").isNull().alias("valid"),
