@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from paperloom.llm import repeats
@@ -62,3 +63,28 @@ def test_empty_table_and_short_length(empty):
     assert find_repeats(empty).collect() == []
     with pytest.raises(ValueError):
         find_repeats(empty, 8)
+
+
+def test_different_strings_of_equal_weak_names(spark):
+    """Thue-Morse runs of chosen letters, whose polynomials modulo 2^64 over the odd base of ``Ranks`` are equal."""
+    signs = [bin(i).count("1") & 1 for i in range(32)]
+    start = ("000044 " + "the common opening of two documents that go on in different ways " * 3)[:176]
+    one, other = (start + "".join((x, y)[s ^ turn] for x, y in zip("WprGfLk", "YCVvYur") for s in signs) for turn in (0, 1))
+    raw = [repeats.Ranks(np.frombuffer(t.encode(), np.uint8)) for t in (one, other)]
+    assert one != other and raw[0].name(*np.array([[0], [400]])) == raw[1].name(*np.array([[0], [400]]))
+    rnd = random.Random(4)
+    before, after = ("".join(rnd.choice("etaoin shrdlu") for _ in range(390)) for _ in range(2))
+    rows = [(1, one), (2, other), (3, before + one + after), (4, before + other + after)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert found(df, 400) == brute(rows, 400)
+    rows = rows[:2]
+    assert found(df.filter("doc_id < 3"), 400) == brute(rows, 400)
+    assert all(removed == 0 for _, _, removed, _, _ in brute(rows, 400))
+
+
+def test_periods_and_thue_morse_at_400_bytes(spark):
+    thue = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    rows = [(1, thue), (2, thue[1024:2048] + "x"), (3, thue[::-1][:1500]), (4, "abc" * 400), (5, "bca" * 133 + "b"),
+            (6, "z" * 400), (7, "z" * 399), (8, "z" * 401), (9, thue.translate({97: 98, 98: 97})[:2500])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(df, 400) == brute(rows, 400)
