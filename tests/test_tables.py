@@ -48,6 +48,22 @@ def test_bibliography_with_many_equal_keys(spark, tmp_path):
         assert compare(spark, con, folder, SPARK[name], DUCK[name])[2] == "ok"
 
 
+def shuffled_records(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
+
+
+@pytest.mark.parametrize("name", ["j1_bibtex"])
+def test_papers_of_a_project_are_not_shuffled_for_each_export(spark, tmp_path, name):
+    """Hundreds of exports list one project of a user, some exports come twice."""
+    folder, con = tables(tmp_path, documents="SELECT i AS doc_id, 'T' || i AS text, 'en' AS lang, 'src0' AS source, 2::BIGINT AS n_chars FROM range(4000) t(i) WHERE '{}' <> ''",
+                         events="SELECT * REPLACE (event_id * 20 AS event_id) FROM (FROM '{0}' UNION ALL FROM '{0}' WHERE event_id % 50 = 2)")
+    before = shuffled_records(spark)
+    rows, _, verdict = compare(spark, con, folder, SPARK[name], DUCK[name])
+    assert verdict == "ok" and rows > 100_000
+    assert shuffled_records(spark) - before < rows / 2
+
+
 def test_lifetime_at_the_ends_of_days(spark, tmp_path):
     """Uploads in the last half second of a day, and around a leap day, which a calendar year would shift."""
     folder, con = tables(tmp_path, events="""
