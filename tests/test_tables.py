@@ -53,7 +53,7 @@ def shuffled_records(spark):
     return sum(stages.apply(n).shuffleWriteRecords() for n in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ["j1_bibtex"])
+@pytest.mark.parametrize("name", ["j1_bibtex", "j2_citation_keys"])
 def test_papers_of_a_project_are_not_shuffled_for_each_export(spark, tmp_path, name):
     """Hundreds of exports list one project of a user, some exports come twice."""
     folder, con = tables(tmp_path, documents="SELECT i AS doc_id, 'T' || i AS text, 'en' AS lang, 'src0' AS source, 2::BIGINT AS n_chars FROM range(4000) t(i) WHERE '{}' <> ''",
