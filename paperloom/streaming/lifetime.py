@@ -31,11 +31,14 @@ def _filters(keys: DataFrame) -> DataFrame:
     """(bucket, words, bits) of ``keys`` (upload_key, bucket): one bit array for each bucket."""
     size = keys.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) * BITS / 64).cast("int").alias("words"))
     placed = keys.join(size, "bucket").select("bucket", "words", F.explode(F.array(*_places(F.col("words")))).alias("at"))
-    word = placed.groupBy("bucket", "words", F.floor(F.col("at") / 64).cast("int").alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
-    held = word.groupBy("bucket", "words").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
-    return held.select("bucket", "words", F.transform(
-        F.sequence(F.lit(0), F.col("words") - 1), lambda w: F.coalesce(F.element_at("held", w), F.lit(0).cast("long"))).alias("bits"))
+    word = placed.select(
+        "bucket", "words", F.floor(F.col("at") / 64).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int")).alias("bits"))
+    # Every word gets a row, so that the sorted rows are the array and none is looked up.
+    empty = size.select("bucket", "words", F.explode(F.sequence(F.lit(0), F.col("words") - 1)).alias("word"), F.lit(0).cast("long").alias("bits"))
+    word = word.unionByName(empty).groupBy("bucket", "words", "word").agg(F.bit_or("bits").alias("bits"))
+    held = word.groupBy("bucket", "words").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    return held.select("bucket", "words", F.col("held.bits").alias("bits"))
 
 
 def _maybe() -> Column:
@@ -83,7 +86,9 @@ def store_first_uploads(uploads: DataFrame, table: str, number: int, *, keys=KEY
         fresh = first.join(known.select("upload_key"), "upload_key", "left_anti")
     fresh = materialise(fresh, "uploads")
     _filters(fresh.select("upload_key", "bucket")).write.mode("append").parquet(f"{table}/filters")
-    version = append_version(fresh.drop("bucket"), table, "upload_key", buckets=buckets, source=(source, number))
+    # No fresh key is stored yet, so there is nothing to mark.
+    version = append_version(fresh.drop("bucket"), table, "upload_key", buckets=buckets, source=(source, number),
+                             marked=fresh.filter("false"))
     drop_staged(first, fresh)
     return version
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -72,3 +73,26 @@ def test_as_a_stream(spark, tmp_path):
     run()
     run()
     assert stored(spark, str(tmp_path / "t")) == [(1, "a", 1), (2, "a", 4)]
+
+
+def test_filter_of_many_keys(spark, tmp_path):
+    """160,000 keys in one bucket: looking up each of 40,000 words among all would take minutes."""
+    table, before = str(tmp_path / "t"), time.monotonic()
+    keys = spark.range(0, 320_000).selectExpr("id % 7 AS user_id", "cast(id AS string) AS content_hash", "TIMESTAMP '2020-01-01' AS ts", "id AS n")
+    L.store_first_uploads(keys.filter("n < 160000"), table, 0, buckets=1)
+    row = spark.read.parquet(f"{table}/filters").first()
+    assert row.words == len(row.bits) == 40_000
+    named = keys.withColumn("upload_key", L.upload_key()).withColumn("bucket", L._bucket("upload_key", 1))
+    assert L.possible_repeats(named.filter("n < 160000"), table).count() == 160_000
+    assert L.possible_repeats(named.filter("n >= 160000"), table).count() < 1600
+    assert time.monotonic() - before < 60
+
+
+def test_new_keys_need_no_marks(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for number in range(2):
+        rows = [(u, "a", datetime(2020, 1, 1), u) for u in range(number * 10 + 1, number * 10 + 21)]
+        L.store_first_uploads(spark.createDataFrame(rows, SCHEMA), table, number, buckets=2)
+    assert stored(spark, table) == [(u, "a", u) for u in range(1, 31)]
+    marks = [f"{table}/{m}" for m in latest(spark, table)["marks"]]
+    assert not marks or not list(spark.read.option("recursiveFileLookup", "true").schema("upload_key string").parquet(*marks).take(1))
